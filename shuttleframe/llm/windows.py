@@ -80,8 +80,8 @@ def segments(rows: DataFrame, cut: Segments) -> DataFrame:
 
 def shared(found: DataFrame) -> DataFrame:
     """The segments whose anchor occurs more than once. Counts are combined before the shuffle, so that a hot anchor is
-    one row a task, and the join back can be split."""
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    one row a task; they are written first, so that both sides of the join back are exchanges, which Spark can split."""
+    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     return found.join(often, "anchor", "left_semi")
 
 
@@ -89,7 +89,8 @@ def distinct(some: DataFrame) -> DataFrame:
     """anchor, seg, lo, hi, n, kd, kt, pos (of the first occurrence), variants (different segments of the anchor)."""
     one = some.groupBy("anchor", "seg", "lo", "hi").agg(F.count("*").alias("n"), F.min(F.struct("kd", "pos", "kt")).alias("first"))
     one = one.select("anchor", "seg", "lo", "hi", "n", "first.kd", "first.kt", "first.pos")
-    variants = one.groupBy("anchor").agg(F.count("*").alias("variants"))
+    one = stored(one, "segments")
+    variants = stored(one.groupBy("anchor").agg(F.count("*").alias("variants")), "variants")
     return one.join(variants, "anchor")
 
 
