@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, stored, texts, whole
+from .common import chunks, documents, mix64, stored, texts, whole
 from .components import components
 
 #: Members of a grid cell that are compared with each other.
@@ -32,28 +32,34 @@ CELL = 32
 EVEN = 0x5555555555555555
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of one text: lower-cased A-Z, words, word shingles with repeats, XXH64 with seed 42; 0 without words."""
+def shingles(text: str, n: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text with A-Z lower-cased, repeats included; none without words."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line, ends, at = b" ".join(words), [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        digest = xxhash.xxh64_intdigest
-        starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= n:
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
+    line, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[: len(words) - n]]]
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[n - 1 :], strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     bits, n = np.zeros(64, np.int64), len(hashes)
-    h = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    h = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, n, 60_000):
         bits += np.unpackbits(h[at : at + 60_000], axis=1).sum(0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of one text."""
+    return majority(shingles(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFrame:
     """``keep`` columns and ``fp`` (long, the 64 bits) of every row; a null text counts as an empty one."""
     kept = docs.select(*keep, whole().alias("text"))
@@ -139,10 +145,84 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """One row of each group of near-duplicates stays, that with the smallest doc_id (of equal ones any one of them)."""
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64("text").alias("__kt")]
+#: Samples of a text, shingles in each, and smallest hashes that a sketch keeps.
+SAMPLES, PICKED, SKETCH = 10, 3, 128
+
+
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """kd, kt, fp, samples, sketch of every row: the SimHash of the text, those of its samples, its smallest hashes.
+
+    Sample k is the PICKED shingles that come first in the k-th random order of all shingles, so texts that share most
+    shingles share most samples, and a shared sample has the same SimHash whatever else the texts hold.
+    """
+    seeds = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            fps, samples, sketches = [], [], []
+            for t in texts(b):
+                h = shingles(t, shingle)
+                fps.append(majority(h))
+                one = np.unique(h)
+                keys = []
+                for s in seeds:
+                    mixed = mix64(one ^ s)
+                    if len(mixed) > PICKED:
+                        mixed = np.partition(mixed, PICKED)[:PICKED]
+                    mixed = np.sort(mixed)
+                    x, y, z = (mixed[min(i, len(mixed) - 1)] if len(mixed) else np.uint64(0) for i in range(3))
+                    keys.append((x & y) | (x & z) | (y & z))
+                samples.append(np.array(keys, np.uint64).view(np.int64))
+                sketches.append(one[:SKETCH].view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__kd"), b.column("__kt"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, longs), pa.array(sketches, longs)],
+                names=["kd", "kt", "fp", "samples", "sketch"],
+            )
+
+    kept = docs.select("__kd", "__kt", whole().alias("text"))
+    return kept.mapInArrow(run, "kd bigint, kt bigint, fp bigint, samples array<bigint>, sketch array<bigint>")
+
+
+def similar(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples.
+
+    A group that shares a sample is tied to its first and last member, never pair by pair. The similarity is that of the
+    sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes of their union.
+    """
+    keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
+    ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
+    tied = stored(keys.join(ends, ["k", "sample"]), "tied").select("kt", F.explode(F.array("lo", "hi")).alias("end")).where("kt <> end")
+    pairs = stored(tied.select(F.least("kt", "end").alias("a"), F.greatest("kt", "end").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
+    own = stored(rows.select("kt", "sketch").join(nodes, "kt", "left_semi").dropDuplicates(["kt"]), "sketches")
+    both = pairs.join(own.select(F.col("kt").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("kt").alias("b"), F.col("sketch").alias("y")), "b")
+    # Hashes are compared as unsigned numbers: flipping the top bit keeps their order.
+    flip = F.lit(-(1 << 63))
+    union = F.array_sort(F.transform(F.array_union("x", "y"), lambda h: h.bitwiseXOR(flip)))
+    full = (F.size("x") < SKETCH) & (F.size("y") < SKETCH)
+    least_of = F.when(full, union).otherwise(F.slice(union, 1, SKETCH))
+    shared = F.transform(F.array_intersect("x", "y"), lambda h: h.bitwiseXOR(flip))
+    share = F.size(F.array_intersect(least_of, shared)) / F.size(least_of)
+    return both.where((F.size("x") > 0) & (F.size("y") > 0)).where(share >= least).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, least: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates stays, that with the smallest doc_id (of equal ones any one of them).
+
+    Texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if they share the SimHash of a
+    sample of shingles and their shingle sets have a similarity of ``least`` or more: fingerprints of texts that are 0.8
+    alike differ in some ten bits, beyond what a grid of popcounts can join. Texts are told apart by a hash of 64 bits.
+    """
+    key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64(whole()).alias("__kt")]
     keyed = docs.select("*", *key)
-    rows = near_duplicates(keyed.select("__kd", "__kt", "text"), ["__kd", "__kt"], shingle, radius)
-    first = rows.groupBy("root").agg(F.min(F.struct("__kd", "__kt")).alias("m")).select("m.*")
+    rows = stored(sketched(keyed, shingle), "sketched")
+    of_fp = rows.groupBy("fp").agg(F.min("kt").alias("top"))
+    near = links(of_fp.select("fp"), radius)
+    by_fp = near.join(of_fp.select(F.col("fp").alias("a"), F.col("top").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("top").alias("kb")), "b").select("ka", "kb")
+    same = rows.select("fp", "kt").distinct().join(of_fp, "fp").where("kt <> top").select("top", "kt")
+    every = by_fp.union(same).union(similar(rows, least)).toDF("a", "b")
+    found = components(every)
+    rooted = rows.select("kd", "kt").join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("kd", "kt")).alias("m")).select(F.col("m.kd").alias("__kd"), F.col("m.kt").alias("__kt"))
     return keyed.join(first, ["__kd", "__kt"], "left_semi").dropDuplicates(["__kd", "__kt"]).select(*docs.columns)

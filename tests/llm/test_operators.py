@@ -354,6 +354,25 @@ def test_simhash_links_lose_none(spark, monkeypatch, cell):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_near_duplicates_of_similarity_keep_one(spark):
+    from shuttleframe.llm import simhash
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for g in range(25):
+        base = [r.choice(words) for _ in range(r.choice((60, 300, 900)))]
+        for _ in range(r.randrange(1, 5)):
+            w = list(base)
+            for _ in range(len(w) // 100):  # one word in a hundred: a similarity of 0.9, about
+                w[r.randrange(len(w))] = r.choice(words)
+            groups.setdefault(g, []).append(len(rows))
+            rows.append((len(rows), " ".join(w), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(min(ids) for ids in groups.values())
+
+
 def test_components_of_a_chain(spark):
     from shuttleframe.llm.components import components
 
