@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import dispatch_queries, network_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The nearest idle vehicle of every request.
+FLAGSHIP: Query = dispatch_queries.j15
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return network_queries.Q | dispatch_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return network_queries.SQL | dispatch_queries.SQL
