@@ -181,7 +181,7 @@ def j15(spark, d) -> DataFrame:
 
 
 PAIRED = f"""st AS (SELECT *, lead(arr) OVER {BY} AS nxt, max(stop_idx) OVER (PARTITION BY vehicle_id) AS last FROM route_stop),
-cand AS (SELECT request_id, request_time AS t0, num_riders, s.* FROM request JOIN (SELECT o_custkey, min(o_orderkey) AS vehicle_id FROM orders GROUP BY o_custkey) k ON k.o_custkey=request_id JOIN st s USING (vehicle_id) WHERE s.stop_idx<s.last)"""
+cand AS (SELECT request_id, request_time%2000 AS t0, num_riders, s.* FROM request JOIN (SELECT o_custkey, min(o_orderkey) AS vehicle_id FROM orders GROUP BY o_custkey) k ON k.o_custkey=request_id JOIN st s USING (vehicle_id) WHERE s.stop_idx<s.last)"""
 
 
 def synthetic_candidates(spark, d, same: bool = True) -> DataFrame:
@@ -192,7 +192,7 @@ def synthetic_candidates(spark, d, same: bool = True) -> DataFrame:
     r = r.withColumn("j", c("i") if same else F.explode(F.sequence(c("i"), c("n") - 1)))
     way = lambda m: ((c("request_id") * m + c("i") * 13 + c("j") * 7) % 60 * 10 + 10)
     return r.withColumns({
-        "t0": c("request_time"), "riders": c("num_riders"), "capacity": F.lit(4).cast("long"), "end_service": F.lit(1_080_000).cast("long"),
+        "t0": c("request_time") % 2000, "riders": c("num_riders"), "capacity": F.lit(4).cast("long"), "end_service": F.lit(1_080_000).cast("long"),
         "p_loc": c("origin"), "d_loc": c("destination"), "p_walk": F.lit(0).cast("long"), "d_walk": F.lit(0).cast("long"), "p_id": F.lit(0), "d_id": F.lit(0),
         "to_p": way(3), "from_p": F.when(c("i") == c("j"), 0).otherwise(way(5)), "to_d": way(11), "from_d": F.when(c("j") < c("n") - 1, way(17)).otherwise(0), "direct": way(19),
     })
