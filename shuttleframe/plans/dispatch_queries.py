@@ -190,7 +190,7 @@ def synthetic_candidates(spark, d, same: bool = True) -> DataFrame:
     r = X.requests(spark, d).join(k, "request_id").join(routes(X.route_stops(spark, d)), "vehicle_id").where("n > 1")
     r = r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("n") - 2)))
     r = r.withColumn("j", c("i") if same else F.explode(F.sequence(c("i"), c("n") - 1)))
-    way = lambda m: ((c("request_id") * m + c("i") * 13 + c("j") * 7) % 60 * 10 + 10)
+    way = lambda m: ((c("request_id") * m + c("i") * 13 + c("j") * 7) % 6 * 10 + 10)
     return r.withColumns({
         "t0": c("request_time") % 2000, "riders": c("num_riders"), "capacity": F.lit(4).cast("long"), "end_service": F.lit(1_080_000).cast("long"),
         "p_loc": c("origin"), "d_loc": c("destination"), "p_walk": F.lit(0).cast("long"), "d_walk": F.lit(0).cast("long"), "p_id": F.lit(0), "d_id": F.lit(0),
@@ -201,7 +201,7 @@ def synthetic_candidates(spark, d, same: bool = True) -> DataFrame:
 @query(
     "j12_best_paired_insertion",
     X.ctes("request", "route_stop", more=PAIRED)
-    + f""", w AS (SELECT *, (request_id*3+stop_idx*20)%60*10+10 AS to_p, (request_id*11+stop_idx*20)%60*10+10 AS to_d, (request_id*17+stop_idx*20)%60*10+10 AS from_d, (request_id*19+stop_idx*20)%60*10+10 AS direct FROM cand),
+    + f""", w AS (SELECT *, (request_id*3+stop_idx*20)%6*10+10 AS to_p, (request_id*11+stop_idx*20)%6*10+10 AS to_d, (request_id*17+stop_idx*20)%6*10+10 AS from_d, (request_id*19+stop_idx*20)%6*10+10 AS direct FROM cand),
 x AS (SELECT *, greatest(dep+to_p+{T}, t0) AS dep_p FROM w),
 y AS (SELECT *, greatest(dep_p-dep+to_d+{T}+from_d-(nxt-dep),0) AS det_d, dep_p+to_d-t0 AS trip, CAST(floor(1.7::DOUBLE*direct) AS BIGINT)+1200 AS cap_t FROM x),
 z AS (SELECT y.*, (SELECT CAST(coalesce(sum(b.n_dropoffs*greatest(y.det_d-coalesce((SELECT sum(w2.wait) FROM route_stop w2 WHERE w2.vehicle_id=y.vehicle_id AND w2.stop_idx>y.stop_idx AND w2.stop_idx<b.stop_idx),0),0)),0) AS BIGINT) FROM route_stop b WHERE b.vehicle_id=y.vehicle_id AND b.stop_idx>y.stop_idx) AS others,
