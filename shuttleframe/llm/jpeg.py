@@ -6,8 +6,8 @@ inverse-transformed in numpy, chroma is upsampled and the planes become a full-r
 
 ``encode`` stores bytes losslessly in the coefficients, the format's own unit: byte b becomes the coefficient whose size
 category is 8 and whose eight magnitude bits are b (b if b >= 128, else b - 255), in zigzag order, block by block, so that
-it survives what lossy steps come after. Its scans are DC and two AC bands at half precision, then refinements of each,
-with restart intervals in the DC scans; chroma is subsampled 2 x 2 (4:2:0), six blocks a unit.
+it survives what lossy steps come after. Its scans are DC and two AC bands at half precision, then refinements of each;
+chroma is subsampled 2 x 2 (4:2:0), six blocks a unit.
 
 In these files every AC code word of a first scan has the same length, as its table has a single symbol, and the
 decoder takes such scans, and refinement scans of blocks without new coefficients, as arrays; any other scan goes through
