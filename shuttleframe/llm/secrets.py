@@ -12,6 +12,9 @@ text; neither is in any pattern, and a position moves by nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +27,16 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "opaque")
-#: Added candidates: 24 characters or more of one token with a digit, a lower-case and an upper-case letter.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,200}?[0-9])(?=[A-Za-z0-9+/_=-]{0,200}?[a-z])(?=[A-Za-z0-9+/_=-]{0,200}?[A-Z])[A-Za-z0-9+/_=-]{24,}"
+#: Added candidates: a whole token of 24 characters or more with a digit, a lower-case and an upper-case letter.
+OPAQUE = r"[A-Za-z0-9+/_=-]{24,}"
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 #: A value that this many owners hold, or more, is an example.
 EXAMPLE_OWNERS = 3
 
 MARK, CUT, PLAIN = "\x01", "\x02", "\x03"
 
 
-def _cells(marked: Column, width: Column | None = None) -> Column:
+def _cells(marked: Column) -> Column:
     """Array of (part, start, end) for every second part of a marked text; CUT marks don't count as characters."""
     parts = F.split(marked, MARK, -1)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<part:string,start:int,end:int>>").alias("found"))
@@ -77,6 +81,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     marked = F.regexp_replace(F.col("text"), ASSIGN, f"{MARK}$1{CUT}$2{MARK}")
     assign = F.when(F.regexp_like(F.col("text"), F.lit(ASSIGN)), _cells(marked))
     long_enough = lambda m: F.length(F.element_at(F.split(m["part"], CUT, -1), -1)) >= 8
+    mixed = lambda m: reduce(and_, [F.regexp_like(m["part"], F.lit(c)) for c in MIXED])
     return (
         docs.select(*keep, F.col("source").alias("repository"), F.substring_index("source", "/", 1).alias("owner"), text.alias("text"))
         .withColumns(
@@ -84,7 +89,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
                 "assign": _spans("assign", assign, long_enough),
                 "access": _spans("access", _matches(F.col("text"), ACCESS)),
                 "hex": _spans("hex", _matches(F.col("text"), HEX)),
-                "opaque": _spans("opaque", _matches(F.col("text"), OPAQUE)),
+                "opaque": _spans("opaque", _matches(F.col("text"), OPAQUE), mixed),
             }
         )
         .drop("text")
