@@ -107,10 +107,11 @@ def block(rows: dict[str, list]) -> list[tuple[int, int, int]]:
 
 
 def without_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
-    """kd, kt, n_words, n_removed, kept_sha256, spans (removed, [from, to) in words) of every distinct row.
+    """kd, kt, n_words, n_removed, kept_sha256, spans (removed, [from, to) in words) of every row.
 
     With ``kept`` (the remaining words, joined by a space) if asked for. Texts under LENGTH words, null and empty ones lose
-    nothing. A null doc_id counts as the smallest; rows that repeat a doc_id and its text are one document.
+    nothing. A null doc_id counts as the smallest; rows that repeat a doc_id and its text are one document,
+    listed as often as it stands there.
     """
     texts, found = repeated(docs, cut, units, LENGTH, block, all_but_first=True)
 

@@ -149,7 +149,7 @@ def runs(mark: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[tuple[int
 
 
 def without_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
-    """kd, kt, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, [from, to) in bytes) of every distinct row.
+    """kd, kt, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, [from, to) in bytes) of every row.
 
     With ``kept`` (the remaining bytes) if asked for. Texts under LENGTH bytes, null and empty ones lose nothing; a
     repeated row is a copy like any other, so it is removed as a whole, and listed as often as it stands there.
