@@ -126,12 +126,12 @@ def seconds_of(clock: Column) -> Column:
 def minutes_seconds(seconds: Column) -> Column:
     """MM:SS, rounded to the second first."""
     s = F.round(seconds).cast("long")
-    return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
 
 
 def hours_minutes(seconds: Column) -> Column:
     s = F.round(seconds).cast("long")
-    return F.concat(F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"))
+    return F.format_string("%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60))
 
 
 # Polygons are arrays of (x, y) rows; the last point joins the first one.
