@@ -81,7 +81,7 @@ def read_poly(spark: SparkSession, path: str) -> DataFrame:
     w = Window.orderBy("i")
     is_point = c("line").rlike(r"^\s+-?[0-9]")
     marked = lines.where((F.trim("line") != "") & (c("i") > 0)).withColumn("new", (~is_point & (F.trim("line") != "END")).cast("int")).withColumn("face", F.sum("new").over(w) - 1)
-    xy = F.split(F.trim("line"), r"\s+")
+    xy = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")
     hole = F.max(F.when(c("new") == 1, c("line").startswith("!").cast("int"))).over(Window.partitionBy("face"))
     pts = marked.withColumn("hole", hole).where(is_point).select("face", "i", "hole", *[F.round(xy[k].cast("double") * 1e6).cast("long").alias(n) for k, n in enumerate(("x1", "y1"))])
     f = Window.partitionBy("face").orderBy("i")
@@ -157,3 +157,78 @@ def line_features(rows: DataFrame, key: str, ends: tuple[str, str, str, str]) ->
 def write_log(rows: DataFrame, base: str, name: str) -> None:
     """A named CSV log: one dataset a log, with a header."""
     rows.write.mode("overwrite").option("header", True).csv(f"{base}.{name}.csv")
+
+
+#: Whole km/h of those on foot, who push a bicycle, and who ride one, as the integer attribute keeps them.
+ON_FOOT, RIDING = 5, 18
+
+
+def _both_ways(ways: DataFrame, speed) -> DataFrame:
+    ends = F.explode(F.array(F.struct(c("from_node").alias("tail"), c("to_node").alias("head")), F.struct(c("to_node").alias("tail"), c("from_node").alias("head"))))
+    rows = ways.select("way_id", "length", "category", ends.alias("e"), speed.alias("free_flow_speed"))
+    return rows.select("way_id", "e.tail", "e.head", "length", "category", "free_flow_speed", N.travel_time(c("length"), c("free_flow_speed")).alias("travel_time"))
+
+
+def osm_foot_edges(ways: DataFrame) -> DataFrame:
+    """Edges on foot, both directions of every way that is open to pedestrians."""
+    return _both_ways(ways.where(N.open_to_pedestrians(c("category"))), F.lit(ON_FOOT))
+
+
+def osm_cycle_edges(ways: DataFrame) -> DataFrame:
+    """Edges of cyclists, both directions; on paths for those on foot (but cycleways) they push."""
+    pushing = c("category").between(14, 19)
+    return _both_ways(ways.where(N.open_to_cyclists(c("category"))), F.when(pushing, ON_FOOT).otherwise(RIDING))
+
+
+# km/h and lanes of the road categories 1 to 15; 13 are ferries, 14 isn't used.
+XATF_SPEED = {1: 130, 2: 120, 3: 110, 4: 100, 5: 90, 6: 80, 7: 70, 8: 60, 9: 50, 10: 40, 11: 30, 12: 20, 15: 10}
+XATF_LANES = {1: 2, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 1, 15: 1}
+
+
+def parse_xatf(lines: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Directed edges of XATF edge lines (``value``), with vertices (vertex_id, lat, lng).
+
+    Direction 0 and 3 (closed) give both directions, 1 forward, 2 backward. A ferry's field holds minutes; its length is that of
+    the great circle.
+    """
+    f = F.split("value", ",")
+    at = lambda i: F.trim(f[i]).cast("long")
+    rows = lines.select(at(1).alias("a"), at(2).alias("b"), at(4).alias("given"), at(6).alias("direction"), at(9).cast("int").alias("category"))
+    forward, back = F.struct(c("a").alias("tail"), c("b").alias("head")), F.struct(c("b").alias("tail"), c("a").alias("head"))
+    ends = F.when(c("direction") == 1, F.array(forward)).when(c("direction") == 2, F.array(back)).otherwise(F.array(forward, back))
+    rows = rows.withColumn("e", F.explode(ends)).select("e.tail", "e.head", "given", "category")
+    for end in ("tail", "head"):
+        rows = rows.join(vertices.select(c("vertex_id").alias(end), c("lat").alias(f"{end}_lat"), c("lng").alias(f"{end}_lng")), end)
+    table = lambda t: F.create_map(*[F.lit(x) for kv in t.items() for x in kv])[c("category")]
+    ferry, speed, n = c("category") == 13, table(XATF_SPEED), table(XATF_LANES)
+    circle = F.floor(N.great_circle(c("tail_lat"), c("tail_lng"), c("head_lat"), c("head_lng")) + 0.5).cast("long")
+    return rows.select(
+        "tail", "head", "category", F.when(ferry, circle).otherwise(c("given")).alias("length"),
+        F.when(ferry, 600 * c("given")).otherwise(N.travel_time(c("given"), speed)).alias("travel_time"), n.cast("long").alias("lanes"),
+        F.when(ferry, 0).otherwise(F.floor(9000.0 * n * speed / (5 * speed + 45) + 0.5)).cast("long").alias("capacity"),
+    )
+
+
+def visum_edges(rows: DataFrame, max_speed: DataFrame, system: str, period: int = 1) -> DataFrame:
+    """(tail, head, length, free_flow_speed, lanes, capacity) of rows (tail, head, type, systems, length, lanes, capacity, speed) as text.
+
+    Rows that the transport system may not use, without capacity or at speed 0 go; max_speed: (type, top).
+    """
+    number = lambda n, unit="": F.regexp_replace(F.trim(n), f"{unit}$", "").cast("double")
+    speed = F.least(number("speed", "km/h").cast("long"), c("top"))
+    open_ = F.array_contains(F.split("systems", ","), system)
+    kept = rows.where(open_).join(max_speed, "type").withColumn("free_flow_speed", speed).where((c("free_flow_speed") > 0) & (number("capacity") > 0))
+    return kept.select(
+        "tail", "head", F.floor(number("length", "km") * 1000 + 0.5).cast("long").alias("length"), "free_flow_speed", number("lanes").cast("long").alias("lanes"),
+        F.floor(number("capacity") / period + 0.5).cast("long").alias("capacity"),
+    )
+
+
+def attributes(rows: DataFrame) -> DataFrame:
+    """(attribute): the names of a table's columns, by its schema alone."""
+    return rows.sparkSession.createDataFrame([(n,) for n in rows.columns], "attribute string")
+
+
+def write_csv(rows: DataFrame, path: str, names: dict[str, str]) -> None:
+    """Columns under the names of a dialect, with a header."""
+    rows.select(*[c(to).alias(n) for n, to in names.items()]).write.mode("overwrite").option("header", True).csv(path)
