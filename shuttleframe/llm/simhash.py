@@ -147,6 +147,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Samples of a text, shingles in each, and smallest hashes that a sketch keeps.
 SAMPLES, PICKED, SKETCH = 10, 3, 128
+#: Four standard deviations of a similarity of 0.8 as a sketch estimates it.
+UNSURE = 0.15
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
@@ -184,11 +186,23 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return kept.mapInArrow(run, "kd bigint, kt bigint, fp bigint, samples array<bigint>, sketch array<bigint>")
 
 
-def similar(rows: DataFrame, least: float) -> DataFrame:
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """kt, hashes (all different shingles) of rows (kt, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 50):
+            sets = [np.unique(shingles(t, shingle)).view(np.int64) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("kt"), pa.array(sets, pa.list_(pa.int64()))], names=["kt", "hashes"])
+
+    return rows.select("kt", "text").mapInArrow(run, "kt bigint, hashes array<bigint>")
+
+
+def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples.
 
     A group that shares a sample is tied to its first and last member, never pair by pair. The similarity is that of the
-    sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes of their union.
+    sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes of their union; an estimate
+    within UNSURE of ``least`` gives way to the whole sets, made again from ``whole_texts`` (kt, text).
     """
     keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
     ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
@@ -204,7 +218,15 @@ def similar(rows: DataFrame, least: float) -> DataFrame:
     least_of = F.when(full, union).otherwise(F.slice(union, 1, SKETCH))
     shared = F.transform(F.array_intersect("x", "y"), lambda h: h.bitwiseXOR(flip))
     share = F.size(F.array_intersect(least_of, shared)) / F.size(least_of)
-    return both.where((F.size("x") > 0) & (F.size("y") > 0)).where(share >= least).select("a", "b")
+    judged = both.where((F.size("x") > 0) & (F.size("y") > 0)).select("a", "b", full.alias("full"), share.alias("share"))
+    judged = stored(judged.where(F.col("share") >= F.when(F.col("full"), least).otherwise(least - UNSURE)), "judged")
+    sure = judged.where(F.col("full") | (F.col("share") >= least + UNSURE)).select("a", "b")
+    unsure = judged.where(~F.col("full") & (F.col("share") < least + UNSURE)).select("a", "b")
+    asked = unsure.select(F.col("a").alias("kt")).union(unsure.select("b")).distinct()
+    sets = stored(shingle_sets(whole_texts.join(asked, "kt", "left_semi").dropDuplicates(["kt"]), shingle), "sets")
+    met = unsure.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return sure.union(met.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, least: float = 0.8) -> DataFrame:
@@ -221,7 +243,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, lea
     near = links(of_fp.select("fp"), radius)
     by_fp = near.join(of_fp.select(F.col("fp").alias("a"), F.col("top").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("top").alias("kb")), "b").select("ka", "kb")
     same = rows.select("fp", "kt").distinct().join(of_fp, "fp").where("kt <> top").select("top", "kt")
-    every = by_fp.union(same).union(similar(rows, least)).toDF("a", "b")
+    whole_texts = keyed.select(F.col("__kt").alias("kt"), whole().alias("text"))
+    every = by_fp.union(same).union(similar(rows, whole_texts, shingle, least)).toDF("a", "b")
     found = components(every)
     rooted = rows.select("kd", "kt").join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("kd", "kt")).alias("m")).select(F.col("m.kd").alias("__kd"), F.col("m.kt").alias("__kt"))
