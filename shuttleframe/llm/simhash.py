@@ -197,17 +197,12 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("kt", "text").mapInArrow(run, "kt bigint, hashes array<bigint>")
 
 
-def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples.
+def verified(pairs: DataFrame, rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more.
 
-    A group that shares a sample is tied to its first and last member, never pair by pair. The similarity is that of the
-    sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes of their union; an estimate
-    within UNSURE of ``least`` gives way to the whole sets, made again from ``whole_texts`` (kt, text).
+    The similarity is that of the sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes
+    of their union; an estimate within UNSURE of ``least`` gives way to the whole sets, made again from ``whole_texts``.
     """
-    keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
-    ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
-    tied = stored(keys.join(ends, ["k", "sample"]), "tied").select("kt", F.explode(F.array("lo", "hi")).alias("end")).where("kt <> end")
-    pairs = stored(tied.select(F.least("kt", "end").alias("a"), F.greatest("kt", "end").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
     own = stored(rows.select("kt", "sketch").join(nodes, "kt", "left_semi").dropDuplicates(["kt"]), "sketches")
     both = pairs.join(own.select(F.col("kt").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("kt").alias("b"), F.col("sketch").alias("y")), "b")
@@ -229,6 +224,33 @@ def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float)
     return sure.union(met.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"))
 
 
+def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples.
+
+    A group that shares a sample is never paired up. First its members are tied to its first and last one, which links the
+    copies of one text. Texts that this leaves without a link to a smaller one (at least one of each linked group) may be
+    like another member; they are tied to four members that random orders choose, others for each sample.
+    """
+    keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
+    ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
+    tied = stored(keys.join(ends, ["k", "sample"]), "tied")
+    first = stored(verified(_tied(tied, F.array("lo", "hi")), rows, whole_texts, shingle, least), "first-links")
+    linked = first.select(F.col("b").alias("kt")).distinct()
+    alone = stored(tied.select("kt", "k", "sample").join(linked, "kt", "left_anti"), "alone")
+    groups = alone.select("k", "sample").distinct()
+    orders = [F.xxhash64("k", "kt"), F.xxhash64("kt", "k")]
+    leaders = tied.join(groups, ["k", "sample"], "left_semi").groupBy("k", "sample").agg(*[f("kt", o).alias(f"m{i}{f.__name__}") for i, o in enumerate(orders) for f in (F.min_by, F.max_by)])
+    leaders = stored(leaders.select("k", "sample", F.array(*[m for m in leaders.columns if m not in ("k", "sample")]).alias("ends")), "leaders")
+    second = verified(_tied(alone.join(leaders, ["k", "sample"]), F.col("ends")), rows, whole_texts, shingle, least)
+    return first.union(second)
+
+
+def _tied(members: DataFrame, ends) -> DataFrame:
+    """Different pairs (a, b) of each kt and its ends."""
+    ties = members.select("kt", F.explode(ends).alias("end")).where("kt <> end")
+    return stored(ties.select(F.least("kt", "end").alias("a"), F.greatest("kt", "end").alias("b")).distinct(), "pairs")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest doc_id (of equal ones any one of them).
 
