@@ -15,10 +15,12 @@ most two bits, so this way is exact for r <= 2, and it makes 65 rows a member wh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -149,19 +151,54 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES, PICKED, SKETCH = 10, 3, 128
 #: Four standard deviations of a similarity of 0.8 as a sketch estimates it.
 UNSURE = 0.15
+#: Texts (and shingles of each) that tell which shingles are common, at most. They only order shingles; no link depends on them.
+COMMON_TEXTS, COMMON_SHINGLES, COMMON = 10_000, 5_000, 4
+#: Keys up to which texts are looked up by a broadcast; beyond, they are dealt by hash.
+SENT_KEYS = 1_000_000
+#: Texts of a block when candidate pairs are verified.
+BLOCK = 500
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """kd, kt, fp, samples, sketch of every row: the SimHash of the text, those of its samples, its smallest hashes.
+def common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) that COMMON or more texts of a sample by hash have, and how many have them."""
+    every = max(1, keyed.count() // COMMON_TEXTS)
+    some = keyed.where(F.pmod(F.xxhash64("__kt"), F.lit(every)) == 0).select("__kt", whole().alias("text")).dropDuplicates(["__kt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 50):
+            hashes = [np.unique(shingles(t, shingle))[:COMMON_SHINGLES].view(np.int64) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes))], names=["h"])
+
+    found = some.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toPandas()
+    hashes = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy(np.int64)[order]
+
+
+def rarest(one: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a text, rare ones first, by an order that all texts share: so many that two texts of similarity
+    ``least`` or more have one of them in common."""
+    hashes, counts = common
+    rank = np.zeros(len(one), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, one), len(hashes) - 1)
+        rank = np.where(hashes[at] == one, counts[at], 0)
+    return one[np.lexsort((one, rank))][: len(one) - math.ceil(least * len(one) - 1e-6) + 1]
+
+
+def sketched(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """kd, kt, fp, samples, sketch, n, rare of every row: the SimHash of the text, those of its samples, its smallest hashes,
+    the number of its shingles, its rarest ones.
 
     Sample k is the PICKED shingles that come first in the k-th random order of all shingles, so texts that share most
     shingles share most samples, and a shared sample has the same SimHash whatever else the texts hold.
     """
     seeds = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            fps, samples, sketches = [], [], []
+        for b in chunks(batches, 200):
+            fps, samples, sketches, sizes, rare = [], [], [], [], []
             for t in texts(b):
                 h = shingles(t, shingle)
                 fps.append(majority(h))
@@ -176,14 +213,16 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                     keys.append((x & y) | (x & z) | (y & z))
                 samples.append(np.array(keys, np.uint64).view(np.int64))
                 sketches.append(one[:SKETCH].view(np.int64))
+                sizes.append(len(one))
+                rare.append(rarest(one, sent.value, least).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("__kd"), b.column("__kt"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, longs), pa.array(sketches, longs)],
-                names=["kd", "kt", "fp", "samples", "sketch"],
+                [b.column("__kd"), b.column("__kt"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, longs), pa.array(sketches, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)],
+                names=["kd", "kt", "fp", "samples", "sketch", "n", "rare"],
             )
 
     kept = docs.select("__kd", "__kt", whole().alias("text"))
-    return kept.mapInArrow(run, "kd bigint, kt bigint, fp bigint, samples array<bigint>, sketch array<bigint>")
+    return kept.mapInArrow(run, "kd bigint, kt bigint, fp bigint, samples array<bigint>, sketch array<bigint>, n int, rare array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -197,6 +236,14 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("kt", "text").mapInArrow(run, "kt bigint, hashes array<bigint>")
 
 
+def sets_of(whole_texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """kt, hashes of the texts whose kt is among ``asked`` (kt, distinct), as a table."""
+    asked = stored(asked, "asked")
+    few = asked.count() <= SENT_KEYS
+    found = whole_texts.join(F.broadcast(asked) if few else asked, "kt", "left_semi")
+    return stored(shingle_sets(found.dropDuplicates(["kt"]), shingle), "sets")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more.
 
@@ -218,31 +265,96 @@ def verified(pairs: DataFrame, rows: DataFrame, whole_texts: DataFrame, shingle:
     sure = judged.where(F.col("full") | (F.col("share") >= least + UNSURE)).select("a", "b")
     unsure = judged.where(~F.col("full") & (F.col("share") < least + UNSURE)).select("a", "b")
     asked = unsure.select(F.col("a").alias("kt")).union(unsure.select("b")).distinct()
-    sets = stored(shingle_sets(whole_texts.join(asked, "kt", "left_semi").dropDuplicates(["kt"]), shingle), "sets")
+    sets = sets_of(whole_texts, asked, shingle)
     met = unsure.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return sure.union(met.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"))
 
 
 def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples.
+    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples: a first pass.
 
-    A group that shares a sample is never paired up. First its members are tied to its first and last one, which links the
-    copies of one text. Texts that this leaves without a link to a smaller one (at least one of each linked group) may be
-    like another member; they are tied to four members that random orders choose, others for each sample.
+    A group that shares a sample is never paired up: its members are tied to its first and last one, which links the copies
+    of one text and most near copies. ``missed`` finds the links between the groups that this leaves.
     """
     keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
     ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
-    tied = stored(keys.join(ends, ["k", "sample"]), "tied")
-    first = stored(verified(_tied(tied, F.array("lo", "hi")), rows, whole_texts, shingle, least), "first-links")
-    linked = first.select(F.col("b").alias("kt")).distinct()
-    alone = stored(tied.select("kt", "k", "sample").join(linked, "kt", "left_anti"), "alone")
-    groups = alone.select("k", "sample").distinct()
-    orders = [F.xxhash64("k", "kt"), F.xxhash64("kt", "k")]
-    leaders = tied.join(groups, ["k", "sample"], "left_semi").groupBy("k", "sample").agg(*[f("kt", o).alias(f"m{i}{f.__name__}") for i, o in enumerate(orders) for f in (F.min_by, F.max_by)])
-    leaders = stored(leaders.select("k", "sample", F.array(*[m for m in leaders.columns if m not in ("k", "sample")]).alias("ends")), "leaders")
-    second = verified(_tied(alone.join(leaders, ["k", "sample"]), F.col("ends")), rows, whole_texts, shingle, least)
-    return first.union(second)
+    tied = keys.join(ends, ["k", "sample"])
+    return stored(verified(_tied(tied, F.array("lo", "hi")), rows, whole_texts, shingle, least), "first-links")
+
+
+def missed(rows: DataFrame, found: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b) of roots of ``found`` (node, root) that some two texts of similarity ``least`` or more tie together. All such.
+
+    Sets x and y that are so alike have least / (1 + least) * (|x| + |y|) shingles in common. In an order that all sets share,
+    the first common one has so many left in both, itself included, so it is among the ``rare`` ones of both, and in the
+    smaller set, where 2 * least / (1 + least) of the set are left, even further ahead. Texts that meet in such a shingle and
+    aren't in one group yet are candidates; the whole sets decide on every one of them.
+    """
+    part = least / (1 + least)
+    places = rows.select("kt", "n", F.posexplode("rare").alias("at", "h")).select("h", "kt", "n", (F.col("n") - F.col("at")).alias("left")).repartition("h")
+    head = F.col("left") >= 2 * part * F.col("n") - 1e-6
+    # Both uses of the places read one shuffle.
+    met = places.groupBy("h").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi"), F.max(head).alias("head")).where("lo < hi and head").select("h")
+    places = stored(places.join(met, "h").distinct(), "places")
+    places = places.join(found.select(F.col("node").alias("kt"), "root"), "kt", "left").withColumn("root", F.coalesce("root", "kt"))
+    split = places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    places = stored(places.join(split, "h"), "split-places")
+    # Groups are paired before their members, so that the members of a large one never meet each other.
+    groups = places.groupBy("h", "root").agg(F.max(head).alias("head"))
+    across = groups.where("head").select("h", F.col("root").alias("ra")).join(groups.select("h", F.col("root").alias("rb")), "h").where("ra <> rb")
+    left = places.where(head).select("h", F.col("root").alias("ra"), F.col("kt").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+    right = places.select("h", F.col("root").alias("rb"), F.col("kt").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    near = across.join(left, ["h", "ra"]).join(right, ["h", "rb"]).where(F.least("la", "lb") >= part * (F.col("na") + F.col("nb")) - 1e-6)
+    turned = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))
+    pairs = stored(near.select(turned.alias("p")).select("p.*").distinct(), "candidates")
+    # Of the first shingles, the rare ones, so alike sets have all in common but |x| - least / (1 + least) * (|x| + |y|) of x.
+    nodes = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
+    heads = stored(rows.select("kt", "n", F.col("rare").alias("hashes")).join(nodes, "kt", "left_semi").dropDuplicates(["kt"]), "heads")
+
+    def may(common, x, y, head_x, head_y):
+        wanted = np.ceil(part * (x + y) - 1e-6)
+        return common >= np.minimum(head_x - x, head_y - y) + wanted
+
+    pairs = stored(judged(pairs, heads, may), "likely")
+    asked = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
+    sets = sets_of(whole_texts, asked, shingle).withColumn("n", F.size("hashes"))
+    alike = judged(pairs, sets, lambda common, x, y, *_: common / (x + y - common) >= least)
+    return alike.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def judged(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b, ra, rb) that pass ``test`` (hashes in common, n of a and b, hashes of a and b), with sets (kt, n, hashes).
+
+    Texts are dealt to blocks by hash and pairs to cells of two blocks; a text goes once to each cell where it has a pair.
+    """
+    blocks = max(1, sets.count() // BLOCK)
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    celled = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    wanted = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().toDF("at", "kt")
+
+    def judge(of_cell: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        keys = members["kt"].to_numpy(np.int64)
+        by_key = np.argsort(keys)
+        place = lambda x: by_key[np.searchsorted(keys, x.to_numpy(np.int64), sorter=by_key)]
+        hashes = members["hashes"].tolist()
+        sizes, n = np.array([len(h) for h in hashes], np.int64), members["n"].to_numpy(np.int64)
+        ends = np.cumsum(sizes)
+        ids = np.unique(np.concatenate(hashes), return_inverse=True)[1].reshape(-1)
+        one = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        a, b = place(of_cell["a"]), place(of_cell["b"])
+        mark, alike = np.zeros(len(ids) + 1, bool), np.zeros(len(a), bool)
+        order = np.argsort(a, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            x = a[run[0]]
+            mark[one[x]] = True
+            common = np.array([np.count_nonzero(mark[one[y]]) for y in b[run]])
+            alike[run] = test(common, n[x], n[b[run]], sizes[x], sizes[b[run]])
+            mark[one[x]] = False
+        return of_cell.loc[alike, ["a", "b", "ra", "rb"]]
+
+    dealt = wanted.join(sets, "kt").groupBy("at")
+    return celled.groupBy("cell").cogroup(dealt).applyInPandas(judge, "a bigint, b bigint, ra bigint, rb bigint")
 
 
 def _tied(members: DataFrame, ends) -> DataFrame:
@@ -254,13 +366,14 @@ def _tied(members: DataFrame, ends) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest doc_id (of equal ones any one of them).
 
-    Texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if they share the SimHash of a
-    sample of shingles and their shingle sets have a similarity of ``least`` or more: fingerprints of texts that are 0.8
-    alike differ in some ten bits, beyond what a grid of popcounts can join. Texts are told apart by a hash of 64 bits.
+    Texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if their shingle sets have a
+    similarity of ``least`` or more: fingerprints of texts that are 0.8 alike differ in some ten bits, beyond what a grid of
+    popcounts can join. Most of these links come from shared samples of shingles, and ``missed`` adds every one that joins
+    two groups. Texts are told apart by a hash of 64 bits.
     """
     key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64(whole()).alias("__kt")]
     keyed = docs.select("*", *key)
-    rows = stored(sketched(keyed, shingle), "sketched")
+    rows = stored(sketched(keyed, shingle, least), "sketched")
     of_fp = rows.groupBy("fp").agg(F.min("kt").alias("top"))
     near = links(of_fp.select("fp"), radius)
     by_fp = near.join(of_fp.select(F.col("fp").alias("a"), F.col("top").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("top").alias("kb")), "b").select("ka", "kb")
@@ -268,6 +381,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, lea
     whole_texts = keyed.select(F.col("__kt").alias("kt"), whole().alias("text"))
     every = by_fp.union(same).union(similar(rows, whole_texts, shingle, least)).toDF("a", "b")
     found = components(every)
-    rooted = rows.select("kd", "kt").join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("root"))
+    joined = components(missed(rows, found, whole_texts, shingle, least)).toDF("old", "new")
+    rooted = rows.select("kd", "kt").join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("old"))
+    rooted = rooted.join(joined, "old", "left").select("kd", "kt", F.coalesce("new", "old").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("kd", "kt")).alias("m")).select(F.col("m.kd").alias("__kd"), F.col("m.kt").alias("__kt"))
     return keyed.join(first, ["__kd", "__kt"], "left_semi").dropDuplicates(["__kd", "__kt"]).select(*docs.columns)

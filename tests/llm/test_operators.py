@@ -373,6 +373,49 @@ def test_near_duplicates_of_similarity_keep_one(spark):
     assert kept == sorted(min(ids) for ids in groups.values())
 
 
+def test_near_duplicates_in_a_family_with_a_template(spark):
+    from shuttleframe.llm import simhash
+
+    r = random.Random(8)
+    token = lambda: f"w{r.randrange(10**9)}"
+    template = [token() for _ in range(256)]
+    rows = []
+    for _ in range(1000):  # two of a pair are 0.9 alike, other members 0.74
+        own = [token() for _ in range(32)]
+        rows += [" ".join(template + own + [token() for _ in range(12)]) for _ in range(2)]
+    for _ in range(20):  # chains whose neighbours are alike, the ends not
+        chain = template + [token() for _ in range(60)]
+        for _ in range(6):
+            rows.append(" ".join(chain))
+            chain = chain[:256] + chain[272:] + [token() for _ in range(16)]
+    r.shuffle(rows)
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in rows]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for h in s:
+            holders[h].append(i)
+    holders = {h: np.array(at) for h, at in holders.items()}
+    counts, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
+    sizes, fps = np.array([len(s) for s in sets]), np.array([simhash.fingerprint(t, 5) for t in rows], np.uint64)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        counts[:] = 0
+        for h in s:
+            counts[holders[h]] += 1
+        alike = counts / (sizes[i] + sizes - counts) >= 0.8
+        for j in np.flatnonzero(alike | (np.bitwise_count(fps ^ fps[i]) <= 2)):
+            x, y = sorted((top(i), top(int(j))))
+            root[y] = x
+    want = [i for i in range(len(rows)) if top(i) == i]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, source string").repartition(4)
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == want
+
+
 def test_components_of_a_chain(spark):
     from shuttleframe.llm.components import components
 
