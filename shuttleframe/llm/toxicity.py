@@ -35,8 +35,6 @@ LEAST_ODDS = 2.0
 LEAST_RATIO = 20.0
 TOKEN = regex.compile(r"[^\W\d_]+")
 EPOCHS = 60
-#: Windows of a training document, at most.
-WINDOWS = 12
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -165,7 +163,7 @@ def _train(chains: list, names: list[str]) -> Model:
     blocks, tags = [], []
     for n, marked, tag in chains:
         by = {i: (ids, y) for (i, ids), y in zip(marked, tag, strict=True)}
-        starts = sorted({max(0, min(n - 1, i - i % span)) for i in by})[:WINDOWS] or [0]
+        starts = sorted({max(0, min(n - 1, i - i % span)) for i in by}) or [0]
         for s in starts:
             length = min(span, n - s)
             row, y = np.full((span, width), -1, np.int32), np.full(span, -1, np.int8)
@@ -273,7 +271,7 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows that aren't held out: a sample by hash of SAMPLE_ROWS rows and SAMPLE_CHARS characters at most.
 
-    Rows whose label is null don't count.
+    Rows whose label is null don't count. A row that doesn't fit the rest of the characters is skipped, and others go on.
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train_rows = marked.where(~held_out())
@@ -289,10 +287,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     picked = rows.select("toxic", "text").withColumn("n", F.length("text")).orderBy(F.xxhash64("text"), "toxic")
     out, size = [], 0
-    for r in picked.select("text", "toxic").toLocalIterator():
+    for r in picked.where(F.col("n") <= SAMPLE_CHARS).select("text", "toxic").toLocalIterator():
+        if size + len(r["text"]) > SAMPLE_CHARS:
+            continue
         size += len(r["text"])
-        if size > SAMPLE_CHARS:
-            break
         out.append((r["text"], int(r["toxic"])))
     return fit(out)
 

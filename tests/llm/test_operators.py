@@ -437,6 +437,28 @@ def test_toxicity_learns_and_holds_out(spark, tmp_path):
     assert hit > 0.85 and false < 0.03
 
 
+def test_toxicity_trains_on_every_window():
+    from shuttleframe.llm import toxicity
+
+    marked = [(8 * i, [0]) for i in range(12)] + [(8 * i, [1]) for i in range(12, 40)]
+    model = toxicity._train([(320, marked, [0] * 12 + [1] * 28)], ["w=early", "w=late"])
+    assert model.weights["w=late"] > 1 > model.weights["w=early"]
+
+
+def test_toxicity_skips_a_row_that_does_not_fit(spark, monkeypatch):
+    from shuttleframe.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20_000)
+    rows = [(i, f"{'idiot ' * 3 if i % 2 else ''}plain words number{i} of all", i % 2) for i in range(400)]
+    rows += [(1000 + i, "filler " * (3_500 - i), 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", taken.extend)
+    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    kept = [t for i, t, _ in rows if i < 1000 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(t for t, _ in taken) == sorted(kept)
+
+
 def test_crf_marginals_equal_enumeration():
     from itertools import product
 
