@@ -37,6 +37,11 @@ TOKEN = regex.compile(r"[^\W\d_]+")
 EPOCHS = 60
 
 
+def lowered(text: str) -> list[str]:
+    """Tokens of a text, each lower-cased on its own: their places are those of TOKEN in the text, whatever lower-casing does."""
+    return [t.lower() for t in TOKEN.findall(text)]
+
+
 def features(token: str) -> tuple[str, ...]:
     """Form, prefixes of 4 and 5 characters, suffix of 4, of a lower-cased token."""
     out = [f"w={token}"]
@@ -138,7 +143,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not any(labels) or all(labels):
         return Model()
     same: dict[str, str] = {}
-    tokens = [[same.setdefault(w, w) for w in TOKEN.findall(t.lower())] for t, _ in rows]
+    tokens = [[same.setdefault(w, w) for w in lowered(t)] for t, _ in rows]
     odds = _tag(tokens, labels)
     if not odds:
         return Model()
@@ -304,14 +309,13 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for b in chunks(batches):
             scores, spans = [], []
             for text in texts(b):
-                low = text.lower()
-                tokens = TOKEN.findall(low)
+                tokens = lowered(text)
                 places, p = tag(model, tokens, memory)
                 scores.append(score(model, len(tokens), p))
                 hit = {int(i): float(v) for i, v in zip(places, p, strict=True) if v >= 0.5}
                 found = []
-                if hit and len(low) == len(text):
-                    found = [{"start": m.start(), "end": m.end(), "p": hit[i]} for i, m in enumerate(TOKEN.finditer(low)) if i in hit]
+                if hit:
+                    found = [{"start": m.start(), "end": m.end(), "p": hit[i]} for i, m in enumerate(TOKEN.finditer(text)) if i in hit]
                 spans.append(found)
             arrays = [*[b.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())]
             arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))

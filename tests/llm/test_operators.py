@@ -459,6 +459,17 @@ def test_toxicity_skips_a_row_that_does_not_fit(spark, monkeypatch):
     assert sorted(t for t, _ in taken) == sorted(kept)
 
 
+def test_toxicity_offsets_where_lower_casing_changes_the_length(spark):
+    from shuttleframe.llm import toxicity
+
+    model = toxicity.Model({"w=idiot": 12.0}, curve=(1.0, 1.0, -1.0))
+    text = "\u0130stanbul you IDIOT and Idiot \u0130"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("\u0130", "I"))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, model, ["doc_id"]).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(m.start(), m.end()) for m in re.finditer("idiot", text, re.I)]
+    assert got[1]["spans"] == got[2]["spans"]
+
+
 def test_crf_marginals_equal_enumeration():
     from itertools import product
 
