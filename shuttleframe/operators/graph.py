@@ -84,7 +84,7 @@ def distances(edges: DataFrame, seeds: DataFrame, radius: int | None = None, wei
 
 
 def relaxed(edges: DataFrame, seeds: DataFrame, radius: int | None = None, weight: str = "travel_time") -> DataFrame:
-    arcs = edges.select(c("tail").alias("vertex_id"), "head", c(weight).alias("w"))
+    arcs = edges.select(c("tail").alias("vertex_id"), "head", c(weight).alias("w")).where("w is not null")
     best = front = _cut(seeds.groupBy("source", "vertex_id").agg(F.min("dist").cast("long").alias("dist")))
     while not front.isEmpty():
         step = front.join(arcs, "vertex_id").select("source", c("head").alias("vertex_id"), (c("dist") + c("w")).alias("dist"))
