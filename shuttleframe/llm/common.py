@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shuttleframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: On paths of a local or mounted file system: no checksum file beside each file. Hadoop starts a process for every permission
+#: that it sets there, four a file with checksums and one without. Stores with a scheme of their own aren't concerned.
+PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **PLAIN_LOCAL_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +55,14 @@ def whole(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def by_place(docs: DataFrame, *named: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns renamed __0, __1, ..., and the ``named`` ones under their names besides; and the way back, which
+    takes the names in ``named`` as the values of their columns. So columns may have any names."""
+    names = docs.columns
+    plain = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"__{i}") for i, c in enumerate(names) if c not in named], *[F.col(c) for c in named])
+    return plain, lambda df: df.select(*[F.col(c if c in named else f"__{i}").alias(c) for i, c in enumerate(names)])
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, stored, whole
+from .common import WORD, by_place, documents, stored, whole
 
 # Weights of the sources in their order, repeating; share of all words; most copies of a source.
 WEIGHTS = (5, 2, 1)
@@ -62,6 +62,18 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``nth``, their place among equal rows. Equal rows are counted, with a combine before the shuffle, and made
+    again from the count in blocks of CHUNK, so that no task holds all of a row that a third of the table repeats."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    last = F.col("times") - 1
+    block = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("long"))))
+    many = block.where(F.col("times") > CHUNK).repartition("block", *rows.columns)
+    every = block.where(F.col("times") <= CHUNK).unionByName(many)
+    first = F.col("block") * CHUNK
+    return every.withColumn("nth", F.explode(F.sequence(first, F.least(first + CHUNK - 1, last)))).select(*rows.columns, "nth")
+
+
 def _draw(row: int, level: int) -> float:
     digest = hashlib.blake2b(f"{row}:{level}".encode(), digest_size=8).digest()
     return (int.from_bytes(digest, "big") >> 11) / (1 << 53)
@@ -112,10 +124,11 @@ def mix(sized: DataFrame, share: float = SHARE) -> DataFrame:
     names = sized.columns
     goal = targets(sized.select("source", "size"), share)
     rows = (
-        sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        numbered(sized)
+        .join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .withColumn("h", F.xxhash64(*names))
+        .withColumn("h", F.xxhash64(*names, "nth"))
         .withColumn("copies", F.floor(F.col("e") + 1e-9).cast("long"))
         .withColumn("part", F.greatest(F.col("e") - F.col("copies"), F.lit(0.0)))
         .withColumn("part", F.when(F.col("part") < 1e-9, 0.0).otherwise(F.col("part")))
@@ -154,16 +167,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents, each as often as the mix takes it; the partial one of a source counts when half of it is taken."""
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64("text").alias("__kt")]
-    keyed = docs.select("*", *key)
-    sized = stored(keyed.select("__kd", "__kt", "source", words().alias("size")), "sizes")
-    mixed = mix(sized, share)
-    times = (
-        mixed.select("__kd", "__kt", (F.col("copies") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).cast("int").alias("__times"))
-        .groupBy("__kd", "__kt")
-        .agg(F.max("__times").alias("__times"))
-        .where("__times > 0")
-    )
-    every = keyed.join(times, ["__kd", "__kt"])
-    return every.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """The documents, each as often as the mix takes it; the partial one of a source counts when half of it is taken.
+
+    Rows that are equal as a whole are one row with the sum of their copies; null texts have no words and aren't taken; a null
+    doc_id is a value like any other; columns may have any names; an empty table gives an empty one.
+    """
+    plain, back = by_place(docs, "text", "source")
+    # Rows that differ in any column have different keys; maps can't be hashed and are compared by their texts.
+    parts = [F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in plain.schema]
+    keyed = plain.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(1), *[F.isnull(c) for c in plain.columns], *parts)})
+    sized = stored(keyed.select("k1", "k2", "source", words().alias("size")), "sizes")
+    taken = mix(sized, share).groupBy("k1", "k2").agg(F.sum(F.col("copies") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).alias("times"))
+    taken = stored(taken.where("times > 0"), "times")
+    every = keyed.dropDuplicates(["k1", "k2"]).join(taken, ["k1", "k2"])
+    return back(every.withColumn("k1", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -29,7 +29,7 @@ CAPACITY = 4096
 #: The id that ends each document.
 END = 1
 #: Words that a worker remembers the ids of, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAPACITY, end: int = END) -> DataFrame:

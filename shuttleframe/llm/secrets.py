@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, whole
+from .common import by_place, documents, stored, whole
 
 # The patterns of the contract, by kind in the order in which kinds are listed.
 ASSIGN = (
@@ -33,13 +33,19 @@ MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 #: A value that this many owners hold, or more, is an example.
 EXAMPLE_OWNERS = 3
 
+#: Parts of a text that are gathered before they join the others.
+RUN = 256
 MARK, CUT, PLAIN = "\x01", "\x02", "\x03"
 
 
 def _cells(marked: Column) -> Column:
-    """Array of (part, start, end) for every second part of a marked text; CUT marks don't count as characters."""
+    """Array of (part, start, end) for every second part of a marked text; CUT marks don't count as characters.
+
+    An array grows by a copy, so parts are gathered in runs of RUN, and runs in the whole.
+    """
     parts = F.split(marked, MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<part:string,start:int,end:int>>").alias("found"))
+    none = F.array().cast("array<struct<part:string,start:int,end:int>>").alias("found")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part) - F.when(F.instr(part, CUT) > 0, 1).otherwise(0)
@@ -48,7 +54,12 @@ def _cells(marked: Column) -> Column:
             end.alias("at"), (acc["i"] + 1).alias("i"), F.when(acc["i"] % 2 == 1, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found")
         )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    def run(acc: Column, k: Column) -> Column:
+        one = F.aggregate(F.slice(parts, k * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), acc["i"].alias("i"), none), step)
+        return F.transform(F.array(one), lambda x: F.struct(x["at"].alias("at"), x["i"].alias("i"), F.concat(acc["found"], x["found"]).alias("found")))[0]
+
+    whole_runs = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), start, run, lambda acc: acc["found"])
+    return F.when(F.size(parts) <= RUN, F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(whole_runs)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -110,7 +121,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, counts a kind, ``base`` and ``spans`` arrays of (start, kind, end) in order, live and example counts."""
+    """``keep`` columns, repository, counts a kind, ``base`` and ``spans`` arrays of (start, kind, end, n_owners, n_repositories) in order.
+
+    Only rows with candidates are dealt out; the others, nearly all, stay where they are.
+    """
+    base_kinds = len(KINDS) - 1
     rows = stored(scan(docs, keep).withColumn("row", F.monotonically_increasing_id()), "secrets")
     every = F.concat("assign", "access", "hex", "opaque")
     candidates = (
@@ -118,30 +133,23 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
         .select("row", "repository", "owner", F.explode(every).alias("span"))
         .select("row", "repository", "owner", "span", F.sha2("span.value", 256).alias("value_hash"))
     )
+    # Written first: a value that very many rows hold is then a large partition of a plain exchange, which Spark can split.
+    owned = stored(ownership(candidates), "ownership")
     judged = (
-        candidates.join(ownership(candidates), "value_hash")
+        candidates.join(owned, "value_hash")
+        .select("row", F.struct("span.start", "span.kind", "span.end", "n_owners", "n_repositories").alias("s"))
         .groupBy("row")
         .agg(
-            F.array_sort(F.collect_list(F.struct("span.start", "span.kind", "span.end", "n_owners", "n_repositories"))).alias("judged")
+            F.array_sort(F.collect_list(F.when(F.col("s.kind") < base_kinds, F.col("s")))).alias("base"),
+            # A span is added if its value has one owner and no base span covers a part of it.
+            F.collect_list(F.when((F.col("s.kind") >= base_kinds) & (F.col("s.n_owners") == 1), F.col("s"))).alias("others"),
         )
     )
-    base_kinds = len(KINDS) - 1
-    none = F.array().cast(judged.schema["judged"].dataType)
-    judged_rows = rows.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", none))
-    # A span is added if its value has one owner and no base span covers a part of it.
-    base = F.filter("judged", lambda s: s["kind"] < base_kinds)
-    added = F.filter(
-        "judged",
-        lambda s: (s["kind"] >= base_kinds)
-        & (s["n_owners"] == 1)
-        & ~F.exists(F.filter("judged", lambda b: b["kind"] < base_kinds), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return judged_rows.select(
-        *keep,
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        base.alias("base"),
-        F.array_sort(F.concat(base, added)).alias("spans"),
-    )
+    clear = F.filter("others", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    with_spans = rows.where(F.size(every) > 0).join(judged, "row").select(*keep, "repository", *counts, "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    none = F.array().cast(judged.schema["base"].dataType)
+    return with_spans.unionByName(rows.where(F.size(every) == 0).select(*keep, "repository", *counts, none.alias("base"), none.alias("spans")))
 
 
 def joined(spans: str) -> Column:
@@ -170,24 +178,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, fill: str = "*") -> DataFrame:
     """The rows with every live-looking secret overwritten by ``fill``, character by character; examples stay.
 
-    Values that EXAMPLE_OWNERS owners or more hold are copied examples and stay. n_chars is kept, as lengths are.
+    Values that EXAMPLE_OWNERS owners or more hold are copied examples and stay. n_chars is kept, as lengths are. Null texts
+    stay null; repeated rows stay; columns may have any names; an empty table gives an empty one.
     """
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64("text").alias("__kt")]
-    keyed = docs.select("*", *key)
-    live = F.filter("spans", lambda s: s["n_owners"] < EXAMPLE_OWNERS)
-    found = (
-        find(keyed, ["__kd", "__kt"]).select("__kd", "__kt", live.alias("__live")).where(F.size("__live") > 0).dropDuplicates(["__kd", "__kt"])
-    )
+    plain, back = by_place(docs, "text", "source")
+    others = [c for c in plain.columns if c not in ("text", "source")]
+    found = find(plain.withColumn("whole", F.col("text")), [*others, "whole"])
+    live = found.withColumn("live", F.filter("spans", lambda s: s["n_owners"] < EXAMPLE_OWNERS))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         begin = F.greatest(acc["at"], s["start"])
         end = F.greatest(begin, s["end"])
         return F.struct(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(fill), end - begin)).alias("out"),
+            F.concat(acc["out"], F.substring(F.col("whole"), acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(fill), end - begin)).alias("out"),
             end.alias("at"),
         )
 
-    clean = F.aggregate("__live", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__live").isNotNull(), clean).otherwise(F.col("text"))
-    return keyed.join(found, ["__kd", "__kt"], "left").withColumn("text", text).select(*docs.columns)
+    clean = F.aggregate("live", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("whole"), acc["at"] + 1, F.length("whole"))))
+    text = F.when(F.size("live") > 0, clean).otherwise(F.col("whole"))
+    return back(live.select(*others, text.alias("text"), F.col("repository").alias("source")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, mix64, stored, texts, whole
+from .common import by_place, chunks, documents, mix64, stored, texts, whole
 from .components import components
 
 #: Members of a grid cell that are compared with each other.
@@ -153,16 +153,18 @@ SAMPLES, PICKED, SKETCH = 10, 3, 128
 UNSURE = 0.15
 #: Texts (and shingles of each) that tell which shingles are common, at most. They only order shingles; no link depends on them.
 COMMON_TEXTS, COMMON_SHINGLES, COMMON = 10_000, 5_000, 4
-#: Keys up to which texts are looked up by a broadcast; beyond, they are dealt by hash.
+#: Keys up to which texts are looked up by a broadcast (8 MB); beyond, they are dealt by hash.
 SENT_KEYS = 1_000_000
-#: Texts of a block when candidate pairs are verified.
-BLOCK = 500
+#: Shingles of the texts of a block when candidate pairs are verified, about.
+BLOCK = 400_000
+#: Texts that a task remembers, so that copies are sketched once; a text seen again after so many others is sketched again.
+SEEN = 500_000
 
 
-def common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(keyed: DataFrame, texts_in_all: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) that COMMON or more texts of a sample by hash have, and how many have them."""
-    every = max(1, keyed.count() // COMMON_TEXTS)
-    some = keyed.where(F.pmod(F.xxhash64("__kt"), F.lit(every)) == 0).select("__kt", whole().alias("text")).dropDuplicates(["__kt"])
+    every = max(1, texts_in_all // COMMON_TEXTS)
+    some = keyed.where(F.pmod(F.xxhash64("kt"), F.lit(every)) == 0).dropDuplicates(["kt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 50):
@@ -186,21 +188,28 @@ def rarest(one: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float)
     return one[np.lexsort((one, rank))][: len(one) - math.ceil(least * len(one) - 1e-6) + 1]
 
 
-def sketched(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """kd, kt, fp, samples, sketch, n, rare of every row: the SimHash of the text, those of its samples, its smallest hashes,
-    the number of its shingles, its rarest ones.
+def sketched(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
+    """kt, fp, samples, sketch, n, rare: the SimHash of a text, those of its samples, the upper halves of its smallest hashes,
+    the number of its shingles, its rarest ones. A task gives a text once, so that copies never meet later on.
 
     Sample k is the PICKED shingles that come first in the k-th random order of all shingles, so texts that share most
     shingles share most samples, and a shared sample has the same SimHash whatever else the texts hold.
     """
     seeds = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    sent = keyed.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in chunks(batches, 200):
-            fps, samples, sketches, sizes, rare = [], [], [], [], []
-            for t in texts(b):
-                h = shingles(t, shingle)
+            kts, fps, samples, sketches, sizes, rare = [], [], [], [], [], []
+            for kt, text in zip(b.column("kt").to_pylist(), b.column("text"), strict=True):
+                if kt in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(kt)
+                h = shingles(text.as_py() or "", shingle)
+                kts.append(kt)
                 fps.append(majority(h))
                 one = np.unique(h)
                 keys = []
@@ -212,17 +221,16 @@ def sketched(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                     x, y, z = (mixed[min(i, len(mixed) - 1)] if len(mixed) else np.uint64(0) for i in range(3))
                     keys.append((x & y) | (x & z) | (y & z))
                 samples.append(np.array(keys, np.uint64).view(np.int64))
-                sketches.append(one[:SKETCH].view(np.int64))
+                sketches.append((one[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sizes.append(len(one))
                 rare.append(rarest(one, sent.value, least).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("__kd"), b.column("__kt"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, longs), pa.array(sketches, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)],
-                names=["kd", "kt", "fp", "samples", "sketch", "n", "rare"],
+                [pa.array(kts, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, longs), pa.array(sketches, pa.list_(pa.int32())), pa.array(sizes, pa.int32()), pa.array(rare, longs)],
+                names=["kt", "fp", "samples", "sketch", "n", "rare"],
             )
 
-    kept = docs.select("__kd", "__kt", whole().alias("text"))
-    return kept.mapInArrow(run, "kd bigint, kt bigint, fp bigint, samples array<bigint>, sketch array<bigint>, n int, rare array<bigint>")
+    return keyed.mapInArrow(run, "kt bigint, fp bigint, samples array<bigint>, sketch array<int>, n int, rare array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -236,101 +244,109 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("kt", "text").mapInArrow(run, "kt bigint, hashes array<bigint>")
 
 
-def sets_of(whole_texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """kt, hashes of the texts whose kt is among ``asked`` (kt, distinct), as a table."""
+def sets_of(keyed: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """kt, hashes, n of the texts whose kt is among ``asked`` (kt, distinct), as a table."""
     asked = stored(asked, "asked")
     few = asked.count() <= SENT_KEYS
-    found = whole_texts.join(F.broadcast(asked) if few else asked, "kt", "left_semi")
-    return stored(shingle_sets(found.dropDuplicates(["kt"]), shingle), "sets")
+    found = keyed.join(F.broadcast(asked) if few else asked, "kt", "left_semi")
+    return stored(shingle_sets(found.dropDuplicates(["kt"]), shingle).withColumn("n", F.size("hashes")), "sets")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more.
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
 
-    The similarity is that of the sets where both fit their sketches, else it is estimated from the SKETCH smallest hashes
-    of their union; an estimate within UNSURE of ``least`` gives way to the whole sets, made again from ``whole_texts``.
+
+def same_by_sets(pairs: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose whole shingle sets have a similarity of ``least`` or more."""
+    sets = sets_of(keyed, nodes_of(pairs), shingle)
+    return judged(pairs, sets, lambda common, x, y: common / np.maximum(x + y - common, 1) >= least)
+
+
+def similar(rows: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples: a first pass.
+
+    A group that shares a sample is never paired up: its members are tied to its first and last one, which links the copies
+    of one text and most near copies. ``missed`` finds the links between the groups that this leaves. A similarity is
+    estimated from the SKETCH smallest hashes of the union; an estimate within UNSURE of ``least``, or a bit above it where
+    sketches are whole sets, gives way to the whole sets, made again from the texts.
     """
-    nodes = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
-    own = stored(rows.select("kt", "sketch").join(nodes, "kt", "left_semi").dropDuplicates(["kt"]), "sketches")
-    both = pairs.join(own.select(F.col("kt").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("kt").alias("b"), F.col("sketch").alias("y")), "b")
+    keys = rows.where("n > 0").select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
+    # Tables on both sides of a join are plain exchanges, whose large partitions Spark can split.
+    ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
+    tied = keys.join(stored(ends, "ends"), ["k", "sample"])
+    pairs = _tied(tied, F.array("lo", "hi"))
+    own = stored(rows.select("kt", "sketch", "n").join(nodes_of(pairs), "kt", "left_semi").dropDuplicates(["kt"]), "sketches")
+    named = lambda end, sketch, n: own.select(F.col("kt").alias(end), F.col("sketch").alias(sketch), F.col("n").alias(n))
+    both = pairs.join(named("a", "x", "nx"), "a").join(named("b", "y", "ny"), "b")
     # Hashes are compared as unsigned numbers: flipping the top bit keeps their order.
-    flip = F.lit(-(1 << 63))
+    flip = F.lit(-(1 << 31))
     union = F.array_sort(F.transform(F.array_union("x", "y"), lambda h: h.bitwiseXOR(flip)))
-    full = (F.size("x") < SKETCH) & (F.size("y") < SKETCH)
+    full = (F.col("nx") <= SKETCH) & (F.col("ny") <= SKETCH)
     least_of = F.when(full, union).otherwise(F.slice(union, 1, SKETCH))
     shared = F.transform(F.array_intersect("x", "y"), lambda h: h.bitwiseXOR(flip))
     share = F.size(F.array_intersect(least_of, shared)) / F.size(least_of)
-    judged = both.where((F.size("x") > 0) & (F.size("y") > 0)).select("a", "b", full.alias("full"), share.alias("share"))
-    judged = stored(judged.where(F.col("share") >= F.when(F.col("full"), least).otherwise(least - UNSURE)), "judged")
-    sure = judged.where(F.col("full") | (F.col("share") >= least + UNSURE)).select("a", "b")
-    unsure = judged.where(~F.col("full") & (F.col("share") < least + UNSURE)).select("a", "b")
-    asked = unsure.select(F.col("a").alias("kt")).union(unsure.select("b")).distinct()
-    sets = sets_of(whole_texts, asked, shingle)
-    met = unsure.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return sure.union(met.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"))
-
-
-def similar(rows: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs (a, b) of kt whose shingle sets have a similarity of ``least`` or more, through shared samples: a first pass.
-
-    A group that shares a sample is never paired up: its members are tied to its first and last one, which links the copies
-    of one text and most near copies. ``missed`` finds the links between the groups that this leaves.
-    """
-    keys = rows.select("kt", F.posexplode("samples").alias("k", "sample")).distinct()
-    ends = keys.groupBy("k", "sample").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi")).where("lo < hi")
-    tied = keys.join(ends, ["k", "sample"])
-    return stored(verified(_tied(tied, F.array("lo", "hi")), rows, whole_texts, shingle, least), "first-links")
+    guessed = both.select("a", "b", F.when(full, 0.02).otherwise(UNSURE).alias("margin"), share.alias("share"))
+    guessed = stored(guessed.where(F.col("share") >= least - F.col("margin")), "guessed")
+    sure = F.col("share") >= least + F.col("margin")
+    unsure = guessed.where(~sure).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    return stored(guessed.where(sure).select("a", "b").union(same_by_sets(unsure, keyed, shingle, least).select("a", "b")), "first-links")
 
 
-def missed(rows: DataFrame, found: DataFrame, whole_texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def missed(rows: DataFrame, found: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """Pairs (a, b) of roots of ``found`` (node, root) that some two texts of similarity ``least`` or more tie together. All such.
 
     Sets x and y that are so alike have least / (1 + least) * (|x| + |y|) shingles in common. In an order that all sets share,
     the first common one has so many left in both, itself included, so it is among the ``rare`` ones of both, and in the
-    smaller set, where 2 * least / (1 + least) of the set are left, even further ahead. Texts that meet in such a shingle and
-    aren't in one group yet are candidates; the whole sets decide on every one of them.
+    smaller set, where 2 * least / (1 + least) of the set are left, even further ahead (its head). Texts that meet in such a
+    shingle and aren't in one group yet are candidates. What they share besides rare shingles of both lies behind all rare ones
+    of one of them, so they can't be alike if that and the rare ones in common are too few; the whole sets decide on the rest.
     """
     part = least / (1 + least)
-    places = rows.select("kt", "n", F.posexplode("rare").alias("at", "h")).select("h", "kt", "n", (F.col("n") - F.col("at")).alias("left")).repartition("h")
+    places = rows.select("kt", "n", F.posexplode("rare").alias("at", "h")).select("h", "kt", "n", (F.col("n") - F.col("at")).alias("left"))
+    # Counted with a combine before the shuffle and written, so that Spark can split a hot shingle in the join.
+    often = stored(places.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "often")
+    places = stored(places.join(often, "h", "left_semi"), "places")
+    group = found.select(F.col("node").alias("kt"), "root")
+    places = places.join(group, "kt", "left").withColumn("root", F.coalesce("root", "kt"))
     head = F.col("left") >= 2 * part * F.col("n") - 1e-6
-    # Both uses of the places read one shuffle.
-    met = places.groupBy("h").agg(F.min("kt").alias("lo"), F.max("kt").alias("hi"), F.max(head).alias("head")).where("lo < hi and head").select("h")
-    places = stored(places.join(met, "h").distinct(), "places")
-    places = places.join(found.select(F.col("node").alias("kt"), "root"), "kt", "left").withColumn("root", F.coalesce("root", "kt"))
-    split = places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    places = stored(places.join(split, "h"), "split-places")
+    met = places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(head).alias("head")).where("lo < hi")
+    places = stored(places.join(stored(met.select("h", "head"), "met"), "h").distinct(), "split-places")
     # Groups are paired before their members, so that the members of a large one never meet each other.
-    groups = places.groupBy("h", "root").agg(F.max(head).alias("head"))
-    across = groups.where("head").select("h", F.col("root").alias("ra")).join(groups.select("h", F.col("root").alias("rb")), "h").where("ra <> rb")
-    left = places.where(head).select("h", F.col("root").alias("ra"), F.col("kt").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
-    right = places.select("h", F.col("root").alias("rb"), F.col("kt").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    ahead = places.where("head")
+    groups = stored(ahead.groupBy("h", "root").agg(F.max(head).alias("first")), "groups")
+    across = groups.where("first").select("h", F.col("root").alias("ra")).join(groups.select("h", F.col("root").alias("rb")), "h").where("ra <> rb")
+    left = ahead.where(head).select("h", F.col("root").alias("ra"), F.col("kt").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+    right = ahead.select("h", F.col("root").alias("rb"), F.col("kt").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
     near = across.join(left, ["h", "ra"]).join(right, ["h", "rb"]).where(F.least("la", "lb") >= part * (F.col("na") + F.col("nb")) - 1e-6)
     turned = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))
     pairs = stored(near.select(turned.alias("p")).select("p.*").distinct(), "candidates")
-    # Of the first shingles, the rare ones, so alike sets have all in common but |x| - least / (1 + least) * (|x| + |y|) of x.
-    nodes = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
-    heads = stored(rows.select("kt", "n", F.col("rare").alias("hashes")).join(nodes, "kt", "left_semi").dropDuplicates(["kt"]), "heads")
-
-    def may(common, x, y, head_x, head_y):
-        wanted = np.ceil(part * (x + y) - 1e-6)
-        return common >= np.minimum(head_x - x, head_y - y) + wanted
-
-    pairs = stored(judged(pairs, heads, may), "likely")
-    asked = pairs.select(F.col("a").alias("kt")).union(pairs.select("b")).distinct()
-    sets = sets_of(whole_texts, asked, shingle).withColumn("n", F.size("hashes"))
-    alike = judged(pairs, sets, lambda common, x, y, *_: common / (x + y - common) >= least)
+    shared = places.join(nodes_of(pairs), "kt", "left_semi").groupBy("kt", "n").agg(F.collect_list("h").alias("hashes"))
+
+    def may(common, x, y):
+        beyond = np.ceil(least * np.maximum(x, y) - 1e-6) - 1  # shingles that aren't among the rare ones
+        return common + beyond >= np.ceil(part * (x + y) - 1e-6)
+
+    likely = stored(judged(pairs, stored(shared, "heads"), may), "likely")
+    alike = same_by_sets(likely, keyed, shingle, least)
     return alike.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def judged(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
-    """The pairs (a, b, ra, rb) that pass ``test`` (hashes in common, n of a and b, hashes of a and b), with sets (kt, n, hashes).
+    """The pairs (a, b, ra, rb), a < b, that pass ``test`` (hashes in common, n of a and b), with ``sets`` (kt, n, hashes).
 
-    Texts are dealt to blocks by hash and pairs to cells of two blocks; a text goes once to each cell where it has a pair.
+    Texts that have pairs with the same smallest text share a label, and so a block as far as their hashes fit in BLOCK;
+    others are dealt by hash. Pairs go to cells of two blocks, and a text once to each cell where it has a pair.
     """
-    blocks = max(1, sets.count() // BLOCK)
-    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
-    celled = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    ends = pairs.select(F.col("a").alias("kt"), F.col("a").alias("low")).union(pairs.select("b", "a"))
+    sized = stored(ends.groupBy("kt").agg(F.min("low").alias("label")).join(sets.select("kt", F.size("hashes").alias("size")), "kt"), "labels")
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK))
+    parts = stored(sized.groupBy("label").agg(F.ceil(F.sum("size") / BLOCK).alias("parts")), "parts-of-labels")
+    salt = F.pmod(F.xxhash64("kt"), F.col("parts"))
+    block = stored(sized.join(parts, "label").select("kt", F.pmod(F.xxhash64("label", salt), F.lit(blocks)).alias("block")), "blocks")
+    celled = pairs.join(block.toDF("a", "ba"), "a").join(block.toDF("b", "bb"), "b")
+    celled = celled.select("a", "b", "ra", "rb", (F.least("ba", "bb") * blocks + F.greatest("ba", "bb")).alias("cell"))
+    celled = stored(celled, "cells-of-pairs")
     wanted = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().toDF("at", "kt")
 
     def judge(of_cell: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -341,17 +357,17 @@ def judged(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
         sizes, n = np.array([len(h) for h in hashes], np.int64), members["n"].to_numpy(np.int64)
         ends = np.cumsum(sizes)
         ids = np.unique(np.concatenate(hashes), return_inverse=True)[1].reshape(-1)
-        one = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        one = [ids[e - s : e] for e, s in zip(ends, sizes, strict=True)]
         a, b = place(of_cell["a"]), place(of_cell["b"])
-        mark, alike = np.zeros(len(ids) + 1, bool), np.zeros(len(a), bool)
+        mark, good = np.zeros(len(ids) + 1, bool), np.zeros(len(a), bool)
         order = np.argsort(a, kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
             x = a[run[0]]
             mark[one[x]] = True
             common = np.array([np.count_nonzero(mark[one[y]]) for y in b[run]])
-            alike[run] = test(common, n[x], n[b[run]], sizes[x], sizes[b[run]])
+            good[run] = test(common, n[x], n[b[run]])
             mark[one[x]] = False
-        return of_cell.loc[alike, ["a", "b", "ra", "rb"]]
+        return of_cell.loc[good, ["a", "b", "ra", "rb"]]
 
     dealt = wanted.join(sets, "kt").groupBy("at")
     return celled.groupBy("cell").cogroup(dealt).applyInPandas(judge, "a bigint, b bigint, ra bigint, rb bigint")
@@ -363,26 +379,49 @@ def _tied(members: DataFrame, ends) -> DataFrame:
     return stored(ties.select(F.least("kt", "end").alias("a"), F.greatest("kt", "end").alias("b")).distinct(), "pairs")
 
 
+def with_text_keys(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``plain`` (doc_id, text and others) with ``kd`` (doc_id, null: the smallest long) and ``kt``, a hash that differs for
+    different texts; and (kt, kd, m): the smallest kd of each text, and its rows.
+
+    Two hashes of 64 bits tell where two texts share the first one; there, the second one takes its place. Few texts do: some
+    hundreds among 10^11.
+    """
+    kd, second = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(whole(), F.lit(1))
+    keyed = plain.withColumns({"kd": kd, "kt": F.xxhash64(whole())})
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        of_text = rows.select("kt", "kd", second.alias("h2")).groupBy("kt")
+        return stored(of_text.agg(F.min("kd").alias("kd"), F.count("*").alias("m"), (F.min("h2") < F.max("h2")).alias("clash")), "firsts")
+
+    first = firsts(keyed)
+    if clashes := [r["kt"] for r in first.where("clash").select("kt").collect()]:
+        keyed = keyed.withColumn("kt", F.when(F.col("kt").isin(clashes), second).otherwise(F.col("kt")))
+        first = firsts(keyed)
+    return keyed, first.drop("clash")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest doc_id (of equal ones any one of them).
 
     Texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if their shingle sets have a
     similarity of ``least`` or more: fingerprints of texts that are 0.8 alike differ in some ten bits, beyond what a grid of
     popcounts can join. Most of these links come from shared samples of shingles, and ``missed`` adds every one that joins
-    two groups. Texts are told apart by a hash of 64 bits.
+    two groups. A null text counts as an empty one, a null doc_id comes first; texts without words are one group; columns
+    may have any names; an empty table gives an empty one.
     """
-    key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__kd"), F.xxhash64(whole()).alias("__kt")]
-    keyed = docs.select("*", *key)
-    rows = stored(sketched(keyed, shingle, least), "sketched")
-    of_fp = rows.groupBy("fp").agg(F.min("kt").alias("top"))
+    plain, back = by_place(docs, "doc_id", "text")
+    keyed, firsts = with_text_keys(plain)
+    of_texts = keyed.select("kt", whole().alias("text"))
+    common = common_shingles(of_texts, firsts.count(), shingle)
+    rows = stored(sketched(of_texts, common, shingle, least), "sketched")
+    of_fp = stored(rows.groupBy("fp").agg(F.min("kt").alias("top")), "fps")
     near = links(of_fp.select("fp"), radius)
     by_fp = near.join(of_fp.select(F.col("fp").alias("a"), F.col("top").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("top").alias("kb")), "b").select("ka", "kb")
     same = rows.select("fp", "kt").distinct().join(of_fp, "fp").where("kt <> top").select("top", "kt")
-    whole_texts = keyed.select(F.col("__kt").alias("kt"), whole().alias("text"))
-    every = by_fp.union(same).union(similar(rows, whole_texts, shingle, least)).toDF("a", "b")
+    every = by_fp.union(same).union(similar(rows, of_texts, shingle, least)).toDF("a", "b")
     found = components(every)
-    joined = components(missed(rows, found, whole_texts, shingle, least)).toDF("old", "new")
-    rooted = rows.select("kd", "kt").join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("old"))
+    joined = components(missed(rows, found, of_texts, shingle, least)).toDF("old", "new")
+    rooted = firsts.join(found, F.col("kt") == F.col("node"), "left").select("kd", "kt", F.coalesce("root", "kt").alias("old"))
     rooted = rooted.join(joined, "old", "left").select("kd", "kt", F.coalesce("new", "old").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("kd", "kt")).alias("m")).select(F.col("m.kd").alias("__kd"), F.col("m.kt").alias("__kt"))
-    return keyed.join(first, ["__kd", "__kt"], "left_semi").dropDuplicates(["__kd", "__kt"]).select(*docs.columns)
+    kept = stored(rooted.groupBy("root").agg(F.min(F.struct("kd", "kt")).alias("m")).select("m.kd", "m.kt"), "kept")
+    return back(keyed.dropDuplicates(["kd", "kt"]).join(kept, ["kd", "kt"], "left_semi"))

@@ -19,6 +19,10 @@ import regex
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Characters of a part or run that is remembered, at most.
+LONGEST = 64
+
+
 def byte_characters() -> list[str]:
     """The character of each byte in byte-level BPE: printable ones stand for themselves, others follow from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -29,7 +33,8 @@ def byte_characters() -> list[str]:
 
 @lru_cache(maxsize=2)
 def word_bpe(path: str, remembered: int) -> Callable[[str], bytes]:
-    """Encoder from text to little-endian unsigned 32-bit ids; ``remembered`` bounds its memory of parts and of runs."""
+    """Encoder from text to little-endian unsigned 32-bit ids; ``remembered`` bounds its memory of parts and of runs, each of
+    LONGEST characters at most."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -43,15 +48,14 @@ def word_bpe(path: str, remembered: int) -> Callable[[str], bytes]:
 
     def run_ids(run: str) -> bytes:
         if (got := runs.get(run)) is None:
-            if len(runs) >= remembered:
-                runs.clear()
-            got = runs[run] = pack([t.id for t in model.tokenize("".join([chars[b] for b in run.encode()]))])
+            got = pack([t.id for t in model.tokenize("".join([chars[b] for b in run.encode()]))])
+            if len(run) <= LONGEST:
+                if len(runs) >= remembered:
+                    runs.clear()
+                runs[run] = got
         return got
 
     def part_ids(part: str) -> bytes:
-        if len(parts) >= remembered:
-            parts.clear()
-            parts[""] = b""
         low = part.lower()
         plain = part.isascii() or (
             len(low) == len(part) and "Σ" not in part and unicodedata.is_normalized("NFC", part)
@@ -60,7 +64,11 @@ def word_bpe(path: str, remembered: int) -> Callable[[str], bytes]:
             got = b"".join([run_ids(r) for r in find(low)])
         else:
             got = pack(full.encode(part, add_special_tokens=False).ids)
-        parts[part] = got
+        if len(part) <= LONGEST:
+            if len(parts) >= remembered:
+                parts.clear()
+                parts[""] = b""
+            parts[part] = got
         return got
 
     def encode(text: str) -> bytes:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, texts, whole
+from .common import by_place, chunks, documents, texts, whole
 
 #: Labelled rows that the model is fitted on, at most, and the characters of their texts: a bounded sample by hash.
 SAMPLE_ROWS = 8_000
@@ -289,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         wanted = wanted | ((F.col("toxic") == k) & (spread < s))
     chosen = train_rows.where(wanted)
     # ``chosen`` has SAMPLE_ROWS rows, give or take the hash's chance: small enough to broadcast whatever the corpus holds.
-    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Where a doc_id repeats, its least text counts, so that reruns agree.
+    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     picked = rows.select("toxic", "text").withColumn("n", F.length("text")).orderBy(F.xxhash64("text"), "toxic")
     out, size = [], 0
     for r in picked.where(F.col("n") <= SAMPLE_CHARS).select("text", "toxic").toLocalIterator():
@@ -341,9 +342,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: float = 0.5) -> DataFrame:
-    """The rows whose score is below the bound, unchanged."""
+    """The rows whose score is below the bound, unchanged. Null texts and repeated rows stay as they are, columns may have any
+    names, an empty table gives an empty one."""
     model = train(docs, labels)
-    names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], F.col("text").alias("text"))
-    kept = scored(plain, model, [f"__{i}" for i in range(len(names))]).where(F.col("score") < bound)
-    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])
+    plain, back = by_place(docs, "text")
+    others = [c for c in plain.columns if c != "text"]
+    kept = scored(plain.withColumn("whole", F.col("text")), model, [*others, "whole"]).where(F.col("score") < bound)
+    return back(kept.withColumnRenamed("whole", "text"))
