@@ -536,6 +536,57 @@ def test_html_finds_the_articles_of_the_pages(spark):
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
+MENU = "<ul>" + '<li><a href="/x">Menu item</a></li>' * 6 + "</ul>"
+MARKED = "<html><body><nav>" + MENU + "</nav><article>%s</article><div><a href=x>More stuff to read</a></div><footer>Imprint</footer></body></html>"
+PLAIN = "<html><body>" + MENU + "<div>%s</div>" + MENU + "</body></html>"
+LONG = "This paragraph has many more words than the rest of this page taken together, and it goes on and on."
+ARTICLES = [
+    (f"<h1>Title of it</h1><p>Short intro.</p><ul><li>one</li><li>two</li><li>three</li></ul><p>{LONG}</p>", ["Title of it", "Short intro.", "one", "two", "three", LONG]),
+    (f"<p>Read <a>the report</a> and <a>its annex</a> now.</p><p>{LONG}</p>", ["Read the report and its annex now.", LONG]),
+    (
+        f'<p class="share-price">Price up</p><section id="related-work"><p>Earlier work did that.</p></section><p>{LONG}</p>',
+        ["Price up", "Earlier work did that.", LONG],
+    ),
+    (f'<p class="ad">Buy it<p>{LONG}</p><section class="ad-banner">Buy more<p>Last words of it.</p>', [LONG, "Last words of it."]),
+    (f"<p>{LONG}</p><table><tr><th>a<th>b<tr><td>c<td>d</table><p>The end.", [LONG, "a", "b", "c", "d", "The end."]),
+    (f"<p>{LONG} <svg width=3/>more<p>And <iframe src=x>so <noscript>no</noscript>on.", [f"{LONG} more", "And so on."]),
+    (f'<blockquote><p>Quoted <b>words</b> first.</p></blockquote><p>{LONG}</p><div class="post-comments"><p>A reader says so.</p></div>', ["Quoted words first.", LONG]),
+    (f'<p>{LONG}</p><article class="comment"><p>A reader says so.</p></article>', [LONG]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("page", [MARKED, PLAIN])
+@pytest.mark.parametrize("body,want", ARTICLES)
+def test_html_keeps_the_whole_article(page, body, want):
+    from shuttleframe.llm import html
+
+    for w in (html.fit([PAGE] * 3), html.fit([MARKED % ARTICLES[0][0], PAGE, MARKED % f"<p>{LONG}</p>"])):
+        got = html.extract(page % body, w)
+        if want or page is MARKED:
+            assert got == "\n\n".join(want) or not want and "Menu" not in got
+
+
+def test_html_region_is_the_best_one():
+    from shuttleframe.llm import html
+
+    r = random.Random(6)
+    for _ in range(300):
+        words = [r.choice((0, 0, 1, 2, 5)) for _ in range(r.randrange(0, 14))]
+        scores = [float(w) if w else r.choice((-0.5, -1.0, -4.0)) for w in words]
+        low, high = html.region(scores, words)
+        sums = [sum(scores[a : b + 1]) for a in range(len(words)) for b in range(a, len(words)) if words[a] and words[b]]
+        assert sum(scores[low : high + 1]) == max(sums, default=0.0)
+        assert (low, high) == (0, -1) if not sums else words[low] and words[high]
+
+
+def test_html_of_much_broken_markup_ends():
+    from shuttleframe.llm import html
+
+    for page in ("<svg>" * 20_000, "<p><b>" * 20_000 + "x", '<div class="ad">' * 20_000 + "x", "<!--" * 20_000, "</p></b>" * 20_000, "<script>" * 20_000):
+        assert html.extract(page, html.Weights()) in ("", "x")
+
+
 def water(sizes, share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
