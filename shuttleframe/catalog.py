@@ -11,7 +11,7 @@ from .plans import dispatch_queries, insertion_queries, instance_queries, locati
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The nearest idle vehicle of every request.
-FLAGSHIP: Query = dispatch_queries.j15
+FLAGSHIP: Query = dispatch_queries.j23
 
 
 def queries() -> dict[str, Query]:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,20 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import crossings
+from ..storage import cut as _cut
 
 c = F.col
 #: Edges up to which a network is sent to every executor (24 bytes each); beyond, searches join the edge table.
 SENT_EDGES = 4_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a Parquet table in the shared folder, or in one of our own where none is set (tests)."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def csr(edges: DataFrame, weight: str = "travel_time") -> tuple[np.ndarray, ...] | None:
     """(vertex ids, first, heads, weights) of a network of SENT_EDGES edges at most, else None."""
     if edges.count() > SENT_EDGES:
@@ -37,8 +28,8 @@ def csr(edges: DataFrame, weight: str = "travel_time") -> tuple[np.ndarray, ...]
     return ids, np.searchsorted(tail[order], np.arange(len(ids) + 1)), head[order], p["w"].to_numpy()[order]
 
 
-def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius: int | None = None) -> dict[int, int]:
-    """Distances from (vertex, offset) seeds, by vertex id, within the radius."""
+def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius: int | None = None, wanted: set[int] | None = None) -> dict[int, int]:
+    """Distances from (vertex, offset) seeds, by vertex id, within the radius, until all ``wanted`` vertices are reached."""
     ids, first, heads, weights = graph
     queue = []
     for v, off in seeds:
@@ -48,14 +39,19 @@ def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius
         elif radius is None or off <= radius:
             queue.append((off, -1 - v))
     heapq.heapify(queue)
-    done: dict[int, int] = {}
+    done: set[int] = set()
     out: dict[int, int] = {}
-    while queue:
+    left = None if wanted is None else set(wanted)
+    while queue and (left is None or left):
         d, i = heapq.heappop(queue)
         if i in done or (radius is not None and d > radius):
             continue
-        done[i] = d
-        out[int(ids[i]) if i >= 0 else -1 - i] = d
+        done.add(i)
+        v = int(ids[i]) if i >= 0 else -1 - i
+        if left is None or v in left:
+            out[v] = d
+            if left is not None:
+                left.discard(v)
         if i < 0:
             continue
         for k in range(first[i], first[i + 1]):
@@ -68,29 +64,55 @@ def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius
 def distances(edges: DataFrame, seeds: DataFrame, radius: int | None = None, weight: str = "travel_time") -> DataFrame:
     """(source, vertex_id, dist) for seeds (source, vertex_id, dist): shortest paths, within the radius if there is one.
 
-    Sources are independent, so each is searched on one executor over the network's arrays, sources side by side; a network
-    that is too large to send is relaxed as a join and a minimum, round by round, until nothing changes.
+    A column ``radius`` of the seeds bounds each source on its own. Sources are independent, so each is searched on one
+    executor over the network's arrays, sources side by side; a network that is too large to send is relaxed as a join and a
+    minimum, round by round, until nothing changes.
     """
     graph = csr(edges, weight)
+    seeds = seeds.withColumn("radius", c("radius").cast("long") if "radius" in seeds.columns else F.lit(radius).cast("long"))
     if graph is None:
         return relaxed(edges, seeds, radius, weight)
     sent = edges.sparkSession.sparkContext.broadcast(graph)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        found = dijkstra(sent.value, list(zip(rows["vertex_id"].tolist(), rows["dist"].tolist(), strict=True)), radius)
+        most = None if rows["radius"].isna().any() else int(rows["radius"].max())
+        found = dijkstra(sent.value, list(zip(rows["vertex_id"].tolist(), rows["dist"].tolist(), strict=True)), most)
         return pd.DataFrame({"source": rows["source"].iloc[0], "vertex_id": list(found), "dist": list(found.values())})
 
-    return seeds.select("source", "vertex_id", "dist").groupBy("source").applyInPandas(search, "source long, vertex_id long, dist long")
+    return seeds.select("source", "vertex_id", "dist", "radius").groupBy("source").applyInPandas(search, "source long, vertex_id long, dist long")
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame, weight: str = "travel_time") -> DataFrame:
+    """(source, target, dist) for pairs (source, target) of vertices; pairs without a path have no row.
+
+    A search from a source ends when its targets are reached, and gives rows for them alone.
+    """
+    graph, pairs = csr(edges, weight), pairs.select("source", "target").distinct()
+    if graph is None:
+        seeds = pairs.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")).distinct()
+        found = distances(edges, seeds, None, weight)
+        return pairs.join(found.withColumnRenamed("vertex_id", "target"), ["source", "target"])
+    sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        source = int(rows["source"].iloc[0])
+        found = dijkstra(sent.value, [(source, 0)], None, set(rows["target"].tolist()))
+        return pd.DataFrame({"source": source, "target": list(found), "dist": list(found.values())})
+
+    return pairs.groupBy("source").applyInPandas(search, "source long, target long, dist long")
 
 
 def relaxed(edges: DataFrame, seeds: DataFrame, radius: int | None = None, weight: str = "travel_time") -> DataFrame:
+    """``distances`` by rounds of a join and a minimum, for networks of any size."""
+    if "radius" not in seeds.columns:
+        seeds = seeds.withColumn("radius", F.lit(radius).cast("long"))
     arcs = edges.select(c("tail").alias("vertex_id"), "head", c(weight).alias("w")).where("w is not null")
-    best = front = _cut(seeds.groupBy("source", "vertex_id").agg(F.min("dist").cast("long").alias("dist")))
+    most = _cut(seeds.groupBy("source").agg(F.when(F.max(c("radius").isNull()), None).otherwise(F.max("radius")).alias("most")))
+    within = lambda rows: rows.join(most, "source").where("most is null or dist <= most").drop("most")
+    best = front = _cut(within(seeds.groupBy("source", "vertex_id").agg(F.min("dist").cast("long").alias("dist"))))
     while not front.isEmpty():
         step = front.join(arcs, "vertex_id").select("source", c("head").alias("vertex_id"), (c("dist") + c("w")).alias("dist"))
-        if radius is not None:
-            step = step.where(c("dist") <= radius)
-        step = step.groupBy("source", "vertex_id").agg(F.min("dist").alias("new"))
+        step = within(step.groupBy("source", "vertex_id").agg(F.min("dist").alias("dist"))).withColumnRenamed("dist", "new")
         front = _cut(step.join(best, ["source", "vertex_id"], "left").where("dist is null or new < dist").select("source", "vertex_id", c("new").alias("dist")))
         best = _cut(best.unionByName(front).groupBy("source", "vertex_id").agg(F.min("dist").alias("dist")))
     return best
@@ -102,39 +124,167 @@ def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, weigh
     return all_.join(targets.withColumnRenamed("target", "vertex_id"), "vertex_id").select("source", c("vertex_id").alias("target"), "dist")
 
 
-def dijkstra_rank(found: DataFrame) -> DataFrame:
+def nearest_labels(edges: DataFrame, seeds: DataFrame, weight: str = "travel_time") -> DataFrame:
+    """(level, vertex_id, dist, label): at every vertex the least (dist, label) over the seeds (level, vertex_id, dist, label) of a level.
+
+    One search a level from all of its seeds at once, whatever their number; levels side by side. A network that is too large
+    to send is relaxed round by round.
+    """
+    graph = csr(edges, weight)
+    if graph is None:
+        return _relaxed_labels(edges, seeds, weight)
+    sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, first, heads, weights = sent.value
+        at = np.searchsorted(ids, rows["vertex_id"])
+        known = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == rows["vertex_id"])
+        queue = list(zip(rows["dist"][known].tolist(), rows["label"][known].tolist(), at[known].tolist(), strict=True))
+        heapq.heapify(queue)
+        done: dict[int, tuple[int, int]] = {}
+        while queue:
+            d, label, i = heapq.heappop(queue)
+            if i in done:
+                continue
+            done[i] = (d, label)
+            for k in range(first[i], first[i + 1]):
+                if (j := int(heads[k])) not in done:
+                    heapq.heappush(queue, (d + int(weights[k]), label, j))
+        out = [(int(ids[i]), *v) for i, v in done.items()]
+        return pd.DataFrame(out, columns=["vertex_id", "dist", "label"]).assign(level=rows["level"].iloc[0])[["level", "vertex_id", "dist", "label"]]
+
+    # One seed of a vertex can win.
+    least = seeds.groupBy("level", "vertex_id").agg(F.min(F.struct("dist", "label")).alias("m")).select("level", "vertex_id", "m.*")
+    return least.groupBy("level").applyInPandas(search, "level long, vertex_id long, dist long, label long")
+
+
+def _relaxed_labels(edges: DataFrame, seeds: DataFrame, weight: str) -> DataFrame:
+    arcs = edges.select(c("tail").alias("vertex_id"), "head", c(weight).alias("w")).where("w is not null")
+    best = front = _cut(seeds.groupBy("level", "vertex_id").agg(F.min(F.struct(c("dist").cast("long").alias("dist"), "label")).alias("m")))
+    while not front.isEmpty():
+        step = front.join(arcs, "vertex_id").select("level", c("head").alias("vertex_id"), F.struct((c("m.dist") + c("w")).alias("dist"), c("m.label").alias("label")).alias("new"))
+        step = step.groupBy("level", "vertex_id").agg(F.min("new").alias("new"))
+        front = _cut(step.join(best, ["level", "vertex_id"], "left").where("m is null or new < m").select("level", "vertex_id", c("new").alias("m")))
+        best = _cut(best.unionByName(front).groupBy("level", "vertex_id").agg(F.min("m").alias("m")))
+    return best.select("level", "vertex_id", "m.*")
+
+
+def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: str = "travel_time") -> DataFrame:
+    """(source, target, dist) for every source and every target that is reached."""
+    all_ = distances(edges, sources.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")), None, weight)
+    return all_.join(targets.withColumnRenamed("target", "vertex_id"), "vertex_id").select("source", c("vertex_id").alias("target"), "dist")
+
+
+def dijkstra_rank(found: DataFrame, area: DataFrame | None = None) -> DataFrame:
+    """``found`` with ``rank``, the place by distance among the vertices of its source; only those of ``area`` (vertex_id) count."""
+    found = found if area is None else found.join(area, "vertex_id", "left_semi")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("dist", "vertex_id")) - 1)
 
 
 def path(edges: DataFrame, source: int, target: int, weight: str = "travel_time") -> DataFrame:
-    """(step, edge_id, dist at head) of a shortest path, ties by the smaller edge id."""
+    """(step, edge_id, dist at head) of a shortest path; of several next edges the smallest id. No rows if there is no path.
+
+    Every vertex knows its next edge on the way to the target; jumps over 1, 2, 4, ... edges find the places of the path's
+    edges in as many joins as the path's length has bits. A next edge goes nearer to the target, or, along edges of weight 0,
+    to a vertex that is fewer edges away, so no path runs in a circle.
+    """
     spark = edges.sparkSession
-    dist = _cut(distances(edges, spark.createDataFrame([(source, source, 0)], "source long, vertex_id long, dist long"), None, weight))
-    d = dist.select("vertex_id", "dist")
+    both = edges.select("edge_id", "tail", "head", F.struct(c(weight), F.lit(1)).alias("w")).where(c(weight).isNotNull())
+    # Distances with the number of edges as their last digits are unique in (weight, edges).
+    n = edges.count() + 1
+    fine = both.select("edge_id", "tail", "head", (c(f"w.{weight}") * n + 1).alias("fine"), c(f"w.{weight}").alias("plain"))
+    dist = _cut(distances(reverse(fine.drop("plain")), spark.createDataFrame([(target, target, 0)], "source long, vertex_id long, dist long"), None, "fine").select("vertex_id", "dist"))
     tight = (
-        edges.join(d.select(c("vertex_id").alias("tail"), c("dist").alias("dt")), "tail")
-        .join(d.select(c("vertex_id").alias("head"), c("dist").alias("dh")), "head")
-        .where(c("dt") + c(weight) == c("dh"))
+        fine.join(dist.select(c("vertex_id").alias("tail"), c("dist").alias("dt")), "tail")
+        .join(dist.select(c("vertex_id").alias("head"), c("dist").alias("dh")), "head")
+        .where(c("dt") == c("dh") + c("fine"))
     )
-    parent = {r["head"]: r["m"] for r in tight.groupBy("head").agg(F.min(F.struct("edge_id", "tail", "dh")).alias("m")).toLocalIterator()}
-    out, v = [], target
-    while v != source:
-        m = parent[v]
-        out.append((m["edge_id"], m["dh"]))
-        v = m["tail"]
-    return spark.createDataFrame([(i, e, t) for i, (e, t) in enumerate(reversed(out))], "step long, edge_id long, dist long")
+    step = _cut(tight.groupBy(c("tail").alias("v")).agg(F.min(F.struct("edge_id", c("head").alias("to"), "plain")).alias("m")).select("v", "m.*"))
+    found = dist.where(c("vertex_id") == source).first()
+    steps = int(found["dist"] % n) if found else 0
+    at = _cut(spark.createDataFrame([(source, 0)], "v long, step long"))
+    jump, length = step.select("v", "to"), 1
+    while length < steps:
+        twice = jump.join(jump.select(c("v").alias("to"), c("to").alias("far")), "to").select("v", c("far").alias("to"))
+        ahead = at.join(jump, "v").select(c("to").alias("v"), (c("step") + length).alias("step"))
+        at, jump, length = _cut(at.unionByName(ahead)), _cut(twice), 2 * length
+    rows = at.where(c("step") < steps).join(step, "v")
+    # The path is one row a step; its running sum stands in one task.
+    return rows.select("step", "edge_id", F.sum("plain").over(Window.orderBy("step")).cast("long").alias("dist"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(vertex_id, scc): scc is the smallest vertex of the strongly connected component.
 
-    Forward colouring: the smallest vertex that reaches each vertex is its colour; within a colour, what reaches the root
-    backwards is its component; the rest goes on. Each round settles a component of every colour.
+    A network that may be sent is searched on one executor (two depth-first passes). Larger ones go by forward colouring: the
+    smallest vertex that reaches each vertex is its colour; within a colour, what reaches the root backwards is its component;
+    the rest goes on. Each round settles a component of every colour, and vertices without edges in or out first.
     """
-    arcs = _cut(edges.select("tail", "head").distinct())
-    left = _cut(edges.select(c("tail").alias("vertex_id")).union(edges.select("head")).distinct())
+    arcs = edges.select("tail", "head").distinct()
+    graph = csr(arcs.withColumn("w", F.lit(1)), "w")
+    if graph is None:
+        return _coloured(_cut(arcs))
+    sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def search(_) -> pd.DataFrame:
+        for _batch in _:
+            ids, first, heads, _w = sent.value
+            scc = _kosaraju(first, heads)
+            least = np.full(len(ids), len(ids))
+            np.minimum.at(least, scc, np.arange(len(ids)))
+            yield pd.DataFrame({"vertex_id": ids, "scc": ids[least[scc]]})
+
+    return edges.sparkSession.range(0, 1, 1, 1).mapInPandas(search, "vertex_id long, scc long")
+
+
+def _kosaraju(first: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Component number of each vertex of a graph in arrays, without recursion."""
+    n = len(first) - 1
+    tails = np.repeat(np.arange(n), np.diff(first))
+    by_head = np.argsort(heads, kind="stable")
+    back_first, back = np.searchsorted(heads[by_head], np.arange(n + 1)).tolist(), tails[by_head].tolist()
+    first, out, order, seen = first.tolist(), heads.tolist(), [], bytearray(n)
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = 1
+        stack = [(root, first[root])]
+        while stack:
+            v, k = stack.pop()
+            while k < first[v + 1] and seen[out[k]]:
+                k += 1
+            if k == first[v + 1]:
+                order.append(v)
+                continue
+            stack.append((v, k + 1))
+            seen[out[k]] = 1
+            stack.append((out[k], first[out[k]]))
+    scc, number = [-1] * n, 0
+    for root in reversed(order):
+        if scc[root] >= 0:
+            continue
+        stack, scc[root] = [root], number
+        while stack:
+            v = stack.pop()
+            for u in back[back_first[v] : back_first[v + 1]]:
+                if scc[u] < 0:
+                    scc[u] = number
+                    stack.append(u)
+        number += 1
+    return np.array(scc, np.int64)
+
+
+def _coloured(arcs: DataFrame) -> DataFrame:
+    left = _cut(arcs.select(c("tail").alias("vertex_id")).union(arcs.select("head")).distinct())
+    inner = lambda rows, keep: rows.join(keep.withColumnRenamed("vertex_id", "tail"), "tail", "left_semi").join(keep.withColumnRenamed("vertex_id", "head"), "head", "left_semi")
     done = None
     while not left.isEmpty():
+        # What no edge enters or none leaves is a component by itself.
+        while not (ends := _cut(left.join(arcs.select(c("tail").alias("vertex_id")), "vertex_id", "left_anti").union(left.join(arcs.select(c("head").alias("vertex_id")), "vertex_id", "left_anti")).distinct())).isEmpty():
+            alone = ends.select("vertex_id", c("vertex_id").alias("scc"))
+            done = alone if done is None else done.unionByName(alone)
+            left = _cut(left.join(ends, "vertex_id", "left_anti"))
+            arcs = _cut(inner(arcs, left))
         colour = _cut(left.withColumn("colour", c("vertex_id")))
         while True:
             step = colour.join(arcs, c("vertex_id") == c("tail")).groupBy(c("head").alias("vertex_id")).agg(F.min("colour").alias("new"))
@@ -152,7 +302,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = reach.select("vertex_id", c("colour").alias("scc"))
         done = found if done is None else done.unionByName(found)
         left = _cut(left.join(reach, "vertex_id", "left_anti"))
-        arcs = _cut(arcs.join(left.withColumnRenamed("vertex_id", "tail"), "tail", "left_semi").join(left.withColumnRenamed("vertex_id", "head"), "head", "left_semi"))
+        arcs = _cut(inner(arcs, left))
     return done
 
 
@@ -207,61 +357,91 @@ def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, "edge_id", "left_anti")
 
 
-def pair_networks(car: DataFrame, psg: DataFrame) -> DataFrame:
-    """(car_edge, psg_edge): edges of one way that end at one node."""
-    p = psg.select(c("edge_id").alias("psg_edge_id"), c("head").alias("psg_head"))
-    return car.join(p, "psg_edge_id").where("head = psg_head").select(c("edge_id").alias("car_edge"), c("psg_edge_id").alias("psg_edge"))
+def pair_networks(car: DataFrame, psg: DataFrame, car_vertices: DataFrame, psg_vertices: DataFrame) -> DataFrame:
+    """(car_edge, psg_edge): edges (edge_id, way_id, tail, head) of the two networks' largest components that follow one way and end at
+    one node. The node must lie at the same place in both (vertex_id, lat, lng); an error otherwise.
+
+    A network has one edge a way and head at most; of several the least.
+    """
+    def links(edges: DataFrame, vertices: DataFrame, name: str) -> DataFrame:
+        top = largest_component(edges)
+        kept = edges.join(top.withColumnRenamed("vertex_id", "tail"), "tail", "left_semi").join(top.withColumnRenamed("vertex_id", "head"), "head", "left_semi")
+        one = kept.groupBy("way_id", "head").agg(F.min("edge_id").alias(f"{name}_edge"))
+        return one.join(vertices.select(c("vertex_id").alias("head"), c("lat").alias(f"{name}_lat"), c("lng").alias(f"{name}_lng")), "head")
+
+    met = links(car, car_vertices, "car").join(links(psg, psg_vertices, "psg"), ["way_id", "head"])
+    same = (c("car_lat") == c("psg_lat")) & (c("car_lng") == c("psg_lng"))
+    bad = F.raise_error(F.concat(F.lit("heads of a way are at different places: "), c("way_id"))).cast("long")
+    return met.select(F.when(same, c("car_edge")).otherwise(bad).alias("car_edge"), "psg_edge")
 
 
 def nearest(points: DataFrame, vertices: DataFrame, cell: int) -> DataFrame:
     """(id, vertex_id, d2): the vertex with the least squared distance in micro-degrees, ties by id.
 
-    Vertices go to grid cells; a point looks into rings of cells around its own, and rings grow for the points whose best is
-    not nearer than the ring they have seen.
+    Vertices go to grid cells; a point looks into its cell and the eight around it. Cells grow fourfold for the points whose
+    best isn't sure to be within them, up to cells as wide as everything, which hold the answer for any point; so every
+    point has a row, if there is a vertex.
     """
-    grid = vertices.select("vertex_id", c("lat").alias("v_lat"), c("lng").alias("v_lng"), F.floor(c("lat") / cell).alias("gy"), F.floor(c("lng") / cell).alias("gx"))
-    open_, done, ring = points, None, 1
+    spread = lambda rows: rows.agg(F.max("lat"), F.min("lat"), F.max("lng"), F.min("lng")).first()
+    a, b = spread(points), spread(vertices)
+    if a[0] is None or b[0] is None:
+        return points.select("id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("d2")).limit(0)
+    widest = max(max(a[0], b[0]) - min(a[1], b[1]), max(a[2], b[2]) - min(a[3], b[3])) + 1
+    open_, done = points, None
     while True:
-        side = F.sequence(F.lit(-ring), F.lit(ring))
+        grid = vertices.select("vertex_id", c("lat").alias("v_lat"), c("lng").alias("v_lng"), F.floor(c("lat") / cell).alias("gy"), F.floor(c("lng") / cell).alias("gx"))
+        side = F.array(F.lit(-1), F.lit(0), F.lit(1))
         probes = open_.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side))
         probes = probes.withColumn("gy", F.floor(c("lat") / cell) + c("dy")).withColumn("gx", F.floor(c("lng") / cell) + c("dx"))
         d2 = (c("lat") - c("v_lat")) * (c("lat") - c("v_lat")) + (c("lng") - c("v_lng")) * (c("lng") - c("v_lng"))
         best = probes.join(grid, ["gy", "gx"]).groupBy("id", "lat", "lng").agg(F.min(F.struct(d2.alias("d2"), "vertex_id")).alias("m"))
-        sure = best.where(c("m.d2") <= (ring * cell) ** 2).select("id", "m.vertex_id", "m.d2")
-        sure = _cut(sure)
+        last = cell >= widest
+        sure = _cut((best if last else best.where(c("m.d2") <= cell * cell)).select("id", "m.vertex_id", "m.d2"))
         done = sure if done is None else done.unionByName(sure)
+        if last:
+            return done
         open_ = _cut(open_.join(sure, "id", "left_anti"))
-        if open_.isEmpty() or ring > 1 << 14:
+        if open_.isEmpty():
             return done
-        ring *= 4
+        cell *= 4
+
+
+#: Bands that faces are cut into by height.
+BANDS = 256
 
 
 def in_faces(points: DataFrame, faces: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, face, orient, inside): ray crossing of every point with every face; faces are a few hundred rows."""
-    hits = points.select(key, x, y).join(F.broadcast(faces))
-    n = F.sum(crossings(c(x), c(y), c("x1"), c("y1"), c("x2"), c("y2")))
-    return hits.groupBy(key, "face", "orient").agg((n % 2 == 1).alias("inside"))
+    """(key, face, orient) of the faces that hold a point, by ray crossing.
+
+    A ray crosses only sides in whose height the point lies, so points and sides meet by bands of height: an equi-join.
+    """
+    low, high = faces.agg(F.least(F.min("y1"), F.min("y2")), F.greatest(F.max("y1"), F.max("y2"))).first()
+    if low is None:
+        return points.select(key).join(faces.select("face", "orient"), F.lit(False))
+    wide = max(1, -(-(high - low + 1) // BANDS))
+    band = lambda v: F.floor((v - low) / wide)
+    sides = faces.where("y1 <> y2").withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    hits = points.where(c(y).between(low, high)).select(key, c(x).alias("__x"), c(y).alias("__y")).withColumn("band", band(c("__y"))).join(sides, "band")
+    n = F.sum(crossings(c("__x"), c("__y"), c("x1"), c("y1"), c("x2"), c("y2")))
+    return hits.groupBy(key, "face", "orient").agg(n.alias("n")).where("n % 2 = 1").drop("n")
 
 
 def in_area(points: DataFrame, faces: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Keys of the points whose last containing face runs counterclockwise."""
-    last = in_faces(points, faces, key, x, y).where("inside").groupBy(key).agg(F.max_by("orient", "face").alias("o"))
+    last = in_faces(points, faces, key, x, y).groupBy(key).agg(F.max_by("orient", "face").alias("o"))
     return last.where("o > 0").select(key)
 
 
 def draw_times(rows: DataFrame, histogram: DataFrame) -> DataFrame:
-    """(id, s): a second for each row, its bin by u modulo the histogram's total, ``inside`` within the bin of 300 s."""
-    upto = F.sum("n").over(Window.orderBy("bin"))
-    bins = histogram.withColumn("upto", upto)  # as many rows as bins
-    total = histogram.agg(F.sum("n")).first()[0]
-    u = c("u") % F.lit(total)
-    found = rows.join(F.broadcast(bins), (u >= c("upto") - c("n")) & (u < c("upto")))
-    return found.select("id", (c("bin") * 300 + c("inside")).alias("s"))
-
-
-def located(path_edges: DataFrame, now: str = "now") -> DataFrame:
-    """The first edge of each leg whose running arrival isn't before ``now``: (leg columns, edge_id, dep_at_head)."""
-    run = Window.partitionBy("leg").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    at = path_edges.withColumn("at_head", c("dep") + F.sum("travel_time").over(run)).where(c("at_head") >= c(now))
-    return at.groupBy("leg").agg(F.min(F.struct("step", "edge_id", c("at_head").alias("dep_at_head"))).alias("m")).select("leg", "m.edge_id", "m.dep_at_head")
+    """(id, s): a second for each row, its bin by u modulo the histogram's total, ``inside`` within the bin of 300 s.
 
+    A bin covers a range of u; ranges and rows meet by parts of the total, an equi-join, with two or three parts a bin.
+    """
+    bins = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("bin")))  # a histogram has as many rows as bins
+    total, count = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    wide = max(1, total // max(1, count))
+    part = lambda u: F.floor(u / wide)
+    spread = bins.withColumn("part", F.explode(F.sequence(part(c("upto") - c("n")), part(c("upto") - 1))))
+    drawn = rows.withColumn("u", c("u") % F.lit(max(1, total))).withColumn("part", part(c("u")))
+    found = drawn.join(spread, "part").where((c("u") >= c("upto") - c("n")) & (c("u") < c("upto")))
+    return found.select("id", (c("bin") * 300 + c("inside")).alias("s"))

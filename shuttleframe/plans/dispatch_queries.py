@@ -164,20 +164,25 @@ IDLE = """, o AS (SELECT request_id, request_time, origin, destination, num_ride
 
 
 @query(
-    "j15_pals_nearest_idle",
+    "j23_nearest_idle_vehicle",
     X.ctes("edge", "vehicle", "request", recursive=True, more=IDLE[2:])
     + "SELECT request_id, (m).v AS vehicle_id, (m).d AS dist FROM (SELECT request_id, min({'d': CASE WHEN x.initial_location=o.origin THEN 0 ELSE rv.d+o.tt END, 'v': x.vehicle_id}) AS m FROM o JOIN rv ON rv.v=o.v JOIN edge h ON h.head=rv.s JOIN vehicle x ON x.initial_location=h.edge_id WHERE x.capacity>=o.num_riders GROUP BY request_id)",
 )
-def j15(spark, d) -> DataFrame:
-    """The nearest idle vehicle of every request: last-stop distances by one search a vehicle location, then an argmin."""
+def j23(spark, d) -> DataFrame:
+    """The nearest idle vehicle with enough seats of every request: one search for each number of riders, from all vehicles at once."""
     e, r, v = X.edges(spark, d), X.requests(spark, d), X.vehicles(spark, d)
-    v = v.join(e.select(c("edge_id").alias("initial_location"), c("head").alias("source")), "initial_location")
-    seeds = v.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")).distinct()
-    dist = G.distances(e, seeds)
-    o = r.join(e.select(c("edge_id").alias("origin"), c("tail").alias("vertex_id"), "travel_time"), "origin")
-    near = o.join(dist, "vertex_id").join(v, "source").where("capacity >= num_riders")
-    way = F.when(c("initial_location") == c("origin"), 0).otherwise(c("dist") + c("travel_time"))
-    return near.groupBy("request_id").agg(F.min(F.struct(way.alias("d"), "vehicle_id")).alias("m")).select("request_id", "m.vehicle_id", c("m.d").alias("dist"))
+    levels = r.select(c("num_riders").alias("level")).distinct()
+    fits = v.join(levels, c("capacity") >= c("level"))  # as many rows a vehicle as there are party sizes
+    at = fits.join(e.select(c("edge_id").alias("initial_location"), c("head").alias("vertex_id")), "initial_location")
+    near = G.nearest_labels(e, at.select("level", "vertex_id", F.lit(0).cast("long").alias("dist"), c("vehicle_id").alias("label")))
+    o = r.join(e.select(c("edge_id").alias("origin"), c("tail").alias("vertex_id"), "travel_time"), "origin").withColumn("level", c("num_riders"))
+    found = o.join(near, ["level", "vertex_id"], "left")
+    # A vehicle at the very location needs no way.
+    here = fits.groupBy("level", c("initial_location").alias("origin")).agg(F.min("vehicle_id").alias("here"))
+    way = F.when(c("label").isNotNull(), F.struct((c("dist") + c("travel_time")).alias("d"), c("label").alias("v")))
+    stay = F.when(c("here").isNotNull(), F.struct(F.lit(0).cast("long").alias("d"), c("here").alias("v")))
+    m = F.least(way, stay)
+    return found.join(here, ["level", "origin"], "left").select("request_id", m.alias("m")).where("m is not null").select("request_id", c("m.v").alias("vehicle_id"), c("m.d").alias("dist"))
 
 
 PAIRED = f"""st AS (SELECT *, lead(arr) OVER {BY} AS nxt, max(stop_idx) OVER (PARTITION BY vehicle_id) AS last FROM route_stop),

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import network as N
@@ -14,6 +11,7 @@ from ..operators import graph as G
 from ..operators import sampling as A
 from ..operators import schedule as S
 from ..sources import formats as IO
+from ..storage import new_path
 from . import fixtures as X
 from .insertion_queries import PLACES, REQUEST, ROUTES, stops
 from .network_queries import E_SQL, FACE_SQL, POINTS, faces
@@ -31,11 +29,6 @@ def query(name: str, sql: str):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, or in one of our own where none is set (tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
-
-
 def ways(spark, d) -> DataFrame:
     return X.edges(spark, d).select(c("edge_id").alias("way_id"), c("tail").alias("from_node"), c("head").alias("to_node"), "length", "category")
 
@@ -72,7 +65,7 @@ def s10(spark, d) -> DataFrame:
 @query("s13_vehicles_csv", X.ctes("vehicle") + "SELECT initial_location, start_of_service_time, end_of_service_time, capacity FROM vehicle")
 def s13(spark, d) -> DataFrame:
     """The fleet written in the other dialect, in seconds, and read again."""
-    path, second = folder(spark, "vehicles"), lambda x: (c(x) / 10).cast("long")
+    path, second = new_path(spark, "vehicles"), lambda x: (c(x) / 10).cast("long")
     v = X.vehicles(spark, d).withColumns({x: second(x) for x in ("start_of_service_time", "end_of_service_time")})
     IO.write_csv(v, path, IO.VEHICLES_OTHER)
     return IO.read_vehicles(spark, path).drop("vehicle_id")
@@ -81,7 +74,7 @@ def s13(spark, d) -> DataFrame:
 @query("s14_requests_csv", X.ctes("request") + "SELECT origin, destination, request_time, CAST(1 AS BIGINT) AS num_riders FROM request")
 def s14(spark, d) -> DataFrame:
     """Requests written without riders, in seconds, and read again: one rider each."""
-    path = folder(spark, "requests")
+    path = new_path(spark, "requests")
     names = {n: to for n, to in IO.REQUESTS.items() if to != "num_riders"}
     IO.write_csv(X.requests(spark, d).withColumn("request_time", (c("request_time") / 10).cast("long")), path, names)
     return IO.read_requests(spark, path).drop("request_id")
@@ -89,7 +82,7 @@ def s14(spark, d) -> DataFrame:
 
 @query("s15_od_pairs_csv", X.ctes("request") + "SELECT origin, destination, request_id%20 AS dijkstra_rank FROM request")
 def s15(spark, d) -> DataFrame:
-    path = folder(spark, "od")
+    path = new_path(spark, "od")
     rows = X.requests(spark, d).withColumn("dijkstra_rank", c("request_id") % 20)
     IO.write_csv(rows, path, {n: n for n in ("origin", "destination", "dijkstra_rank")})
     return IO.read_od_pairs(spark, path)
@@ -97,7 +90,7 @@ def s15(spark, d) -> DataFrame:
 
 @query("s16_poly_round_trip", f"WITH {FACE_SQL} SELECT face, orient, k, x1, y1, x2, y2 FROM face")
 def s16(spark, d) -> DataFrame:
-    path = folder(spark, "poly")
+    path = new_path(spark, "poly")
     IO.poly_lines(faces(spark), "area").coalesce(1).write.text(path)
     return IO.read_poly(spark, path).select(*[c(n).cast("long").alias(n) for n in ("face", "orient", "k", "x1", "y1", "x2", "y2")])
 

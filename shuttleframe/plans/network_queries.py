@@ -127,7 +127,9 @@ def faces(spark) -> DataFrame:
     X.ctes("vertex", more=FACE_SQL) + "SELECT vertex_id, face, sum(CASE WHEN (y1<=lat)<>(y2<=lat) AND ((y2>y1)=((x2-x1)::BIGINT*(lat-y1)-(lng-x1)*(y2-y1)::BIGINT>0)) THEN 1 ELSE 0 END)%2=1 AS inside FROM vertex, face GROUP BY ALL",
 )
 def e16(spark, d) -> DataFrame:
-    return G.in_faces(X.vertices(spark, d), faces(spark), "vertex_id", "lng", "lat").select("vertex_id", "face", "inside")
+    f, v = faces(spark), X.vertices(spark, d)
+    every = v.select("vertex_id", F.explode(F.array(*[F.lit(r["face"]) for r in f.select("face").distinct().collect()])).alias("face"))
+    return every.join(G.in_faces(v, f, "vertex_id", "lng", "lat"), ["vertex_id", "face"], "left").select("vertex_id", "face", c("orient").isNotNull().alias("inside"))
 
 
 @query("e17_polygon_area", "WITH " + FACE_SQL + " SELECT CAST(face AS BIGINT) AS face, CAST(sum(x1::BIGINT*y2-x2::BIGINT*y1) AS BIGINT) AS area2, CAST(sign(sum(x1::BIGINT*y2-x2::BIGINT*y1)) AS INT) AS orientation FROM face GROUP BY face")
@@ -214,11 +216,16 @@ def g01(spark, d) -> DataFrame:
     return G.distances(X.edges(spark, d), start).select("source", "vertex_id", "dist")
 
 
-@query("g13_many_to_many", X.ctes("edge", recursive=True, more=SP) + "SELECT CAST(s AS BIGINT) AS source, CAST(v AS BIGINT) AS target, d AS dist FROM r WHERE v%10=3")
+MANY = "m(s, v, d) USING KEY (s, v) AS (SELECT h, h, CAST(0 AS BIGINT) FROM (SELECT DISTINCT head AS h FROM vehicle JOIN edge ON edge_id=initial_location) UNION SELECT q.s, q.head, min(q.d) FROM (SELECT m.s, head, m.d+travel_time AS d FROM m JOIN edge ON tail=m.v) q LEFT JOIN recurring.m o ON o.s=q.s AND o.v=q.head WHERE o.d IS NULL OR q.d<o.d GROUP BY q.s, q.head)"
+
+
+@query("g13_many_to_many", X.ctes("edge", "vehicle", recursive=True, more=MANY) + "SELECT s AS source, v AS target, d AS dist FROM m JOIN (SELECT DISTINCT tail FROM customer JOIN edge ON edge_id=c_custkey) ON tail=v")
 def g13(spark, d) -> DataFrame:
-    targets = X.vertices(spark, d).where("vertex_id % 10 = 3").select(c("vertex_id").alias("target"))
-    sources = spark.createDataFrame([(5,), (77,)], "source long")
-    return G.many_to_many(X.edges(spark, d), sources, targets)
+    """From every vehicle's head to the tail of every customer's edge."""
+    e = X.edges(spark, d)
+    sources = X.vehicles(spark, d).select(c("initial_location").alias("edge_id")).join(e, "edge_id").select(c("head").alias("source")).distinct()
+    targets = X.table(spark, d, "customer").select(X.L("c_custkey").alias("edge_id")).join(e, "edge_id").select(c("tail").alias("target")).distinct()
+    return G.many_to_many(e, sources, targets)
 
 
 @query("g23_dijkstra_rank", X.ctes("edge", recursive=True, more=SP) + "SELECT CAST(s AS BIGINT) AS source, CAST(v AS BIGINT) AS vertex_id, row_number() OVER (PARTITION BY s ORDER BY d, v)-1 AS rnk FROM r")
@@ -226,14 +233,28 @@ def g23(spark, d) -> DataFrame:
     return G.dijkstra_rank(g01(spark, d)).select("source", "vertex_id", c("rank").cast("long").alias("rnk"))
 
 
-@query("g08_path")
+@query(
+    "g08_path",
+    X.ctes("edge", recursive=True, more="""t(v, d) USING KEY (v) AS (SELECT CAST(150 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT q.v, min(q.d) FROM (SELECT tail AS v, t.d+travel_time AS d FROM t JOIN edge ON head=t.v) q LEFT JOIN recurring.t o ON o.v=q.v WHERE o.d IS NULL OR q.d<o.d GROUP BY q.v),
+ nx AS (SELECT tail AS v, min({'e': edge_id, 'h': head, 'w': travel_time}) AS m FROM edge JOIN t a ON a.v=tail JOIN t b ON b.v=head WHERE a.d=b.d+travel_time AND tail<>150 GROUP BY tail),
+ p(step, edge_id, v, dist) AS (SELECT CAST(0 AS BIGINT), m.e, m.h, m.w FROM nx WHERE v=5 UNION ALL SELECT step+1, m.e, m.h, dist+m.w FROM p JOIN nx ON nx.v=p.v)""")
+    + "SELECT step, edge_id, CAST(dist AS BIGINT) AS dist FROM p",
+)
 def g08(spark, d) -> DataFrame:
     return G.path(X.edges(spark, d), 5, 150)
 
 
-@query("g15_components", X.ctes("edge") + "SELECT DISTINCT tail AS vertex_id, CAST(0 AS BIGINT) AS scc FROM edge")
+#: Two edges of five, so that the network falls apart.
+SPARSE = "(edge_id * 7 + category) % 5 < 2"
+
+
+@query(
+    "g15_components",
+    X.ctes("edge", recursive=True, more=f"""part_of AS (SELECT tail, head FROM edge WHERE {SPARSE}), reach(a, b) AS (SELECT tail, head FROM part_of UNION SELECT a, head FROM reach JOIN part_of ON tail=b)""")
+    + "SELECT v AS vertex_id, coalesce(min(y.a), v) AS scc FROM (SELECT tail AS v FROM part_of UNION SELECT head FROM part_of) LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach z ON z.a=x.b AND z.b=x.a) y ON y.b=v AND y.a<v GROUP BY v",
+)
 def g15(spark, d) -> DataFrame:
-    return G.strong_components(X.edges(spark, d)).select("vertex_id", "scc")
+    return G.strong_components(X.edges(spark, d).where(SPARSE)).select("vertex_id", "scc")
 
 
 @query("g16_subgraph", X.ctes("edge", "vertex", more="k AS (SELECT vertex_id, row_number() OVER (ORDER BY vertex_id)-1 AS new_id FROM vertex WHERE vertex_id%3<>0)") + "SELECT edge_id, t.new_id AS tail, h.new_id AS head FROM edge JOIN k t ON t.vertex_id=tail JOIN k h ON h.vertex_id=head")
@@ -265,10 +286,22 @@ def g20(spark, d) -> DataFrame:
     return G.insert(G.remove(e, e.where("edge_id % 11 = 0").select("edge_id")), new)
 
 
-@query("g22_pairing", E_SQL + "SELECT c.edge_id AS car_edge, p.edge_id AS psg_edge FROM edge c JOIN edge p ON c.psg_edge_id=p.edge_id AND c.head=p.head WHERE c.category<=13 AND p.category BETWEEN 8 AND 20")
+PAIR_NETS = """car AS (SELECT edge_id, edge_id//2 AS way_id, tail, head FROM edge WHERE category<=13), psg AS (SELECT -edge_id AS edge_id, edge_id//2 AS way_id, tail, head FROM edge WHERE category BETWEEN 8 AND 20)"""
+
+
+def _scc_sql(name: str) -> str:
+    """CTEs for the largest component of a network: of equal ones that with the smallest vertex."""
+    return f"""{name}_r(a, b) AS (SELECT tail, head FROM {name} UNION SELECT a, head FROM {name}_r JOIN {name} ON tail=b),
+ {name}_c AS (SELECT v, coalesce(min(y.a), v) AS scc FROM (SELECT tail AS v FROM {name} UNION SELECT head FROM {name}) LEFT JOIN (SELECT x.a, x.b FROM {name}_r x JOIN {name}_r z ON z.a=x.b AND z.b=x.a) y ON y.b=v AND y.a<v GROUP BY v),
+ {name}_top AS (SELECT v FROM {name}_c WHERE scc=(SELECT scc FROM {name}_c GROUP BY scc ORDER BY count(*) DESC, scc LIMIT 1)),
+ {name}_k AS (SELECT way_id, head, min(edge_id) AS e FROM {name} WHERE tail IN (FROM {name}_top) AND head IN (FROM {name}_top) GROUP BY 1, 2)"""
+
+
+@query("g22_pairing", X.ctes("edge", recursive=True, more=f"{PAIR_NETS}, {_scc_sql('car')}, {_scc_sql('psg')}") + "SELECT car_k.e AS car_edge, psg_k.e AS psg_edge FROM car_k JOIN psg_k USING (way_id, head)")
 def g22(spark, d) -> DataFrame:
-    e = X.edges(spark, d)
-    return G.pair_networks(e.where(N.open_to_cars(c("category"))), e.where(N.open_to_pedestrians(c("category"))))
+    e, v = X.edges(spark, d).withColumn("way_id", F.floor(c("edge_id") / 2)), X.vertices(spark, d)
+    psg = e.where(N.open_to_pedestrians(c("category"))).withColumn("edge_id", -c("edge_id"))
+    return G.pair_networks(e.where(N.open_to_cars(c("category"))), psg, v, v)
 
 
 POINTS = "p AS (SELECT c_custkey AS id, 52400000+(c_custkey*7919)%45000 AS lat, 13100000+(c_custkey*104729)%60000 AS lng FROM customer)"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import fixtures as X
+from ..storage import new_path
 
 
 def binned(requests: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -19,7 +19,7 @@ def binned(requests: DataFrame, width: str = "5 minutes", late: str = "10 minute
 
 def request_bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins of all requests, run as a stream over files to its end."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     rows = X.requests(spark, d)
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")

@@ -1,4 +1,6 @@
-"""Searches beyond the size of a network that is sent to the executors."""
+"""Searches against brute force, within and beyond the size of a network that is sent to the executors."""
+
+import pytest
 
 from shuttleframe.operators import graph
 
@@ -9,3 +11,83 @@ def test_edges_without_a_weight_lead_nowhere(spark, monkeypatch):
     sent = sorted(map(tuple, graph.distances(edges, seeds).collect()))
     monkeypatch.setattr(graph, "SENT_EDGES", 0)
     assert sorted(map(tuple, graph.distances(edges, seeds).collect()), key=str) == sent == [(0, 0, 0), (0, 1, 5), (0, 3, 9)]
+
+
+def network(spark, n=60, seed=3):
+    import random
+
+    r = random.Random(seed)
+    rows = [(k, r.randrange(n), r.randrange(n), r.choice((0, 3, 5, 5, 8))) for k in range(2 * n)]
+    return spark.createDataFrame(rows, "edge_id long, tail long, head long, travel_time long"), rows
+
+
+def brute(rows, n=60):
+    """All distances by Floyd and Warshall."""
+    inf = float("inf")
+    d = [[0 if i == j else inf for j in range(n)] for i in range(n)]
+    for _, t, h, w in rows:
+        d[t][h] = min(d[t][h], w)
+    for k in range(n):
+        for i in range(n):
+            for j in range(n):
+                d[i][j] = min(d[i][j], d[i][k] + d[k][j])
+    return d
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_searches_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "SENT_EDGES", sent)
+    edges, rows = network(spark)
+    d, inf = brute(rows), float("inf")
+    seeds = spark.createDataFrame([(s, s, 0, r) for s, r in ((1, None), (2, 9), (3, 0))], "source long, vertex_id long, dist long, radius long")
+    got = {(r["source"], r["vertex_id"]): r["dist"] for r in graph.distances(edges, seeds).collect()}
+    assert got == {(s, v): d[s][v] for s, m in ((1, inf), (2, 9), (3, 0)) for v in range(60) if d[s][v] <= m and d[s][v] < inf}
+    pairs = [(a, b) for a in range(0, 60, 7) for b in range(0, 60, 3)]
+    found = graph.pair_distances(edges, spark.createDataFrame(pairs, "source long, target long")).collect()
+    assert {(r["source"], r["target"]): r["dist"] for r in found} == {(a, b): d[a][b] for a, b in pairs if d[a][b] < inf}
+    labelled = [(lv, v, off, 100 + v) for lv in (1, 2) for v, off in ((4, 0), (9, 2), (33, 0)) if lv == 1 or v != 4]
+    near = graph.nearest_labels(edges, spark.createDataFrame(labelled, "level long, vertex_id long, dist long, label long")).collect()
+    want = {}
+    for lv, v, off, label in labelled:
+        for x in range(60):
+            if d[v][x] < inf:
+                want[lv, x] = min(want.get((lv, x), (inf, 0)), (off + d[v][x], label))
+    assert {(r["level"], r["vertex_id"]): (r["dist"], r["label"]) for r in near} == want
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_components_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "SENT_EDGES", sent)
+    for seed in (3, 4):
+        edges, rows = network(spark, seed=seed)
+        d = brute(rows)
+        touched = {v for _, t, h, _ in rows for v in (t, h)}
+        got = {r["vertex_id"]: r["scc"] for r in graph.strong_components(edges).collect()}
+        assert got == {v: min(u for u in touched if d[u][v] < float("inf") and d[v][u] < float("inf")) for v in touched}
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_paths_are_shortest(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "SENT_EDGES", sent)
+    edges, rows = network(spark)
+    d, by_id = brute(rows), {k: (t, h, w) for k, t, h, w in rows}
+    for a, b in ((1, 2), (5, 40), (7, 7), (3, 11)):
+        steps = sorted(map(tuple, graph.path(edges, a, b).collect()))
+        if d[a][b] == float("inf") or a == b:
+            assert steps == []
+            continue
+        at, total = a, 0
+        for i, (step, e, dist) in enumerate(steps):
+            t, h, w = by_id[e]
+            total += w
+            assert (step, t, dist) == (i, at, total)
+            at = h
+        assert at == b and total == d[a][b]
+
+
+def test_every_point_has_a_nearest_vertex(spark):
+    vertices = [(i, 10 * (i % 7), 13 * (i // 7)) for i in range(40)]
+    points = [(1, 0, 0), (2, 33, 41), (3, 10**9, -(10**9)), (4, -5000, 77)]
+    got = graph.nearest(spark.createDataFrame(points, "id long, lat long, lng long"), spark.createDataFrame(vertices, "vertex_id long, lat long, lng long"), 3)
+    best = lambda p: min(((p[1] - y) ** 2 + (p[2] - x) ** 2, v) for v, y, x in vertices)
+    assert {r["id"]: (r["d2"], r["vertex_id"]) for r in got.collect()} == {p[0]: best(p) for p in points}
