@@ -1,9 +1,11 @@
 """Dispatch of requests to a fleet with given routes: all insertions, with distances of the network, and the best one.
 
-Distances between locations (edges) go from the first one's head to the second one's tail, and along the second. One search
-backwards from every target tail gives ``ways`` (target, vertex_id, dist); each of an insertion's distances is an equi-join on
-(target, vertex_id), never a product of fleet and requests. Pickups and dropoffs that a leg's leeway doesn't allow go before
-they are paired: an insertion that keeps the bounds of the next stop keeps the leeway, so this loses none.
+Distances between locations (edges) go from the first one's head to the second one's tail, and along the second. Nothing here is
+a product of fleet and requests: on a leg, searches from its stop and backwards from the next one end at the leg's leeway, and
+pickups and dropoffs are joined with the vertices that both reach; after a route's last stop, searches backwards from pickups
+and dropoffs end where the way alone costs more than the request's known upper bound; other ways are searched pair by pair. An
+insertion that keeps the bounds of the next stop keeps the leeway, and the best one costs no more than an upper bound, so
+this loses none.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from . import cost as C
 from . import schedule as S
-from .graph import SENT_EDGES, distances, reverse
+from .graph import SENT_EDGES, distances, nearest_labels, pair_distances, reverse
 
 c = F.col
 
@@ -30,29 +33,57 @@ def zero() -> Column:
 ORDINARY, PAIRED, BEFORE_NEXT, AFTER_LAST, DROPOFF_AFTER_LAST = "ordinary", "paired", "before_next", "after_last", "dropoff_after_last"
 
 
-def ways(edges: DataFrame, locations: DataFrame) -> DataFrame:
-    """(target, vertex_id, dist): distances from every vertex to the tails of ``locations`` (location)."""
-    tails = locations.distinct().join(edges.select(c("edge_id").alias("location"), c("tail").alias("source")), "location").select("source").distinct()
-    found = distances(reverse(edges), tails.select("source", c("source").alias("vertex_id"), zero().alias("dist")))
-    return found.select(c("source").alias("target"), "vertex_id", "dist")
-
-
 def _ends(edges: DataFrame, name: str) -> DataFrame:
     """Locations as columns: name, name_tail, name_head, name_tt."""
     return edges.select(c("edge_id").alias(name), c("tail").alias(f"{name}_tail"), c("head").alias(f"{name}_head"), c("travel_time").alias(f"{name}_tt"))
 
 
-def _way(rows: DataFrame, known: DataFrame, a: str, b: str, to: str, how: str = "inner") -> DataFrame:
-    """``to``: the way from location a to location b, 0 for the same one; a and b come with their ends."""
-    found = known.select(c("target").alias(f"{b}_tail"), c("vertex_id").alias(f"{a}_head"), c("dist").alias("__dist"))
-    rows = rows.join(found, [f"{b}_tail", f"{a}_head"], how)
-    return rows.withColumn(to, F.when(c(a) == c(b), zero()).otherwise(c("__dist") + c(f"{b}_tt"))).drop("__dist")
+def location_ways(rows: DataFrame, edges: DataFrame, a: str, b: str, to: str, how: str = "inner") -> DataFrame:
+    """Rows with ``to``, the way from location a to location b, 0 for the same one; without a way they go (or have none, how = left)."""
+    keep = rows.columns
+    pairs = rows.select(c(a).alias("__a"), c(b).alias("__b")).distinct().join(_ends(edges, "__a"), "__a").join(_ends(edges, "__b"), "__b")
+    found = pair_distances(edges, pairs.select(c("__a_head").alias("source"), c("__b_tail").alias("target")))
+    pairs = pairs.join(found, (c("__a_head") == c("source")) & (c("__b_tail") == c("target")), "left")
+    way = F.when(c("__a") == c("__b"), zero()).otherwise(c("dist") + c("__b_tt"))
+    pairs = pairs.select(c("__a").alias(a), c("__b").alias(b), way.alias(to)).where(c(to).isNotNull())
+    return rows.join(pairs, [a, b], how).select(*keep, to)
 
 
-def location_ways(rows: DataFrame, known: DataFrame, edges: DataFrame, a: str, b: str, to: str) -> DataFrame:
-    """Rows with ``to``, the way from location a to location b."""
-    keep = rows.columns
-    return _way(rows.join(_ends(edges, a), a).join(_ends(edges, b), b), known, a, b, to).select(*keep, to)
+def _balls(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """(source, vertex_id, dist) around vertices (source, radius), each within its largest radius; null: no bound."""
+    most = F.when(F.max(c("radius").isNull()), None).otherwise(F.max("radius"))
+    one = centres.groupBy("source").agg(most.alias("radius")).where("radius is null or radius >= 0")
+    return distances(edges, one.select("source", c("source").alias("vertex_id"), zero().alias("dist"), "radius"))
+
+
+def feasible_distances(edges: DataFrame, legs: DataFrame, locations: DataFrame) -> DataFrame:
+    """(vehicle_id, at, x, to_x, from_x): locations (x) between a stop and the next one within the leg's leeway, with both ways.
+
+    legs: (vehicle_id, at, stop, stop_head, next, next_tail, next_tt, leeway). What lies within the leeway from the stop and to the
+    next one is an ellipse; its two balls are searched for every different end, and locations met in both are joined.
+    """
+    x = locations.select("x").distinct().join(_ends(edges, "x"), "x")
+    out = _balls(edges, legs.select(c("stop_head").alias("source"), c("leeway").alias("radius"))).toDF("stop_head", "x_tail", "__d")
+    back = _balls(reverse(edges), legs.select(c("next_tail").alias("source"), c("leeway").alias("radius"))).toDF("next_tail", "x_head", "__b")
+    to = out.join(x, "x_tail").join(legs, "stop_head").where(c("x") != c("stop")).withColumn("to_x", c("__d") + c("x_tt")).drop("__d")
+    here = x.join(legs, c("x") == c("stop")).withColumn("to_x", zero())
+    both = to.where(c("to_x") <= c("leeway")).unionByName(here).where(c("next") != c("x")).join(back, ["next_tail", "x_head"]).withColumn("from_x", c("__b") + c("next_tt"))
+    return both.where(c("to_x") + c("from_x") <= c("leeway")).select("vehicle_id", "at", "x", "to_x", "from_x")
+
+
+def last_stop_distances(edges: DataFrame, last: DataFrame, places: DataFrame) -> DataFrame:
+    """(vehicle_id, x, to_x): the way from a route's last stop (vehicle_id, stop, stop_head) to places (x, most); most bounds the
+    way, null doesn't."""
+    x = places.groupBy("x").agg(F.when(F.max(c("most").isNull()), None).otherwise(F.max("most")).alias("most")).join(_ends(edges, "x"), "x")
+    back = _balls(reverse(edges), x.select(c("x_tail").alias("source"), c("most").alias("radius"))).toDF("x_tail", "stop_head", "__d")
+    far = back.join(last, "stop_head").join(x, "x_tail").where(c("x") != c("stop")).withColumn("to_x", c("__d") + c("x_tt"))
+    here = x.join(last, c("x") == c("stop")).withColumn("to_x", zero())
+    return far.select("vehicle_id", "x", "to_x").unionByName(here.select("vehicle_id", "x", "to_x"))
+
+
+def pd_distances(edges: DataFrame, pickups: DataFrame, dropoffs: DataFrame) -> DataFrame:
+    """(request_id, p, d, dist) from each pickup (request_id, p) of a request to each of its dropoffs (request_id, d)."""
+    return location_ways(pickups.select("request_id", "p").join(dropoffs.select("request_id", "d"), "request_id"), edges, "p", "d", "dist")
 
 
 def leg_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
@@ -114,65 +145,102 @@ def current_location(path: Column, now: Column) -> Column:
     return F.coalesce(F.get(F.filter(path, lambda x: x["at_head"] >= now), F.lit(0)), F.element_at(path, -1))
 
 
-def insertions(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config) -> DataFrame:
+def route_arrays(stops: DataFrame) -> DataFrame:
+    """One row a vehicle: arr, dep, max_arr, occ, n_drop, loc of its stops as arrays. A route is a few dozen stops."""
+    fields = {"arr": "arr", "dep": "dep", "max_arr": "max_arr", "occupancy": "occ", "n_dropoffs": "n_drop", "location": "loc"}
+    one = stops.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct("stop_idx", *fields))).alias("s"))
+    return one.select("vehicle_id", *[c(f"s.{f}").alias(to) for f, to in fields.items()])
+
+
+def route_legs(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, k: C.Config) -> DataFrame:
+    """A row for each stop: vehicle_id, at, stop, next and their ends, leeway, occ_at, dep_at, n, capacity, end_service."""
+    n = stops.groupBy("vehicle_id").agg(F.count("*").alias("n"))
+    legs = S.leeways(stops, k.stop_time).withColumn("next", F.lead("location").over(S.by()))
+    legs = legs.select("vehicle_id", c("stop_idx").alias("at"), c("location").alias("stop"), "next", "leeway", c("occupancy").alias("occ_at"), c("dep").alias("dep_at"))
+    legs = legs.join(n, "vehicle_id").join(vehicles.select("vehicle_id", "capacity", c("end_of_service_time").alias("end_service")), "vehicle_id")
+    return legs.join(_ends(edges, "stop"), "stop").join(_ends(edges, "next"), "next", "left")
+
+
+def upper_bounds(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, k: C.Config, on_foot: DataFrame | None = None) -> DataFrame:
+    """(request_id, upper): what a request costs at most: by the vehicle whose last stop is nearest, in time, or (request_id, cost) on foot.
+
+    One search for each number of riders, from all last stops with enough seats at once. Null where neither is possible.
+    """
+    legs = route_legs(edges, stops, vehicles, k).where(c("at") == c("n") - 1)
+    levels = requests.select(c("num_riders").alias("level")).distinct()
+    start = F.when(c("n") > 1, c("dep_at")).otherwise(zero())
+    seeds = legs.join(levels, c("capacity") >= c("level")).select("level", c("stop_head").alias("vertex_id"), start.alias("dist"), c("vehicle_id").alias("label"))
+    near = nearest_labels(edges, seeds)
+    asked = location_ways(requests, edges, "origin", "destination", "direct").join(_ends(edges, "origin"), "origin")
+    rows = asked.join(near, (c("origin_tail") == c("vertex_id")) & (c("num_riders") == c("level"))).withColumnRenamed("label", "vehicle_id")
+    rows = rows.join(legs.select("vehicle_id", "stop", start.alias("start"), "n", "capacity", "end_service"), "vehicle_id")
+    to_p = F.when(c("stop") == c("origin"), zero()).otherwise(c("dist") - c("start") + c("origin_tt"))
+    rows = rows.select(
+        "request_id", "vehicle_id", (c("n") - 1).alias("i"), (c("n") - 1).alias("j"), c("origin").alias("p_loc"), c("destination").alias("d_loc"), to_p.alias("to_p"), zero().alias("from_p"),
+        c("direct").alias("to_d"), zero().alias("from_d"), c("request_time").alias("t0"), c("num_riders").alias("riders"), "direct", "n", "capacity", "end_service",
+        *[zero().alias(x) for x in ("p_walk", "d_walk", "p_id", "d_id")],
+    ).join(route_arrays(stops), "vehicle_id")
+    found = requests.select("request_id").join(C.costed(rows, k).select("request_id", "cost"), "request_id", "left")
+    if on_foot is None:
+        return found.select("request_id", c("cost").alias("upper"))
+    return found.join(on_foot.select("request_id", c("cost").alias("foot")), "request_id", "left").select("request_id", F.least("cost", "foot").alias("upper"))
+
+
+def insertions(
+    edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config, upper: DataFrame | None = None
+) -> DataFrame:
     """Every insertion of every request that its stops and legs allow, costed (NULL: breaks a constraint), with its ``kind``.
 
     stops: (vehicle_id, stop_idx, location, arr, dep, max_arr, n_dropoffs, occupancy); vehicles: (vehicle_id, capacity,
     end_of_service_time); requests: (request_id, origin, destination, request_time, num_riders); pickups and dropoffs:
-    (request_id, location, walk, pd_id).
+    (request_id, location, walk, pd_id). With ``upper`` (request_id, upper), insertions that certainly cost more may be missing.
     """
-    targets = [stops.select("location"), pickups.select("location"), dropoffs.select("location"), requests.select(c("destination").alias("location"))]
-    known = ways(edges, targets[0].union(targets[1]).union(targets[2]).union(targets[3]))
-    n = stops.groupBy("vehicle_id").agg(F.count("*").alias("n"))
-    legs = S.leeways(stops, k.stop_time).withColumn("next", F.lead("location").over(S.by())).select("vehicle_id", c("stop_idx").alias("at"), c("location").alias("stop"), "next", "leeway", c("occupancy").alias("occ_at"), c("dep").alias("dep_at"))
-    legs = legs.join(n, "vehicle_id").join(vehicles.select("vehicle_id", "capacity", c("end_of_service_time").alias("end_service")), "vehicle_id")
-    legs = legs.join(_ends(edges, "stop"), "stop").join(_ends(edges, "next"), "next", "left")
-    asked = location_ways(requests, known, edges, "origin", "destination", "direct")
+    legs = cut(route_legs(edges, stops, vehicles, k))
+    inner, last = legs.where(c("at") < c("n") - 1), legs.where(c("at") == c("n") - 1)
+    asked = location_ways(requests, edges, "origin", "destination", "direct")
     asked = asked.select("request_id", c("request_time").alias("t0"), c("num_riders").alias("riders"), "direct")
+    # A way after the last stop is a detour of its length, and a detour costs ``veh`` a unit.
+    most = F.floor(c("upper") / k.veh).cast("long") if upper is not None and k.veh else F.lit(None).cast("long")
+    asked = cut((asked.join(upper, "request_id", "left") if upper is not None else asked.withColumn("upper", F.lit(None).cast("long"))).withColumn("most", most))
 
     def at_legs(found: DataFrame, x: str) -> DataFrame:
-        """Locations with every stop that reaches them within the leg's leeway: to_x from the stop, from_x to the next one."""
-        rows = found.select("request_id", c("location").alias(x), c("walk").alias(f"{x}_walk"), c("pd_id").alias(f"{x}_id")).join(_ends(edges, x), x).join(asked, "request_id")
-        near = known.select(c("target").alias(f"{x}_tail"), c("vertex_id").alias("stop_head"), c("dist").alias("__d"))
-        rows = rows.join(near, f"{x}_tail").join(legs, "stop_head").withColumn(f"to_{x}", F.when(c(x) == c("stop"), zero()).otherwise(c("__d") + c(f"{x}_tt"))).drop("__d")
-        rows = _way(rows, known, x, "next", f"from_{x}", "left")
-        last = c("at") == c("n") - 1
-        rows = rows.where(last | ((c(f"to_{x}") + c(f"from_{x}") <= c("leeway")) & (c("next") != c(x))))
-        return rows.withColumn(f"from_{x}", F.when(last, zero()).otherwise(c(f"from_{x}")))
+        """Locations with every stop that may go before them: to_x from the stop, from_x to the next one."""
+        rows = cut(found.select("request_id", c("location").alias("x"), c("walk").alias(f"{x}_walk"), c("pd_id").alias(f"{x}_id")).join(asked, "request_id"))
+        own = ["vehicle_id", "at", "stop", "occ_at", "dep_at", "n", "capacity", "end_service"]
+        on_leg = rows.join(feasible_distances(edges, inner, rows), "x").join(inner.select(*own), ["vehicle_id", "at"])
+        behind = rows.join(last_stop_distances(edges, last, rows.select("x", "most")), "x").where("most is null or to_x <= most").withColumn("from_x", zero()).join(last.select(*own), "vehicle_id")
+        both = on_leg.unionByName(behind, allowMissingColumns=True).join(_ends(edges, "x"), "x")
+        return both.withColumnsRenamed({"x": x, "to_x": f"to_{x}", "from_x": f"from_{x}", "x_tail": f"{x}_tail", "x_head": f"{x}_head", "x_tt": f"{x}_tt"})
 
     p = at_legs(pickups, "p").where((c("at") == c("n") - 1) | (c("occ_at") + c("riders") <= c("capacity")))
     p = p.join(first_legs(edges, stops), "vehicle_id", "left")
     moving = (c("at") == 0) & (c("n") > 1) & (c("dep_at") < c("t0"))
-    p = p.withColumn("here", F.when(moving, current_location(c("path"), c("t0")))).withColumn("here_loc", c("here.edge_id"))
-    p = _way(p.join(_ends(edges, "here_loc"), "here_loc", "left"), known, "here_loc", "p", "on", "left")
+    p = cut(p.withColumn("here", F.when(moving, current_location(c("path"), c("t0")))).drop("path").withColumn("here_loc", c("here.edge_id")))
+    on = location_ways(p.where("here_loc is not null").select("here_loc", "p").distinct(), edges, "here_loc", "p", "on")
+    p = p.join(on, ["here_loc", "p"], "left")
     p = p.withColumn("to_p", F.when(moving, c("here.at_head") - c("dep_at") + c("on")).otherwise(c("to_p")))
-    p = p.select("request_id", "vehicle_id", c("at").alias("i"), c("p").alias("p_loc"), "p_head", "p_walk", "p_id", "to_p", "from_p", "t0", "riders", "direct", "n", "capacity", "end_service")
+    p = p.select("request_id", "vehicle_id", c("at").alias("i"), c("p").alias("p_loc"), "p_walk", "p_id", "to_p", "from_p", "t0", "riders", "direct", "n", "capacity", "end_service", "upper")
     at_stop = c("d") == c("stop")
     d = at_legs(dropoffs, "d").where(at_stop | (c("at") == c("n") - 1) | (c("occ_at") + c("riders") <= c("capacity")))
-    d = d.select("request_id", "vehicle_id", c("at").alias("j"), c("d").alias("d_loc"), "d_tail", "d_tt", "d_walk", "d_id", c("to_d").alias("stop_to_d"), "from_d", at_stop.alias("at_stop"))
-    rows = p.join(d, ["request_id", "vehicle_id"]).where((c("i") < c("j")) & (c("p_loc") != c("d_loc")) | (c("i") == c("j")))
-    direct = known.select(c("target").alias("d_tail"), c("vertex_id").alias("p_head"), c("dist").alias("__pd"))
-    rows = rows.join(direct, ["d_tail", "p_head"])
+    d = d.select("request_id", "vehicle_id", c("at").alias("j"), c("d").alias("d_loc"), "d_walk", "d_id", c("to_d").alias("stop_to_d"), "from_d", at_stop.alias("at_stop"))
+    apart = p.join(d, ["request_id", "vehicle_id"]).where((c("i") < c("j")) & (c("p_loc") != c("d_loc")) | (c("i") == c("j")))
+    direct = pd_distances(edges, pickups.select("request_id", c("location").alias("p")), dropoffs.select("request_id", c("location").alias("d"))).toDF("request_id", "p_loc", "d_loc", "__pd")
+    rows = apart.join(direct, ["request_id", "p_loc", "d_loc"])
     same = c("i") == c("j")
-    rows = rows.withColumn("to_d", F.when(~same, c("stop_to_d")).when(c("p_loc") == c("d_loc"), zero()).otherwise(c("__pd") + c("d_tt")))
+    rows = rows.withColumn("to_d", F.when(~same, c("stop_to_d")).otherwise(c("__pd")))
     rows = rows.withColumn("from_p", F.when(same, zero()).otherwise(c("from_p"))).withColumn("from_d", F.when(~same & c("at_stop"), zero()).otherwise(c("from_d")))
-    last = c("n") - 1
+    last_at = c("n") - 1
     kind = (
-        F.when(c("i") == last, AFTER_LAST).when((c("j") == last) & ~c("at_stop"), DROPOFF_AFTER_LAST)
+        F.when(c("i") == last_at, AFTER_LAST).when((c("j") == last_at) & ~c("at_stop"), DROPOFF_AFTER_LAST)
         .when(c("i") == 0, BEFORE_NEXT).when(same, PAIRED).otherwise(ORDINARY)
     )
-    fields = {"arr": "arr", "dep": "dep", "max_arr": "max_arr", "occupancy": "occ", "n_dropoffs": "n_drop", "location": "loc"}
-    one = stops.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct("stop_idx", *fields))).alias("s"))
-    arrays = one.select("vehicle_id", *[c(f"s.{f}").alias(to) for f, to in fields.items()])
-    return C.costed(rows.withColumn("kind", kind).drop("d_tail", "p_head", "d_tt", "stop_to_d", "at_stop", "__pd").join(arrays, "vehicle_id"), k)
+    return C.costed(rows.withColumn("kind", kind).drop("stop_to_d", "at_stop", "__pd").join(route_arrays(stops), "vehicle_id"), k)
 
 
 def walks(edges: DataFrame, foot: DataFrame, requests: DataFrame, k: C.Config) -> DataFrame:
     """(request_id, walk, cost) of going all the way on foot."""
-    ends = requests.select(c("destination").alias("location"))
-    asked = location_ways(requests, ways(edges, ends), edges, "origin", "destination", "direct")
-    rows = asked.join(_ends(edges, "origin"), "origin").join(_ends(edges, "destination"), "destination")
-    found = ways(foot, ends).select(c("target").alias("destination_tail"), c("vertex_id").alias("origin_head"), c("dist").alias("on_foot"))
+    rows = location_ways(requests, edges, "origin", "destination", "direct").join(_ends(edges, "origin"), "origin").join(_ends(edges, "destination"), "destination")
+    found = pair_distances(foot, rows.select(c("origin_head").alias("source"), c("destination_tail").alias("target"))).toDF("origin_head", "destination_tail", "on_foot")
     rows = rows.join(found, ["destination_tail", "origin_head"]).withColumn("walk", c("on_foot") + c("destination_tt"))
     return rows.select("request_id", "walk", C.walk_cost(c("walk"), c("destination_tt"), c("direct"), k).alias("cost"))
 

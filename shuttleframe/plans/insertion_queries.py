@@ -50,8 +50,7 @@ def stops(spark, d) -> DataFrame:
     n = X.vertices(spark, d).count()
     rows = fleet(spark, d).select("vehicle_id", F.explode(F.sequence(F.lit(0).cast("long"), v % 4)).alias("stop_idx"))
     rows = rows.withColumn("location", (v * 37 + k * 211 + 1) % (4 * n)).withColumn("before", F.coalesce(F.lag("location").over(S.by()), "location"))
-    known = D.ways(e, rows.select("location"))
-    rows = D.location_ways(rows, known, e, "before", "location", "leg_in").withColumn("wait", F.when(k > 0, k * v % 3 * 100).otherwise(0))
+    rows = D.location_ways(rows, e, "before", "location", "leg_in").withColumn("wait", F.when(k > 0, k * v % 3 * 100).otherwise(0))
     start = F.when(v % 4 == 0, 0).otherwise(v % 5 * 300 - 300)
     arr = start + F.sum("leg_in").over(S.upto()) + F.coalesce(F.sum(T + c("wait")).over(S.upto(-1)), F.lit(0))
     rows = rows.withColumn("arr", arr).withColumn("dep", F.when(v % 4 == 0, c("arr")).otherwise(c("arr") + T + c("wait")))
@@ -62,12 +61,15 @@ def stops(spark, d) -> DataFrame:
     )
 
 
-def candidates(spark, d) -> DataFrame:
+def candidates(spark, d, pruned: bool = False) -> DataFrame:
+    """Insertions of all requests; all of them, or those that may be the best."""
     e, r = X.edges(spark, d), requests(spark, d)
     foot = e.where("psg_edge_id IS NOT NULL")
     p = P.with_centre(P.pickups(r, e, foot, RADIUS), r.select("request_id", c("origin").alias("centre")))
     o = P.with_centre(P.dropoffs(r, e, foot, RADIUS), r.select("request_id", c("destination").alias("centre")))
-    return D.insertions(e, stops(spark, d), fleet(spark, d), r, p, o, K)
+    s, v = stops(spark, d), fleet(spark, d)
+    upper = D.upper_bounds(e, s, v, r, K) if pruned else None
+    return D.insertions(e, s, v, r, p, o, K, upper)
 
 
 REQUEST = """request AS (SELECT s_suppkey AS request_id, o + CASE WHEN o%5=0 THEN 1 ELSE 0 END AS origin, q + CASE WHEN q%5=0 THEN 1 ELSE 0 END AS destination, s_suppkey*7%40*30 AS request_time,
@@ -123,7 +125,7 @@ BEST = """SELECT request_id, m.cost, m.vehicle_id, m.i, m.j, m.p_walk, m.d_walk,
 
 
 def best_of(spark, d, kind: str | None = None) -> DataFrame:
-    rows = candidates(spark, d)
+    rows = candidates(spark, d, kind is None)
     rows = rows if kind is None else rows.where(c("kind") == kind)
     return C.best(rows).select("request_id", "cost", "vehicle_id", "i", "j", "p_walk", "d_walk", "p_id", "d_id", "to_p", "to_d")
 
@@ -133,7 +135,7 @@ def best_query(name: str, kind: str | None) -> None:
     query(name, f"{ALL}{BEST}{condition}GROUP BY request_id)")(lambda spark, d: best_of(spark, d, kind))
 
 
-best_query("j10_best_ordinary", D.ORDINARY)
+best_query("j11_best_ordinary", D.ORDINARY)
 best_query("j12_best_paired", D.PAIRED)
 best_query("j13_best_before_next_stop", D.BEFORE_NEXT)
 best_query("j16_best_after_last_stop", D.AFTER_LAST)
@@ -141,7 +143,7 @@ best_query("j19_best_dropoff_after_last_stop", D.DROPOFF_AFTER_LAST)
 best_query("j24_best_insertion", None)
 
 
-@query("u02_routes_on_network", SCHEDULES + "SELECT vehicle_id, stop_idx, location, arr, dep, max_arr, n_dropoffs, occupancy FROM rs")
+@query("u01_routes_on_network", SCHEDULES + "SELECT vehicle_id, stop_idx, location, arr, dep, max_arr, n_dropoffs, occupancy FROM rs")
 def u02(spark, d) -> DataFrame:
     return stops(spark, d)
 
@@ -169,7 +171,8 @@ def j06(spark, d) -> DataFrame:
     foot = e.where("psg_edge_id IS NOT NULL")
     p = P.with_centre(P.pickups(r, e, foot, RADIUS), r.select("request_id", c("origin").alias("centre"))).select("request_id", c("location").alias("p"), c("pd_id").alias("p_id"))
     q = P.with_centre(P.dropoffs(r, e, foot, RADIUS), r.select("request_id", c("destination").alias("centre"))).select("request_id", c("location").alias("q"), c("pd_id").alias("d_id"))
-    rows = D.location_ways(p.join(q, "request_id"), D.ways(e, q.select(c("q").alias("location"))), e, "p", "q", "dist")
+    rows = p.join(q, "request_id")
+    rows = rows.join(D.pd_distances(e, p, q.withColumnRenamed("q", "d")).withColumnRenamed("d", "q"), ["request_id", "p", "q"])
     return rows.select("request_id", "p_id", "d_id", "dist", F.min("dist").over(Window.partitionBy("request_id", "p_id")).alias("least"))
 
 
@@ -190,5 +193,5 @@ def j25(spark, d) -> DataFrame:
  FROM (SELECT *, coalesce(m IS NULL OR foot<m.cost, false) AS f FROM (SELECT request_id, request_time FROM request) LEFT JOIN (SELECT request_id, walk+10*greatest(walk-most,0) AS foot FROM walks) USING (request_id) LEFT JOIN (SELECT request_id, min({'cost': cost, 'vehicle_id': vehicle_id, 'i': i, 'j': j}) AS m FROM found GROUP BY request_id) USING (request_id))""",
 )
 def u18(spark, d) -> DataFrame:
-    log = D.assignments(requests(spark, d), candidates(spark, d), j25(spark, d), K)
+    log = D.assignments(requests(spark, d), candidates(spark, d, True), j25(spark, d), K)
     return log.select("request_id", "request_time", "vehicle_id", "i", "j", "not_using_vehicle", "accepted", "cost")
