@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_place, chunks, documents, mix64, stored, texts, whole
@@ -155,8 +155,12 @@ UNSURE = 0.15
 COMMON_TEXTS, COMMON_SHINGLES, COMMON = 10_000, 5_000, 4
 #: Keys up to which texts are looked up by a broadcast (8 MB); beyond, they are dealt by hash.
 SENT_KEYS = 1_000_000
-#: Shingles of the texts of a block when candidate pairs are verified, about.
-BLOCK = 400_000
+#: Share of a text's shingles that are kept as rare ones beyond those that a first common one needs.
+MORE = 0.05
+#: Shingles of the texts of a block when candidate pairs are verified, and pairs of a cell, about.
+BLOCK, PAIRS = 400_000, 20_000
+#: Times that groups are joined by one pair before all pairs are compared. The result doesn't depend on it.
+ROUNDS = 3
 #: Texts that a task remembers, so that copies are sketched once; a text seen again after so many others is sketched again.
 SEEN = 500_000
 
@@ -177,15 +181,34 @@ def common_shingles(keyed: DataFrame, texts_in_all: int, shingle: int) -> tuple[
     return hashes[order], found["n"].to_numpy(np.int64)[order]
 
 
+def ahead(n, least: float):
+    """How many of n shingles are kept as the rare ones: so many that two sets of similarity ``least`` or more have over MORE of
+    the smaller one's among them in common."""
+    return n - np.ceil(least * n - 1e-6) + 1 + np.floor(MORE * n)
+
+
 def rarest(one: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a text, rare ones first, by an order that all texts share: so many that two texts of similarity
-    ``least`` or more have one of them in common."""
+    """The first shingles of a text, rare ones first, by an order that all texts share."""
     hashes, counts = common
     rank = np.zeros(len(one), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, one), len(hashes) - 1)
         rank = np.where(hashes[at] == one, counts[at], 0)
-    return one[np.lexsort((one, rank))][: len(one) - math.ceil(least * len(one) - 1e-6) + 1]
+    return one[np.lexsort((one, rank))][: int(ahead(len(one), least))]
+
+
+def shared_by(x, y, least: float):
+    """Rare shingles that sets of x and y shingles have in common, at least, if their similarity is ``least`` or more.
+
+    They share least / (1 + least) * (x + y) of all. What isn't rare in both lies behind all rare ones of one of them.
+    """
+    return np.ceil(least / (1 + least) * (x + y) - 1e-6) - np.maximum(x - ahead(x, least), y - ahead(y, least))
+
+
+def shared_by_any(n: int, least: float) -> int:
+    """``shared_by`` of n shingles and as many as suit an alike set the least: the fewest or the most that one can have."""
+    few, many = math.ceil(least * n - 1e-6), math.floor(n / least + 1e-6)
+    return max(1, min(int(shared_by(n, y, least)) for y in {few, min(few + 1, n), max(n, many - 1), many}) - 1)
 
 
 def sketched(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
@@ -295,53 +318,107 @@ def similar(rows: DataFrame, keyed: DataFrame, shingle: int, least: float) -> Da
 def missed(rows: DataFrame, found: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """Pairs (a, b) of roots of ``found`` (node, root) that some two texts of similarity ``least`` or more tie together. All such.
 
-    Sets x and y that are so alike have least / (1 + least) * (|x| + |y|) shingles in common. In an order that all sets share,
-    the first common one has so many left in both, itself included, so it is among the ``rare`` ones of both, and in the
-    smaller set, where 2 * least / (1 + least) of the set are left, even further ahead (its head). Texts that meet in such a
-    shingle and aren't in one group yet are candidates. What they share besides rare shingles of both lies behind all rare ones
-    of one of them, so they can't be alike if that and the rare ones in common are too few; the whole sets decide on the rest.
+    Two passes of a prefix filter. First, alike texts have so many rare shingles in common (``shared_by``). Those that only one
+    group has don't count; a text that is left with fewer than it must share with any partner has none, and of others, as many
+    as it must share less one may be left out, the most frequent ones. Texts that still meet another group are suspects.
+    Second, suspects' whole sets are ordered by how many suspects have a shingle, and the same argument holds for them: sets of
+    x and y <= x shingles share least / (1 + least) * (x + y), so the smaller one has a common shingle so near its front that as
+    many for two sets of its size are left, the larger one so near that as many for its smallest partner are, and both so near
+    that as many for this pair are. Pairs that meet so are compared as whole sets: first one of every two groups, which joins
+    most of what can be joined, then all that stand between groups that are left. Texts that share a template of less
+    than the similarity don't meet, however many there are, as the template is the most frequent part of them.
     """
-    part = least / (1 + least)
-    places = rows.select("kt", "n", F.posexplode("rare").alias("at", "h")).select("h", "kt", "n", (F.col("n") - F.col("at")).alias("left"))
+    places = rows.select("kt", "n", F.explode("rare").alias("h"))
     # Counted with a combine before the shuffle and written, so that Spark can split a hot shingle in the join.
     often = stored(places.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "often")
     places = stored(places.join(often, "h", "left_semi"), "places")
     group = found.select(F.col("node").alias("kt"), "root")
     places = places.join(group, "kt", "left").withColumn("root", F.coalesce("root", "kt"))
-    head = F.col("left") >= 2 * part * F.col("n") - 1e-6
-    met = places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(head).alias("head")).where("lo < hi")
-    places = stored(places.join(stored(met.select("h", "head"), "met"), "h").distinct(), "split-places")
-    # Groups are paired before their members, so that the members of a large one never meet each other.
-    ahead = places.where("head")
-    groups = stored(ahead.groupBy("h", "root").agg(F.max(head).alias("first")), "groups")
-    across = groups.where("first").select("h", F.col("root").alias("ra")).join(groups.select("h", F.col("root").alias("rb")), "h").where("ra <> rb")
-    left = ahead.where(head).select("h", F.col("root").alias("ra"), F.col("kt").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
-    right = ahead.select("h", F.col("root").alias("rb"), F.col("kt").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
-    near = across.join(left, ["h", "ra"]).join(right, ["h", "rb"]).where(F.least("la", "lb") >= part * (F.col("na") + F.col("nb")) - 1e-6)
-    turned = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))
-    pairs = stored(near.select(turned.alias("p")).select("p.*").distinct(), "candidates")
-    shared = places.join(nodes_of(pairs), "kt", "left_semi").groupBy("kt", "n").agg(F.collect_list("h").alias("hashes"))
-
-    def may(common, x, y):
-        beyond = np.ceil(least * np.maximum(x, y) - 1e-6) - 1  # shingles that aren't among the rare ones
-        return common + beyond >= np.ceil(part * (x + y) - 1e-6)
-
-    likely = stored(judged(pairs, stored(shared, "heads"), may), "likely")
-    alike = same_by_sets(likely, keyed, shingle, least)
-    return alike.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    met = places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    places = stored(places.join(stored(met.select("h", "m"), "met"), "h").distinct(), "split-places")
+    must = F.udf(lambda n: shared_by_any(n, least), "int")
+    sizes = stored(places.select("n").distinct().withColumn("must", must("n")), "sizes-of-sets")
+    own = Window.partitionBy("kt")
+    # The least ones by (m, h), an order that all texts share.
+    ranked = places.withColumns({"all": F.count("*").over(own), "at": F.row_number().over(own.orderBy("m", "h"))})
+    chosen = stored(ranked.join(sizes, "n").where("at <= all - must + 1").select("h", "root", "kt"), "chosen-places")
+    again = stored(chosen.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "met-again")
+    suspects = stored(chosen.join(again, "h", "left_semi").select("kt", "root").distinct(), "suspects")
+
+    sets = sets_of(keyed, suspects.select("kt"), shingle)
+    every = sets.join(suspects, "kt").select("kt", "root", "n", F.explode("hashes").alias("h"))
+    known = every.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    places = every.join(stored(known.select("h", "m"), "met-in-sets"), "h")
+    places = places.withColumns({"all": F.count("*").over(own), "at": F.row_number().over(own.orderBy("m", "h"))})
+    size, left = F.col("n"), F.col("all") - F.col("at") + 1
+    places = places.select("h", "kt", "root", "n", left.alias("left"), (left >= _wanted(size, size, least)).alias("front"))
+    places = stored(places.where(F.col("left") >= _wanted(size, F.ceil(least * size - 1e-6), least)), "fronts")
+    same = lambda pairs: judged(pairs, sets, lambda common, x, y: common / np.maximum(x + y - common, 1) >= least)
+    every = None
+    for _ in range(ROUNDS):
+        # One pair of every two groups that meet: their members with the most shared shingles.
+        links = stored(same(_turned(_across(places, least).select(F.col("best_a").alias("x"), F.col("best_b").alias("y"), "ra", "rb"))).select("ra", "rb"), "best-links")
+        every = links if every is None else every.union(links)
+        if links.isEmpty():
+            break
+        merged = components(links.toDF("a", "b")).toDF("root", "new")
+        places = places.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        met = stored(places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "met-still")
+        places = stored(places.join(met, "h", "left_semi"), "fronts-still")
+    across = _across(places, least).select("h", "ra", "rb", "few_b", "left_b")
+    small = places.where("front").select("h", F.col("root").alias("ra"), F.col("kt").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    large = places.select("h", F.col("root").alias("rb"), F.col("kt").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    may = F.least("lx", "left_b") >= _wanted(F.col("nx"), F.greatest("nx", "few_b"), least)
+    fits = (F.col("nx") <= F.col("ny")) & (F.col("nx") >= least * F.col("ny") - 1e-6) & (F.least("lx", "ly") >= _wanted(F.col("nx"), F.col("ny"), least))
+    near = across.join(small, ["h", "ra"]).where(may).join(large, ["h", "rb"]).where(fits)
+    links = same(_turned(near.select("x", "y", "ra", "rb"))).select("ra", "rb")
+    return every.union(links).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def _wanted(x, y, least: float):
+    """Shingles that sets of x and y shingles have in common, at least, if their similarity is ``least`` or more."""
+    return F.ceil(least / (1 + least) * (x + y) - 1e-6)
+
+
+def _across(places: DataFrame, least: float) -> DataFrame:
+    """(h, ra, rb, best_a, best_b, few_b, left_b): groups that meet in a shingle, a with a smaller or equal set at its front, as far as
+    the sizes and what is left of their members may suit, and the member of either with the most left.
+
+    Groups are paired before their members, so that the members of a large one never meet each other.
+    """
+    best = F.max(F.struct("left", "kt"))
+    groups = places.groupBy("h", "root").agg(
+        F.min("n").alias("few"), F.max("n").alias("many"), best.alias("best"), F.max(F.when(F.col("front"), F.col("n"))).alias("many_f"),
+        F.min(F.when(F.col("front"), F.col("n"))).alias("few_f"), F.max(F.when(F.col("front"), F.struct("left", "kt"))).alias("best_f"),
+    )
+    groups = stored(groups, "groups")
+    a = groups.where("few_f is not null").select("h", F.col("root").alias("ra"), F.col("few_f").alias("few_a"), F.col("many_f").alias("many_a"), F.col("best_f.left").alias("left_a"), F.col("best_f.kt").alias("best_a"))
+    b = groups.select("h", F.col("root").alias("rb"), F.col("few").alias("few_b"), F.col("many").alias("many_b"), F.col("best.left").alias("left_b"), F.col("best.kt").alias("best_b"))
+    sizes = (F.col("few_a") <= F.col("many_b")) & (F.col("many_a") >= least * F.col("few_b") - 1e-6)
+    return a.join(b, "h").where("ra <> rb").where(sizes & (F.least("left_a", "left_b") >= _wanted(F.col("few_a"), F.greatest("few_a", "few_b"), least)))
+
+
+def _turned(near: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, ra, rb) with a < b of pairs (x, y, ra, rb)."""
+    one = F.struct(F.col("x").alias("a"), F.col("y").alias("b"), "ra", "rb")
+    other = F.struct(F.col("y").alias("a"), F.col("x").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+    turned = near.select(F.when(F.col("x") < F.col("y"), one).otherwise(other).alias("p"))
+    return stored(turned.select("p.*").distinct(), "candidates")
 
 
 def judged(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     """The pairs (a, b, ra, rb), a < b, that pass ``test`` (hashes in common, n of a and b), with ``sets`` (kt, n, hashes).
 
-    Texts that have pairs with the same smallest text share a label, and so a block as far as their hashes fit in BLOCK;
-    others are dealt by hash. Pairs go to cells of two blocks, and a text once to each cell where it has a pair.
+    Texts that have pairs with the same smallest text share a label, and so a block, as far as their hashes fit in BLOCK and
+    their pairs in PAIRS. Pairs go to cells of two blocks, and a text once to each cell where it has a pair.
     """
     ends = pairs.select(F.col("a").alias("kt"), F.col("a").alias("low")).union(pairs.select("b", "a"))
-    sized = stored(ends.groupBy("kt").agg(F.min("low").alias("label")).join(sets.select("kt", F.size("hashes").alias("size")), "kt"), "labels")
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK))
-    parts = stored(sized.groupBy("label").agg(F.ceil(F.sum("size") / BLOCK).alias("parts")), "parts-of-labels")
+    sized = ends.groupBy("kt").agg(F.min("low").alias("label"), F.count("*").alias("pairs")).join(sets.select("kt", F.size("hashes").alias("size")), "kt")
+    sized = stored(sized, "labels")
+    hashes, met = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    blocks = max(1, -(-hashes // BLOCK), -(-met // (2 * PAIRS)))
+    cuts = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sqrt(F.sum("pairs") / (2 * PAIRS))))
+    parts = stored(sized.groupBy("label").agg(cuts.alias("parts")), "parts-of-labels")
     salt = F.pmod(F.xxhash64("kt"), F.col("parts"))
     block = stored(sized.join(parts, "label").select("kt", F.pmod(F.xxhash64("label", salt), F.lit(blocks)).alias("block")), "blocks")
     celled = pairs.join(block.toDF("a", "ba"), "a").join(block.toDF("b", "bb"), "b")
