@@ -30,6 +30,8 @@ from .common import documents, texts, whole
 
 UNIT = 192
 BLOCK = 64
+#: Bytes of a payload that one picture holds, at most (a multiple of UNIT).
+PART = UNIT << 16
 
 
 def _zigzag() -> np.ndarray:
@@ -464,10 +466,33 @@ def feature(tensor: np.ndarray) -> str:
     return f"{2 * h}x{2 * w}:" + ",".join([f"{m:.2f}" for m in quarters.ravel().tolist()])
 
 
+def measures(text: str, files: bool, tensors: bool) -> list:
+    """MEASURES of a text that is stored and read back, and the file's and the tensor's bytes if asked for."""
+    sent = padded(text)
+    payload, medium, pixels = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+    n_payload, n_medium, tail, features, kept, planes, first = 0, 0, b"", [], [], [], None
+    for at in range(0, len(sent), PART):
+        stored = encode(sent[at : at + PART])
+        picture = read(stored)
+        back, tensor = payload_of(picture), rgb(picture)
+        payload.update(back)
+        medium.update(stored)
+        pixels.update(np.ascontiguousarray(tensor))
+        n_payload, n_medium, tail = n_payload + len(back), n_medium + len(stored), (tail + back[-16:])[-16:]
+        features.append(feature(tensor))
+        first = first or tensor.shape[:2]
+        kept += [stored] * files
+        planes += [tensor.tobytes()] * tensors
+    row = [len(text.encode()), n_payload, payload.hexdigest(), zlib.crc32(tail), n_medium, medium.hexdigest(), ";".join(features), pixels.hexdigest()]
+    return row + [b"".join(kept)] * files + [b"".join(planes), *first] * tensors
+
+
 def media(docs: DataFrame, keep: list[str], files: bool = False, tensors: bool = False) -> DataFrame:
     """``keep`` columns and the stored picture's measures; with the file's bytes and the RGB tensor's bytes if asked for.
 
-    Null and empty texts are one unit of spaces; a text needs no neighbour, so repeated rows have equal values.
+    Null and empty texts are one unit of spaces; a text needs no neighbour, so repeated rows have equal values. A payload of
+    more than PART bytes is several pictures one after another, so that memory is bounded whatever its length; then the
+    file and the tensor are those of all pictures, height and width those of the first.
     """
     more = [("media", pa.binary())] * files + [("tensor", pa.binary()), ("height", pa.int32()), ("width", pa.int32())] * tensors
 
@@ -480,17 +505,9 @@ def media(docs: DataFrame, keep: list[str], files: bool = False, tensors: bool =
                     if text in known:
                         rows.append(known[text])
                         continue
-                    sent = padded(text)
-                    stored = encode(sent)
-                    picture = read(stored)
-                    back, tensor = payload_of(picture), rgb(picture)
-                    row = [
-                        len(text.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]),
-                        len(stored), hashlib.sha256(stored).hexdigest(), feature(tensor),
-                    ]
-                    known[text] = row + [stored] * files + [tensor.tobytes(), *tensor.shape[:2]] * tensors
+                    known[text] = measures(text, files, tensors)
                     rows.append(known[text])
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[t for _, t in more]]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[t for _, t in more]]
                 columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], *arrays], names=[*keep, *MEASURES, *[n for n, _ in more]])
@@ -501,11 +518,11 @@ def media(docs: DataFrame, keep: list[str], files: bool = False, tensors: bool =
     extra = ", media binary" * files + ", tensor binary, height int, width int" * tensors
     return kept.mapInArrow(
         run,
-        fields + ", n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + extra,
+        fields + ", n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tensor_sha256 string" + extra,
     )
 
 
-MEASURES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+MEASURES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor_sha256")
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
