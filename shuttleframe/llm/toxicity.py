@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field (operator 6).
 
-Labels mark whole documents, so tokens get their training tags from them: in documents labelled 1, the tokens whose form
-or prefix is far more frequent in labelled-1 documents than in others are tagged toxic. A two-state CRF over token
-features (form, prefixes, suffix) with transition weights is fitted to these tags by gradient descent on the exact
-log-likelihood (forward-backward). A document's score aggregates the marginals: the expected number of toxic tokens
+Labels mark whole documents, so tokens get their training tags in rounds. First, in documents labelled 1, the tokens whose
+form or prefix is far more frequent in labelled-1 documents than in others are tagged toxic. A two-state CRF over token
+features (form, prefixes, suffix), of which many say little on their own, with transition weights is fitted to these tags by
+gradient descent on the exact log-likelihood (forward-backward). Then its own marginals give the tags of the next round:
+in documents labelled 1, tokens that it holds toxic rather than not, whatever their form's frequency, and at least the one
+that it holds most so; in others none. A document's score aggregates the marginals: the expected number of toxic tokens
 against the document's length goes through a logistic curve that is fitted on the same training rows.
 
 Tokens without a weighted feature share one potential, and a run of them is a power of one 2x2 matrix. The chain is
@@ -30,7 +32,10 @@ SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 20_000_000
 #: A feature is kept if at least so many training documents have it, and its log odds reach the bound.
 LEAST_DOCS = 4
-LEAST_ODDS = 2.0
+LEAST_ODDS = 1.0
+#: Log odds from which a token's best feature makes it toxic in the first round of tags; rounds.
+FIRST_ODDS = 2.0
+ROUNDS = 2
 #: ... and if its log-likelihood ratio against independence does, so that chance features of small samples stay out.
 LEAST_RATIO = 20.0
 TOKEN = regex.compile(r"[^\W\d_]+")
@@ -150,18 +155,25 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     names = sorted(odds)
     index = {f: i for i, f in enumerate(names)}
     # Chains cut to windows around weighted tokens: a tag needs a feature, and between windows no token is toxic.
-    chains = []
-    for words, y in zip(tokens, labels, strict=True):
-        marked = [(i, ids) for i, t in enumerate(words) if (ids := [index[f] for f in features(t) if f in index])]
-        if marked or words:
-            # A token is tagged toxic if its best feature tells a labelled-1 document more often than not by far.
-            tags = [int(bool(y) and max(odds[names[j]] for j in ids) >= LEAST_ODDS) for _, ids in marked]
-            chains.append((len(words), marked, tags))
-    model = _train(chains, names)
+    own = {t: [index[f] for f in features(t) if f in index] for t in same}
+    found = [[(i, own[t]) for i, t in enumerate(words) if own[t]] for words in tokens]
+    tags = [[int(bool(y) and max(odds[names[j]] for j in ids) >= FIRST_ODDS) for _, ids in marked] for marked, y in zip(found, labels, strict=True)]
+    for k in range(ROUNDS):
+        chains = [(len(words), marked, t) for words, marked, t in zip(tokens, found, tags, strict=True) if words]
+        model = _train(chains, names)
+        if k + 1 < ROUNDS:
+            tags = [_again(model, names, len(words), marked) if y and marked else [0] * len(marked) for words, marked, y in zip(tokens, found, labels, strict=True)]
     model.prefixes = frozenset(model.weights)
     return _calibrate(model, tokens, labels)
 
 
+def _again(model: Model, names: list[str], n: int, marked: list[tuple[int, list[int]]]) -> list[int]:
+    """Tags of a labelled-1 document's weighted tokens by the model's marginals: those from a half on, or the largest one."""
+    potentials = np.array([model.bias + sum(model.weights[names[j]] for j in ids) for _, ids in marked])
+    p = marginals(model, n, np.array([i for i, _ in marked], np.int64), potentials)[0]
+    return (p >= min(0.5, p.max())).astype(int).tolist()
+
+
 def _train(chains: list, names: list[str]) -> Model:
     """Gradient ascent on the log-likelihood of the tags, over all chains at once, cut to windows of eight tokens."""
     span, width = 8, 6
