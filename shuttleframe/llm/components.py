@@ -13,7 +13,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris and others, 2014), whose rounds grow with the logarithm of the
     component's size; each round is written to the shared folder. A node with very many neighbours costs a minimum, which
-    is combined before the shuffle, and a join that Spark can split.
+    is combined before the shuffle and written, and a join of two plain exchanges, which Spark can split.
     """
     edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "links")
     before = None
@@ -35,13 +35,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of the node and its neighbours."""
     both = _both(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of these neighbours."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()

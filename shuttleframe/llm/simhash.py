@@ -104,7 +104,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         "fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in grids(radius)])).alias("grid", "cell")
     )
     sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = stored(cells.join(sizes, ["grid", "cell"]), "cells")
+    crowded = stored(cells.join(stored(sizes, "sizes"), ["grid", "cell"]), "cells")
     small = crowded.where(F.col("n") <= CELL)
     left = small.select("grid", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
     right = small.select("grid", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
@@ -121,7 +121,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     )
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_as_long(1 << i))) for i in range(64)])
     points = crowded.where(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(ball).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
+    least = stored(points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z"), "points")
     through = points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b"))
     return near.union(through).distinct()
 
@@ -140,8 +140,9 @@ def near_duplicates(docs: DataFrame, keep: list[str], shingle: int = 3, radius:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_duplicates(documents(spark, sf_dir), ["doc_id"])
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rows = stored(near_duplicates(documents(spark, sf_dir), ["doc_id"]), "groups")
+    # Written first: both sides of the join are plain exchanges, so that Spark can split a group with very many rows.
+    first = stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(first, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
