@@ -113,7 +113,11 @@ def sketches(some: list[str]) -> list[list[np.ndarray]]:
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-    """Estimated share of common phrases, at the highest level where both have ENOUGH; 1 for equal fingerprints."""
+    """Estimated share of common phrases, at the highest level where both have ENOUGH; 1 for equal fingerprints.
+
+    The top level has a phrase for some hundred characters and more, so an edit in the middle of a text changes most of what
+    it has; comparisons begin one level below.
+    """
     for level in range(LEVELS - 2, -1, -1):
         x, y = a[level], b[level]
         if min(len(x), len(y)) >= ENOUGH or level == 0:
