@@ -35,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: On paths of a local or mounted file system: no checksum file beside each file. Hadoop starts a process for every permission
-#: that it sets there, four a file with checksums and one without. Stores with a scheme of their own aren't concerned.
-PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: that it sets there, four a file with checksums and one without. Stores with a scheme of their own aren't concerned. Nobody asks
+#: for the file that marks a table as complete: it is read only once its writer has returned.
+PLAIN_LOCAL_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
