@@ -19,7 +19,6 @@ DEFAULTS = {
     12: (10, 1, 300, "both"), 13: (10, 1, 300, "both"),
 }
 MPH = 1.609344
-WALK, CYCLE = 4.5, 18.0
 EARTH = 6_371_000
 
 
@@ -151,3 +150,60 @@ def doubled_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def orientation(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
     return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px)).cast("int")
+
+
+def between(v: Column, a: Column, b: Column) -> Column:
+    return (F.least(a, b) <= v) & (v <= F.greatest(a, b))
+
+
+def rectangles_meet(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column) -> Column:
+    """Whether rectangles with corners (x1, y1) south-west and (x2, y2) north-east have a point in common."""
+    return (ax2 >= bx1) & (ax1 <= bx2) & (ay2 >= by1) & (ay1 <= by2)
+
+
+def segments_meet(px, py, qx, qy, rx, ry, sx, sy) -> Column:
+    """Whether the segments pq and rs have a point in common; collinear ones if their bounding boxes do."""
+    o1, o2 = orientation(px, py, qx, qy, rx, ry), orientation(px, py, qx, qy, sx, sy)
+    across = (o1 != o2) & (orientation(rx, ry, sx, sy, px, py) != orientation(rx, ry, sx, sy, qx, qy))
+    box = lambda a, b: (F.least(a, b), F.greatest(a, b))
+    (ax1, ax2), (ay1, ay2), (bx1, bx2), (by1, by2) = box(px, qx), box(py, qy), box(rx, sx), box(ry, sy)
+    return across | ((o1 == 0) & (o2 == 0) & rectangles_meet(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2))
+
+
+def leading_zeros(x: Column) -> Column:
+    """Zero bits before the highest one bit of a long; 64 for 0."""
+    return (64 - F.when(x == 0, 0).otherwise(F.length(F.bin(x)))).cast("int")
+
+
+def trailing_zeros(x: Column) -> Column:
+    """Zero bits after the lowest one bit of a long; 64 for 0."""
+    return F.when(x == 0, 64).otherwise(F.bit_count(x.bitwiseAND(-x) - 1)).cast("int")
+
+
+def ones_before(x: Column, index: Column) -> Column:
+    """One bits below the place ``index``."""
+    return F.bit_count(x.bitwiseAND(F.pow(F.lit(2), index).cast("long") - 1))
+
+
+# Names of days, English and German, long and short.
+DAYS = (
+    ("Monday", "Mon", "Montag", "Mo"), ("Tuesday", "Tue", "Dienstag", "Di"), ("Wednesday", "Wed", "Mittwoch", "Mi"), ("Thursday", "Thu", "Donnerstag", "Do"),
+    ("Friday", "Fri", "Freitag", "Fr"), ("Saturday", "Sat", "Samstag", "Sa"), ("Sunday", "Sun", "Sonntag", "So"),
+)
+
+
+def day_of_week(name: Column) -> Column:
+    """1 (Monday) to 7 of a day's name; an error on anything else."""
+    table = F.create_map(*[F.lit(x) for i, names in enumerate(DAYS) for n in names for x in (n, i + 1)])
+    return F.coalesce(table[name], F.raise_error(F.concat(F.lit("no day of the week: "), name)).cast("int"))
+
+
+def time_of_day(text: Column) -> Column:
+    """Seconds of HH:mm or HH:mm:ss within a day; an error on anything else."""
+    m = lambda i: F.regexp_extract(text, r"^([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?$", i).try_cast("int")
+    bad = F.raise_error(F.concat(F.lit("not in format HH:mm:ss: "), text)).cast("int")
+    return F.when(m(1).isNull(), bad).otherwise(m(1) * 3600 + m(2) * 60 + F.coalesce(m(3), F.lit(0)))
+
+
+def seconds_since_monday(day: Column, time: Column) -> Column:
+    return (day_of_week(day) - 1) * 86_400 + time_of_day(time)

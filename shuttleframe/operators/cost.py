@@ -100,11 +100,37 @@ def costed(rows: DataFrame, k: Config) -> DataFrame:
     return rows.withColumn("cost", F.when(c("feasible"), total))
 
 
-def walk_cost(distance: Column, last_edge: Column, direct: Column, k: Config) -> Column:
-    """Cost of walking all the way, split into an origin and a destination side."""
+def walk_sides(distance: Column, last_edge: Column, k: Config) -> tuple[Column, Column]:
+    """A walk's part at the origin and at the destination: what goes beyond both radii is halved, and the last edge is whole."""
     over = F.greatest(distance - (k.pickup_radius + k.dropoff_radius), F.lit(0))
     side = F.greatest(k.dropoff_radius + F.floor(over / 2), last_edge)
-    return k.walk * ((distance - side) + side) + trip_cost(distance, direct, k)
+    return distance - side, side
+
+
+def walk_cost(distance: Column, last_edge: Column, direct: Column, k: Config) -> Column:
+    """Cost of walking all the way, split into an origin and a destination side."""
+    origin, side = walk_sides(distance, last_edge, k)
+    return k.walk * origin + k.walk * side + trip_cost(origin + side, direct, k)
+
+
+def cutoff_by_vehicle(cost: Column, longest_leg: Column, k: Config) -> Column | None:
+    """The least way to or from a place whose cost for the vehicle alone reaches ``cost``, whatever leg it replaces."""
+    return None if not k.veh else F.ceil(cost / k.veh).cast("long") + longest_leg
+
+
+def cutoff_by_vehicle_and_trip(cost: Column, longest_leg: Column, k: Config) -> Column:
+    """... for the vehicle and the passenger, whose trip it is part of."""
+    return F.ceil((cost + k.veh * longest_leg) / (k.veh + k.psg)).cast("long")
+
+
+def bound_after_last_stop(k: Config) -> Column:
+    """What an insertion after the last stop costs at least, of columns to_p, p_walk, p_loc, loc, i, dep, n, t0, direct and
+    ``least``, the least way from a pickup of the request to a dropoff."""
+    there = ((c("i") > 0) | (at("dep", F.lit(0).cast("long")) > c("t0"))) & (c("p_loc") == at("loc", c("i")))
+    leave = F.greatest(at("dep", c("i")), c("t0"))
+    dep_p = F.greatest(leave + F.when(there, 0).otherwise(c("to_p") + k.stop_time), c("t0") + c("p_walk"))
+    wait = F.greatest(dep_p - (c("t0") + k.max_wait), F.lit(0))
+    return k.veh * (c("least") + c("to_p")) + k.walk * c("p_walk") + k.wait * wait + trip_cost(dep_p - c("t0") + c("least"), c("direct"), k)
 
 
 #: Ties: cost, then these in order.

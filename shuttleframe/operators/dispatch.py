@@ -237,6 +237,52 @@ def insertions(
     return C.costed(rows.withColumn("kind", kind).drop("stop_to_d", "at_stop", "__pd").join(route_arrays(stops), "vehicle_id"), k)
 
 
+def relevant_pickups(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, upper: DataFrame, k: C.Config) -> DataFrame:
+    """Pickups on legs with a seat for the party whose cost alone doesn't exceed the request's ``upper``: (request_id, vehicle_id, i,
+    p_id, bound). Legs that a vehicle drives already aren't among them.
+
+    The bound counts the vehicle's detour at the end of its route, walking, waiting too long, the trip with the request's shortest
+    ride, and the others' added trip times: an insertion of this pickup costs no less.
+    """
+    legs = cut(route_legs(edges, stops, vehicles, k))
+    asked = location_ways(requests, edges, "origin", "destination", "direct")
+    asked = asked.select("request_id", c("request_time").alias("t0"), c("num_riders").alias("riders"), "direct")
+    least = pd_distances(edges, pickups.select("request_id", c("location").alias("p")), dropoffs.select("request_id", c("location").alias("d")))
+    rows = pickups.select("request_id", c("location").alias("x"), c("walk").alias("p_walk"), c("pd_id").alias("p_id")).join(asked, "request_id")
+    rows = rows.join(least.groupBy("request_id").agg(F.min("dist").alias("least")), "request_id").join(upper, "request_id")
+    inner = legs.where("next is not null")
+    rows = rows.join(feasible_distances(edges, inner, rows), "x").join(inner.select("vehicle_id", "at", "stop", "occ_at", "dep_at", "n", "capacity"), ["vehicle_id", "at"])
+    rows = rows.where((c("occ_at") + c("riders") <= c("capacity")) & ~((c("at") == 0) & (c("dep_at") < c("t0"))))
+    rows = rows.withColumnRenamed("at", "i").join(route_arrays(stops), "vehicle_id")
+    there = ((c("i") > 0) | (c("dep_at") > c("t0"))) & (c("x") == c("stop"))
+    dep_p = F.greatest(c("dep_at") + F.when(there, zero()).otherwise(c("to_x") + k.stop_time), c("t0") + c("p_walk"))
+    leg = C.at("arr", c("i") + 1) - c("dep_at")
+    rows = rows.withColumn("dep_p", dep_p).withColumn("det", F.greatest(c("dep_p") - c("dep_at") + c("from_x") - leg, zero()))
+    at_end = F.greatest(c("det") - C.wait_upto(c("n") - 2, c("i"), k), zero())
+    trip = C.trip_cost(c("dep_p") - c("t0") + c("least"), c("direct"), k)
+    wait = k.wait * F.greatest(c("dep_p") - (c("t0") + k.max_wait), zero())
+    bound = k.veh * at_end + k.walk * c("p_walk") + trip + wait + k.psg * C.added_trip(c("i"), c("n") - 1, c("det"), k)
+    return rows.withColumn("bound", bound).where("bound <= upper").select("request_id", "vehicle_id", "i", "p_id", "bound")
+
+
+def promising_dropoffs(edges: DataFrame, requests: DataFrame, dropoffs: DataFrame, k: C.Config) -> DataFrame:
+    """Dropoffs whose walk to the destination costs no more than a vehicle's way there would; others never are the best after a
+    route's last stop."""
+    asked = location_ways(requests, edges, "origin", "destination", "direct").select("request_id", "direct", c("destination").alias("centre"))
+    rows = location_ways(dropoffs.join(asked, "request_id"), edges, "location", "centre", "ride")
+    on_foot = C.trip_cost(c("walk"), c("direct"), k) + k.walk * c("walk")
+    return rows.where(on_foot <= k.veh * c("ride") + C.trip_cost(c("ride"), c("direct"), k)).select("request_id", "location", "walk", "pd_id")
+
+
+def closest_to_last_stop(edges: DataFrame, stops: DataFrame, found: DataFrame) -> DataFrame:
+    """(request_id, vehicle_id, dist, pd_id): of a request's locations the one nearest to each route's last stop, ties by number."""
+    n = stops.groupBy("vehicle_id").agg(F.max("stop_idx").alias("stop_idx"))
+    last = stops.join(n, ["vehicle_id", "stop_idx"]).select("vehicle_id", c("location").alias("stop")).join(_ends(edges, "stop"), "stop")
+    ways = last_stop_distances(edges, last, found.select(c("location").alias("x"), F.lit(None).cast("long").alias("most")))
+    rows = found.select("request_id", c("location").alias("x"), "pd_id").join(ways, "x")
+    return rows.groupBy("request_id", "vehicle_id").agg(F.min(F.struct(c("to_x").alias("dist"), "pd_id")).alias("m")).select("request_id", "vehicle_id", "m.dist", "m.pd_id")
+
+
 def walks(edges: DataFrame, foot: DataFrame, requests: DataFrame, k: C.Config) -> DataFrame:
     """(request_id, walk, cost) of going all the way on foot."""
     rows = location_ways(requests, edges, "origin", "destination", "direct").join(_ends(edges, "origin"), "origin").join(_ends(edges, "destination"), "destination")

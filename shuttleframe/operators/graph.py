@@ -6,10 +6,10 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import crossings
+from ..functions.network import crossings, orientation, segments_meet
 from ..storage import cut as _cut
 
 c = F.col
@@ -426,6 +426,33 @@ def in_faces(points: DataFrame, faces: DataFrame, key: str, x: str, y: str) -> D
     return hits.groupBy(key, "face", "orient").agg(n.alias("n")).where("n % 2 = 1").drop("n")
 
 
+def simple_faces(sides: DataFrame) -> DataFrame:
+    """(face, simple): whether a closed polygon (face, k, x1, y1, x2, y2) of three sides or more doesn't meet itself.
+
+    Sides that follow each other may not fold back; others may not meet. Only sides in one band of height are compared.
+    """
+    n = F.count("*").over(Window.partitionBy("face"))
+    low, high = sides.agg(F.least(F.min("y1"), F.min("y2")), F.greatest(F.max("y1"), F.max("y2"))).first()
+    wide = 1 if low is None else max(1, -(-(high - low + 1) // BANDS))
+    band = lambda v: F.floor((v - F.lit(low)) / wide)
+    rows = sides.withColumn("n", n)
+    cut = rows.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    a, b = (cut.select("face", "band", *[c(x).alias(f"{p}_{x}") for x in ("k", "n", "x1", "y1", "x2", "y2")]) for p in "ab")
+    pairs = a.join(b, ["face", "band"]).where("a_k < b_k")
+
+    def folds(p: str, q: str) -> Column:
+        """The end of p is the start of q, and q goes back along p."""
+        v = lambda s: c(s)
+        level = orientation(v(f"{p}_x1"), v(f"{p}_y1"), v(f"{p}_x2"), v(f"{p}_y2"), v(f"{q}_x2"), v(f"{q}_y2")) == 0
+        return level & ((v(f"{p}_x1") - v(f"{p}_x2")) * (v(f"{q}_x2") - v(f"{q}_x1")) + (v(f"{p}_y1") - v(f"{p}_y2")) * (v(f"{q}_y2") - v(f"{q}_y1")) > 0)
+
+    meet = segments_meet(*[c(f"{p}_{x}") for p in "ab" for x in ("x1", "y1", "x2", "y2")])
+    bad = F.when(c("b_k") == c("a_k") + 1, folds("a", "b")).when((c("a_k") == 0) & (c("b_k") == c("a_n") - 1), folds("b", "a")).otherwise(meet)
+    crossed = pairs.where(bad).select("face").distinct().withColumn("crossed", F.lit(True))
+    faces = rows.groupBy("face").agg(F.max("n").alias("n"))
+    return faces.join(crossed, "face", "left").select("face", ((c("n") >= 3) & c("crossed").isNull()).alias("simple"))
+
+
 def in_area(points: DataFrame, faces: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Keys of the points whose last containing face runs counterclockwise."""
     last = in_faces(points, faces, key, x, y).groupBy(key).agg(F.max_by("orient", "face").alias("o"))

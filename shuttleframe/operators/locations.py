@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import open_to_cars
+from ..functions.network import CATEGORIES, open_to_cars
 from .graph import distances, reverse
 
 c = F.col
@@ -56,3 +56,26 @@ def with_centre(found: DataFrame, centres: DataFrame) -> DataFrame:
 def at_stops(found: DataFrame, stops: DataFrame) -> DataFrame:
     """(request_id, location, vehicle_id, stop_idx): locations where a vehicle's route stops."""
     return found.select("request_id", "location").join(stops.select("location", "vehicle_id", "stop_idx"), "location").select("request_id", "location", "vehicle_id", "stop_idx")
+
+
+def dropoffs_at_stops(found: DataFrame, stops: DataFrame) -> DataFrame:
+    """``at_stops`` for dropoffs: a route's last stop counts, too, unless it is its only one."""
+    n = stops.groupBy("vehicle_id").agg(F.count("*").alias("n"))
+    rows = at_stops(found, stops).join(n, "vehicle_id")
+    return rows.where("n > 1").select("request_id", "location", "vehicle_id", "stop_idx")
+
+
+def centre_distances(edges: DataFrame, found: DataFrame, centres: DataFrame) -> DataFrame:
+    """``found`` (request_id, location, pd_id, ...) with to_centre and from_centre: a vehicle's ways between each location and the
+    request's own (request_id, centre)."""
+    from .dispatch import location_ways
+
+    rows = location_ways(found.join(centres, "request_id"), edges, "location", "centre", "to_centre")
+    return location_ways(rows, edges, "centre", "location", "from_centre").drop("centre")
+
+
+def road_categories(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, a column for each road category, total) of locations (kind, location)."""
+    known = rows.join(edges.select(c("edge_id").alias("location"), "category"), "location")
+    each = [F.count(F.when(c("category") == i, 1)).alias(n) for i, n in enumerate(CATEGORIES)]
+    return known.groupBy("kind").agg(*each, F.count("*").alias("total"))

@@ -63,3 +63,24 @@ def until_total(rows: DataFrame, order: list[str], length: str, total: int) -> D
 def share(rows: DataFrame, key: str, percent: int) -> DataFrame:
     """About ``percent`` of a hundred rows, the same ones each time."""
     return rows.where(F.pmod(c(key) * 7919, F.lit(100)) < percent)
+
+
+def geometric(u: Column, mean: int) -> Column:
+    """A number from 0 on, geometrically distributed with that mean, of a number u in (0, 1)."""
+    return F.floor(F.log(1 - u) / F.log(F.lit(1 - 1 / (mean + 1)))).cast("long")
+
+
+def at_wanted_rank(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` (source, want, ...) with the vertex that a search settles as number ``want``, and its distance; sources whose
+    search ends before go."""
+    ranked = dijkstra_rank(found).select("source", c("rank").cast("long").alias("want"), "vertex_id", "dist")
+    return sources.join(ranked, ["source", "want"])
+
+
+def random_incident(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, vertex_id, edge_id): of the edges into a vertex the one whose place by id is ``u`` modulo their number."""
+    into = Window.partitionBy("head")
+    placed = edges.select(c("head").alias("vertex_id"), "edge_id", (F.row_number().over(into.orderBy("edge_id")) - 1).alias("k"), F.count("*").over(into).alias("m"))
+    sizes = edges.groupBy(c("head").alias("vertex_id")).agg(F.count("*").alias("m"))
+    wanted = asked.join(sizes, "vertex_id").withColumn("k", F.pmod(c("u"), c("m"))).drop("m")
+    return wanted.join(placed.drop("m"), ["vertex_id", "k"]).select("id", "vertex_id", "edge_id")

@@ -134,11 +134,6 @@ def a10(spark, d) -> DataFrame:
     return a.join(b, "request_id").where(~c("wait_time").eqNullSafe(c("other"))).agg(F.min("request_id").alias("first"))
 
 
-@query("u20_category_counts", E_SQL + "SELECT category, count(*) AS edges FROM edge GROUP BY category")
-def u20(spark, d) -> DataFrame:
-    return X.edges(spark, d).groupBy("category").agg(F.count("*").alias("edges"))
-
-
 @query("c13_max_trip_time", X.ctes("n", "request", more=QUAL) + "SELECT request_id, CAST(floor(1.7::DOUBLE*direct) AS BIGINT)+1200 AS max_trip, trip_time+10*greatest(trip_time-(CAST(floor(1.7::DOUBLE*direct) AS BIGINT)+1200),0) AS trip_cost FROM quality")
 def c13(spark, d) -> DataFrame:
     k = C.Config()
@@ -225,20 +220,6 @@ def j11(spark, d) -> DataFrame:
     return C.best(C.costed(rows, C.Config())).select("request_id", "cost", "i", "j", "dep_p", "arr_d")
 
 
-@query("c23_walk_cost", X.ctes("n", "request", more=QUAL) + "SELECT request_id, trip_time+10*greatest(trip_time-(CAST(floor(1.7::DOUBLE*direct) AS BIGINT)+1200),0) AS cost FROM quality")
-def c23(spark, d) -> DataFrame:
-    return quality(spark, d).select("request_id", C.walk_cost(c("trip_time"), F.lit(50), c("direct"), C.Config()).alias("cost"))
-
-
-@query("j08_elliptic_join", R[:-1] + f""", l AS (SELECT vehicle_id, stop_idx, location, greatest(lead(max_arr) OVER {BY}, lead(dep) OVER {BY})-dep-{T} AS leeway FROM route_stop) SELECT vehicle_id, stop_idx, c_custkey AS pd FROM l JOIN customer ON c_custkey=location%1000 WHERE leeway>=(location*31)%1500+(location*17)%1500""")
-def j08(spark, d) -> DataFrame:
-    """Stops whose leeway allows the way to a place and on; the ways come from a formula here."""
-    l_ = S.leeways(X.route_stops(spark, d), T)
-    p = X.table(spark, d, "customer").select(X.L("c_custkey").alias("pd"))
-    ways = c("location") * 31 % 1500 + c("location") * 17 % 1500
-    return l_.join(p, c("pd") == c("location") % 1000).where(c("leeway") >= ways).select("vehicle_id", "stop_idx", "pd")
-
-
 @query("u13_simulation")
 def u13(spark, d) -> DataFrame:
     """Replay of a request of every customer against the fleet: one row an arrival at a destination."""

@@ -180,11 +180,6 @@ def e23(spark, d) -> DataFrame:
     return X.requests(spark, d).select("request_id", N.seconds_of(clock).alias("s"), N.hours_minutes(s).alias("hhmm"), N.minutes_seconds(s % 3600).alias("mmss"))
 
 
-@query("e24_bits", E_SQL + "SELECT edge_id, CAST(bit_count(edge_id) AS INT) AS ones FROM edge")
-def e24(spark, d) -> DataFrame:
-    return X.edges(spark, d).select("edge_id", F.bit_count("edge_id").alias("ones"))
-
-
 @query(
     "e26_requests_to_coordinates",
     X.ctes("vertex", "edge", "request") + "SELECT request_id, request_time+36000 AS request_time, v.lat, v.lng FROM request JOIN edge ON edge_id=origin JOIN vertex v ON v.vertex_id=head",
