@@ -220,17 +220,51 @@ def j11(spark, d) -> DataFrame:
     return C.best(C.costed(rows, C.Config())).select("request_id", "cost", "i", "j", "dep_p", "arr_d")
 
 
-@query("u13_simulation")
-def u13(spark, d) -> DataFrame:
-    """Replay of a request of every customer against the fleet: one row an arrival at a destination."""
-    from .simulation import simulate
-
-    n, k = X.vertices(spark, d).count(), X.L("c_custkey")
+def replayed(spark, d, log: str) -> DataFrame:
+    """A log of the replay of a request of every customer against the fleet, with places to get on and off in walking distance."""
+    from ..operators import dispatch as D
+    from ..operators import locations as P
+    from .location_queries import RADIUS
+    from .simulation import simulate, with_places
+
+    n, k, e = X.vertices(spark, d).count(), X.L("c_custkey"), X.edges(spark, d)
     asked = X.table(spark, d, "customer").select(
-        k.alias("request_id"), (k * 53 % (4 * n)).alias("origin"), ((k * 131 + 17) % (4 * n)).alias("destination"),
+        k.alias("request_id"), X._off_five(k * 53 % (4 * n - 1)).alias("origin"), X._off_five((k * 131 + 17) % (4 * n - 1)).alias("destination"),
         (k * 60).alias("request_time"), (1 + k % 2).alias("num_riders"),
     )
-    return simulate(X.edges(spark, d), X.vehicles(spark, d), asked)
+    foot = e.where("psg_edge_id IS NOT NULL")
+    p = P.with_centre(P.pickups(asked, e, foot, RADIUS), asked.select("request_id", c("origin").alias("centre")))
+    o = P.with_centre(P.dropoffs(asked, e, foot, RADIUS), asked.select("request_id", c("destination").alias("centre")))
+    return simulate(e, X.vehicles(spark, d), with_places(asked, p, o, D.walks(e, foot, asked, C.Config())), log=log)
+
+
+@query("u13_simulation")
+def u13(spark, d) -> DataFrame:
+    """One row an arrival at a destination."""
+    return replayed(spark, d, "quality")
+
+
+@query("u17_replayed_legs")
+def u17_replayed(spark, d) -> DataFrame:
+    return replayed(spark, d, "legs")
+
+
+@query("u18_replayed_assignments")
+def u18_replayed(spark, d) -> DataFrame:
+    """The full log of best assignments."""
+    return replayed(spark, d, "chosen")
+
+
+@query("u12_replayed_stops")
+def u12_replayed(spark, d) -> DataFrame:
+    """Stops as they were made, with who got on and off."""
+    return replayed(spark, d, "stops")
+
+
+@query("a09_replayed_events")
+def a09_replayed(spark, d) -> DataFrame:
+    """Events of vehicles and requests, counted by kind."""
+    return replayed(spark, d, "events").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("w04_streaming_bins", X.ctes("n", "request") + "SELECT request_time//3000 AS bin, count(*) AS n FROM request GROUP BY 1")
