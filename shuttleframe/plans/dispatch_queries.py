@@ -273,3 +273,23 @@ def w04(spark, d) -> DataFrame:
 
     return request_bins(spark, d)
 
+
+
+@query("w02_vehicle_timers", X.ctes("route_stop") + "SELECT vehicle_id, arr*100 AS time_ms, 'arrival' AS kind FROM route_stop UNION ALL SELECT vehicle_id, dep*100, 'departure' FROM route_stop")
+def w02(spark, d) -> DataFrame:
+    """Arrivals and departures, told by timers as the clock of a stream reaches them."""
+    from ..streaming.clock import replayed_stops
+
+    return replayed_stops(spark, d)
+
+
+@query(
+    "w03_late_requests",
+    X.ctes("n", "request", more="t AS (SELECT request_id, request_time*100 AS ms, request_time*100*3//(m+1) AS own FROM request CROSS JOIN (SELECT max(request_time)*100 AS m FROM request)), b AS (SELECT *, least(own+CASE WHEN request_id%10=3 THEN 1 ELSE 0 END, 2) AS batch FROM t), newest AS (SELECT batch, max(ms) AS newest FROM b GROUP BY 1)")
+    + "SELECT request_id, coalesce(ms < (SELECT max(newest) FROM newest x WHERE x.batch<b.batch)-60000, false) AS late FROM b",
+)
+def w03(spark, d) -> DataFrame:
+    """Requests that come a batch too late are told apart from those in time, and none is lost."""
+    from ..streaming.clock import late_requests
+
+    return late_requests(spark, d)
