@@ -284,23 +284,35 @@ def closest_to_last_stop(edges: DataFrame, stops: DataFrame, found: DataFrame) -
 
 
 def walks(edges: DataFrame, foot: DataFrame, requests: DataFrame, k: C.Config) -> DataFrame:
-    """(request_id, walk, cost) of going all the way on foot."""
+    """(request_id, walk, direct, cost) of going all the way on foot; no walk and no cost where there is no way."""
     rows = location_ways(requests, edges, "origin", "destination", "direct").join(_ends(edges, "origin"), "origin").join(_ends(edges, "destination"), "destination")
     found = pair_distances(foot, rows.select(c("origin_head").alias("source"), c("destination_tail").alias("target"))).toDF("origin_head", "destination_tail", "on_foot")
-    rows = rows.join(found, ["destination_tail", "origin_head"]).withColumn("walk", c("on_foot") + c("destination_tt"))
-    return rows.select("request_id", "walk", C.walk_cost(c("walk"), c("destination_tt"), c("direct"), k).alias("cost"))
+    rows = rows.join(found, ["destination_tail", "origin_head"], "left").withColumn("walk", c("on_foot") + c("destination_tt"))
+    return rows.select("request_id", "walk", "direct", C.walk_cost(c("walk"), c("destination_tt"), c("direct"), k).alias("cost"))
 
 
 def assignments(requests: DataFrame, costed: DataFrame, on_foot: DataFrame, k: C.Config) -> DataFrame:
     """The log of best assignments: one row a request, -1 where there is no vehicle; a vehicle goes before walking on a tie."""
-    m = F.min(F.struct("cost", *C.TIES, "arr_d", "n", "direct", "t0"))
-    best = costed.where(c("cost").isNotNull()).groupBy("request_id").agg(m.alias("m"))
-    rows = requests.select("request_id", "request_time").join(best, "request_id", "left").join(on_foot.select("request_id", c("cost").alias("foot"), "walk"), "request_id", "left")
+    leaves = lambda x: F.when(c("n") == 1, F.greatest(C.at("dep", c(x)), c("t0"))).otherwise(C.at("dep", c(x)))
+    rows = costed.where(c("cost").isNotNull()).withColumns({"leave": leaves("i"), "leave_d": leaves("j")})
+    best = rows.groupBy("request_id").agg(F.min(F.struct("cost", *C.TIES, "arr_d", "n", "leave", "leave_d")).alias("m"))
+    direct = on_foot.select("request_id", c("cost").alias("foot"), "walk", "direct")
+    rows = requests.select("request_id", "request_time").join(best, "request_id", "left").join(direct, "request_id", "left")
     by_foot = c("foot").isNotNull() & (c("m").isNull() | (c("foot") < c("m.cost")))
     ride = lambda x: F.when(c("m").isNull() | by_foot, -1).otherwise(c(f"m.{x}")).cast("long")
-    trip = F.when(by_foot, c("walk")).otherwise(c("m.arr_d") - c("m.t0") + c("m.d_walk"))
+    trip = F.when(by_foot, c("walk")).otherwise(c("m.arr_d") - c("request_time") + c("m.d_walk"))
+    logged = {x: x for x in ("vehicle_id", "i", "j", "to_p", "from_p", "to_d", "from_d", "p_id", "p_walk", "d_id", "d_walk")} | {"n_stops": "n", "dep_before_pickup": "leave", "dep_before_dropoff": "leave_d"}
     return rows.select(
-        "request_id", "request_time", *[ride(x).alias(x) for x in ("vehicle_id", "i", "j", "to_p", "from_p", "to_d", "from_d", "p_id", "p_walk", "d_id", "d_walk", "n")],
-        by_foot.alias("not_using_vehicle"), F.when(c("m").isNull() & c("foot").isNull(), -1).otherwise(C.accepted(trip, c("m.direct"), k).cast("int")).alias("accepted"),
+        "request_id", "request_time", "direct", *[ride(x).alias(to) for to, x in logged.items()],
+        by_foot.alias("not_using_vehicle"), F.when(c("m").isNull() & c("foot").isNull(), -1).otherwise(C.accepted(trip, c("direct"), k).cast("int")).alias("accepted"),
         F.when(by_foot, c("foot")).otherwise(c("m.cost")).alias("cost"),
     )
+
+
+def located(paths: DataFrame, legs: DataFrame, times: DataFrame, wide: int = 600) -> DataFrame:
+    """(request_id, vehicle_id, at_head, location): where vehicles on their way are (vehicle_id, dep, arr_next; and their paths) at
+    points in time (request_id, request_time). Legs and times meet by stretches of time: an equi-join."""
+    spread = legs.withColumn("slot", F.explode(F.sequence(F.floor(c("dep") / wide), F.floor(c("arr_next") / wide))))
+    met = times.withColumn("slot", F.floor(c("request_time") / wide)).join(spread, "slot").where(c("request_time").between(c("dep"), c("arr_next")))
+    rows = met.join(paths, "vehicle_id").withColumn("m", current_location(c("path"), c("request_time")))
+    return rows.select("request_id", "vehicle_id", "m.at_head", c("m.edge_id").alias("location"))

@@ -67,3 +67,12 @@ def leg_rows(stops: DataFrame) -> DataFrame:
     return rows.select(
         "vehicle_id", (c("dep") - c("arr")).alias("stop_time"), c("dep").alias("dep_time"), "arr_time", (c("arr_time") - c("dep")).alias("drive_time"), "occupancy"
     )
+
+
+def vehicle_times(legs: DataFrame, n_vehicles: int) -> DataFrame:
+    """Seconds a vehicle of the fleet: stopping, driving empty, driving occupied, in operation."""
+    drive, per = c("drive_time"), lambda x: F.sum(x) / 10.0 / n_vehicles
+    return legs.agg(
+        per(c("stop_time")).alias("stop_s"), per(F.when(c("occupancy") == 0, drive).otherwise(0)).alias("empty_s"),
+        per(F.when(c("occupancy") > 0, drive).otherwise(0)).alias("occupied_s"), per(c("stop_time") + drive).alias("operation_s"),
+    )

@@ -111,7 +111,7 @@ def a05(spark, d) -> DataFrame:
     return quality(spark, d).agg(F.avg(F.when(c("rejected"), 0.0).otherwise(1.0)).alias("rate"))
 
 
-@query("a06_fleet_size", "SELECT count(*) FILTER (event_type='click') AS n FROM events")
+@query("a06_counted_events", "SELECT count(*) FILTER (event_type='click') AS n FROM events")
 def a06(spark, d) -> DataFrame:
     return X.table(spark, d, "events").agg(F.count(F.when(c("event_type") == "click", 1)).alias("n"))
 
@@ -180,46 +180,6 @@ def j23(spark, d) -> DataFrame:
     return found.join(here, ["level", "origin"], "left").select("request_id", m.alias("m")).where("m is not null").select("request_id", c("m.v").alias("vehicle_id"), c("m.d").alias("dist"))
 
 
-PAIRED = f"""st AS (SELECT *, lead(arr) OVER {BY} AS nxt, max(stop_idx) OVER (PARTITION BY vehicle_id) AS last FROM route_stop),
-cand AS (SELECT request_id, request_time%2000 AS t0, num_riders, s.* FROM request JOIN (SELECT o_custkey, min(o_orderkey) AS vehicle_id FROM orders GROUP BY o_custkey) k ON k.o_custkey=request_id JOIN st s USING (vehicle_id) WHERE s.stop_idx<s.last)"""
-
-
-def synthetic_candidates(spark, d, same: bool = True) -> DataFrame:
-    """Every request against all legs of one vehicle, with distances that a formula gives."""
-    k = X.table(spark, d, "orders").groupBy(X.L("o_custkey").alias("request_id")).agg(F.min(X.L("o_orderkey")).alias("vehicle_id"))
-    r = X.requests(spark, d).join(k, "request_id").join(routes(X.route_stops(spark, d)), "vehicle_id").where("n > 1")
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("n") - 2)))
-    r = r.withColumn("j", c("i") if same else F.explode(F.sequence(c("i"), c("n") - 1)))
-    way = lambda m: ((c("request_id") * m + c("i") * 13 + c("j") * 7) % 6 * 10 + 10)
-    return r.withColumns({
-        "t0": c("request_time") % 2000, "riders": c("num_riders"), "capacity": F.lit(4).cast("long"), "end_service": F.lit(1_080_000).cast("long"),
-        "p_loc": c("origin"), "d_loc": c("destination"), "p_walk": F.lit(0).cast("long"), "d_walk": F.lit(0).cast("long"), "p_id": F.lit(0), "d_id": F.lit(0),
-        "to_p": way(3), "from_p": F.when(c("i") == c("j"), 0).otherwise(way(5)), "to_d": way(11), "from_d": F.when(c("j") < c("n") - 1, way(17)).otherwise(0), "direct": way(19),
-    })
-
-
-@query(
-    "j12_best_paired_insertion",
-    X.ctes("request", "route_stop", more=PAIRED)
-    + f""", w AS (SELECT *, (request_id*3+stop_idx*20)%6*10+10 AS to_p, (request_id*11+stop_idx*20)%6*10+10 AS to_d, (request_id*17+stop_idx*20)%6*10+10 AS from_d, (request_id*19+stop_idx*20)%6*10+10 AS direct FROM cand),
-x AS (SELECT *, greatest(dep+to_p+{T}, t0) AS dep_p FROM w),
-y AS (SELECT *, greatest(dep_p-dep+to_d+{T}+from_d-(nxt-dep),0) AS det_d, dep_p+to_d-t0 AS trip, CAST(floor(1.7::DOUBLE*direct) AS BIGINT)+1200 AS cap_t FROM x),
-z AS (SELECT y.*, (SELECT CAST(coalesce(sum(b.n_dropoffs*greatest(y.det_d-coalesce((SELECT sum(w2.wait) FROM route_stop w2 WHERE w2.vehicle_id=y.vehicle_id AND w2.stop_idx>y.stop_idx AND w2.stop_idx<b.stop_idx),0),0)),0) AS BIGINT) FROM route_stop b WHERE b.vehicle_id=y.vehicle_id AND b.stop_idx>y.stop_idx) AS others,
- (SELECT CAST(coalesce(sum(b.wait),0) AS BIGINT) FROM route_stop b WHERE b.vehicle_id=y.vehicle_id AND b.stop_idx>y.stop_idx AND b.stop_idx<=y.last-1) AS waits, (SELECT max(b.max_arr) FROM route_stop b WHERE b.vehicle_id=y.vehicle_id AND b.stop_idx=y.stop_idx+1) AS bound,
- (SELECT max(b.dep) FROM route_stop b WHERE b.vehicle_id=y.vehicle_id AND b.stop_idx=y.last) AS end_dep FROM y)
-SELECT request_id, (m).cost AS cost, (m).i AS i FROM (SELECT request_id, min({{'cost': greatest(det_d-waits,0)+trip+10*greatest(trip-cap_t,0)+greatest(dep_p-(t0+3000),0)+others, 'i': stop_idx}}) AS m FROM z
- WHERE occupancy+num_riders<=4 AND NOT (det_d<>0 AND nxt+det_d>bound) AND greatest(end_dep,t0)+greatest(det_d-waits,0)<=1080000 GROUP BY request_id)""",
-)
-def j12(spark, d) -> DataFrame:
-    return C.best(C.costed(synthetic_candidates(spark, d), C.Config())).select("request_id", "cost", "i")
-
-
-@query("j11_best_ordinary_insertion")
-def j11(spark, d) -> DataFrame:
-    rows = synthetic_candidates(spark, d, same=False).where("j > i")
-    return C.best(C.costed(rows, C.Config())).select("request_id", "cost", "i", "j", "dep_p", "arr_d")
-
-
 def replayed(spark, d, log: str) -> DataFrame:
     """A log of the replay of a request of every customer against the fleet, with places to get on and off in walking distance."""
     from ..operators import dispatch as D
@@ -293,3 +253,32 @@ def w03(spark, d) -> DataFrame:
     from ..streaming.clock import late_requests
 
     return late_requests(spark, d)
+
+
+FULL = QUAL.replace("(request_id*7)%5=0 AS rejected", "(request_id*7)%5=0 AS rejected, (request_id*11)%700 AS walk_on, (request_id*17)%400 AS walk_off, (request_id*53)%20000 AS cost")
+MEANS = {"wait": "wait_time", "ride": "ride_time", "trip": "trip_time", "walk_on": "walk_on", "walk_off": "walk_off"}
+
+
+@query("a01_quality_in_full", X.ctes("n", "request", more=FULL) + "SELECT " + ", ".join(f"round(avg({x})/10, 9) AS {n}_s, quantile_cont({x}, 0.95)/10 AS {n}_q95" for n, x in MEANS.items()) + ", round(avg(cost), 9) AS cost, avg(CASE WHEN rejected THEN 0.0 ELSE 1.0 END) AS service_rate FROM quality")
+def a01_full(spark, d) -> DataFrame:
+    """Means and 95 % quantiles of waiting, riding, whole trips and both walks, mean cost, and the share of requests that were served."""
+    k = c("request_id")
+    rows = quality(spark, d).withColumns({"walk_on": k * 11 % 700, "walk_off": k * 17 % 400, "cost": k * 53 % 20000})
+    parts = [f(x).alias(f"{n}_{s}") for n, x in MEANS.items() for s, f in (("s", lambda x: F.round(F.avg(x) / 10, 9)), ("q95", lambda x: F.percentile(x, F.lit(0.95)) / 10))]
+    return rows.agg(*parts, F.round(F.avg("cost"), 9).alias("cost"), F.avg(F.when(c("rejected"), 0.0).otherwise(1.0)).alias("service_rate"))
+
+
+@query(
+    "a03_vehicle_times_in_full",
+    X.ctes("route_stop", "vehicle", more=LEG) + "SELECT sum(stop_time)/10.0/v AS stop_s, sum(CASE WHEN occupancy-1=0 THEN drive_time ELSE 0 END)/10.0/v AS empty_s, sum(CASE WHEN occupancy-1>0 THEN drive_time ELSE 0 END)/10.0/v AS occupied_s, sum(stop_time+drive_time)/10.0/v AS operation_s FROM leg, (SELECT count(*) AS v FROM vehicle) GROUP BY v",
+)
+def a03_full(spark, d) -> DataFrame:
+    """Seconds that a vehicle of the fleet stops, drives empty and occupied, and both together; occupancies count from 0 here."""
+    legs = u17(spark, d).withColumn("occupancy", c("occupancy") - 1)
+    return S.vehicle_times(legs, X.vehicles(spark, d).count())
+
+
+@query("a06_fleet_size", X.ctes("vehicle") + "SELECT count(*) AS n FROM vehicle")
+def a06_fleet(spark, d) -> DataFrame:
+    """Vehicles of a run by its log of events: those that started up."""
+    return a09_replayed(spark, d).where("type = 'VehicleStartup'").select("n")

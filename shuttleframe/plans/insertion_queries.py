@@ -1,6 +1,6 @@
 """Queries over the insertions of requests into a fleet's routes by distances of the network, with their SQL.
 
-The fleet is a row for each nation, whose routes of one to four stops keep the network's distances; a request a supplier.
+The fleet is three vehicles for each supplier, whose routes of one to four stops keep the network's distances; a request a supplier.
 The SQL enumerates every insertion without pruning.
 """
 
@@ -40,8 +40,9 @@ def requests(spark, d) -> DataFrame:
 
 
 def fleet(spark, d) -> DataFrame:
-    v = X.L("n_nationkey")
-    return X.table(spark, d, "nation").select(v.alias("vehicle_id"), (2 + v % 4).alias("capacity"), F.lit(1_080_000).cast("long").alias("end_of_service_time"))
+    v = c("vehicle_id")
+    rows = X.table(spark, d, "supplier").select(F.explode(F.sequence(3 * X.L("s_suppkey"), 3 * X.L("s_suppkey") + 2)).alias("vehicle_id"))
+    return rows.select("vehicle_id", (2 + v % 4).alias("capacity"), F.lit(1_080_000).cast("long").alias("end_of_service_time"))
 
 
 def stops(spark, d) -> DataFrame:
@@ -80,7 +81,7 @@ PLACES = f"""{PICKUP}, {ON_FOOT}{CENTRED},
  own_d AS (SELECT request_id, location, min(walk) AS walk FROM (SELECT * FROM dropoff UNION ALL SELECT request_id, destination, 0 FROM request) GROUP BY 1, 2),
  pk AS (SELECT *, {NUMBER.format("origin")} AS id FROM (SELECT own.*, origin, row_number() OVER (PARTITION BY request_id ORDER BY location)-1 AS r FROM own JOIN request USING (request_id))),
  dp AS (SELECT *, {NUMBER.format("destination")} AS id FROM (SELECT own_d.*, destination, row_number() OVER (PARTITION BY request_id ORDER BY location)-1 AS r FROM own_d JOIN request USING (request_id)))"""
-ROUTES = f"""rs0 AS (SELECT CAST(n_nationkey AS BIGINT) AS vehicle_id, CAST(k AS BIGINT) AS stop_idx, (n_nationkey*37+k*211+1)%(4*n) AS location FROM (SELECT n_nationkey, unnest(range(n_nationkey%4+1)) AS k FROM nation) CROSS JOIN n),
+ROUTES = f"""rs0 AS (SELECT CAST(vid AS BIGINT) AS vehicle_id, CAST(k AS BIGINT) AS stop_idx, (vid*37+k*211+1)%(4*n) AS location FROM (SELECT vid, unnest(range(vid%4+1)) AS k FROM (SELECT 3*s_suppkey+z AS vid FROM supplier CROSS JOIN (SELECT unnest([0,1,2]) AS z))) CROSS JOIN n),
  places AS (SELECT location FROM rs0 UNION SELECT location FROM pk UNION SELECT location FROM dp UNION SELECT destination FROM request),
  rt(t, v, d) USING KEY (t, v) AS (SELECT tail, tail, CAST(0 AS BIGINT) FROM places JOIN edge ON edge_id=location GROUP BY tail UNION SELECT q.t, q.tail, min(q.d) FROM (SELECT rt.t, tail, rt.d+travel_time AS d FROM rt JOIN edge ON head=rt.v) q LEFT JOIN recurring.rt o ON o.t=q.t AND o.v=q.tail WHERE o.d IS NULL OR q.d<o.d GROUP BY q.t, q.tail),
  rs1 AS (SELECT r.*, CASE WHEN stop_idx>0 THEN stop_idx*vehicle_id%3*100 ELSE 0 END AS wait, CASE WHEN b IS NULL OR b=location THEN 0 ELSE (SELECT rt.d FROM rt, edge x, edge y WHERE x.edge_id=b AND y.edge_id=location AND rt.t=y.tail AND rt.v=x.head)+(SELECT travel_time FROM edge WHERE edge_id=location) END AS leg FROM (SELECT *, lag(location) OVER (PARTITION BY vehicle_id ORDER BY stop_idx) AS b FROM rs0) r),
@@ -154,12 +155,16 @@ def a23(spark, d) -> DataFrame:
     return candidates(spark, d).where("cost IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"), *[total(x) for x in ("vehicle", "trip", "wait", "others")])
 
 
-@query("g28_current_location", ALL + "SELECT request_id, vehicle_id, m.tm AS at_head, m.e AS location FROM here")
+@query(
+    "g28_current_location",
+    ALL + """SELECT request_id, vehicle_id, m.tm AS at_head, m.e AS location FROM here JOIN request USING (request_id) JOIN (SELECT vehicle_id, dep, narr FROM st WHERE stop_idx=0 AND nl IS NOT NULL) USING (vehicle_id) WHERE dep<=request_time AND request_time<=narr""",
+)
 def g28(spark, d) -> DataFrame:
-    """Where every vehicle with a next stop is, as of every request's time."""
-    path = D.first_legs(X.edges(spark, d), stops(spark, d))
-    rows = requests(spark, d).crossJoin(F.broadcast(path)).withColumn("m", D.current_location(c("path"), c("request_time")))
-    return rows.select("request_id", "vehicle_id", "m.at_head", c("m.edge_id").alias("location"))
+    """Where every vehicle that is on its way to the next stop is, as of every request's time."""
+    s = stops(spark, d)
+    legs = s.withColumn("arr_next", F.lead("arr").over(S.by())).where("stop_idx = 0 and arr_next is not null").select("vehicle_id", "dep", "arr_next")
+    found = D.located(D.first_legs(X.edges(spark, d), s), legs, requests(spark, d).select("request_id", "request_time"))
+    return found.select("request_id", "vehicle_id", "at_head", "location")
 
 
 @query("j06_direct_distances", ALL + "SELECT request_id, p.id AS p_id, q.id AS d_id, CASE WHEN p.location=q.location THEN 0 ELSE rt.d+q.tt END AS dist, min(CASE WHEN p.location=q.location THEN 0 ELSE rt.d+q.tt END) OVER (PARTITION BY request_id, p.id) AS least FROM pe p JOIN de q USING (request_id) JOIN rt ON rt.t=q.tail AND rt.v=p.head")
@@ -182,16 +187,27 @@ FOOT_WAYS = """ft(t, v, d) USING KEY (t, v) AS (SELECT tail, tail, CAST(0 AS BIG
 
 @query("j25_walk_only", X.ctes("edge", recursive=True, more=f"{REQUEST}, {PLACES}, {ROUTES}, {FOOT_WAYS}") + "SELECT request_id, walk, walk+10*greatest(walk-most,0) AS cost FROM walks")
 def j25(spark, d) -> DataFrame:
+    return on_foot(spark, d).where("walk is not null").select("request_id", "walk", "cost")
+
+
+def on_foot(spark, d) -> DataFrame:
     e = X.edges(spark, d)
     return D.walks(e, e.where("psg_edge_id IS NOT NULL"), requests(spark, d), K)
 
 
+#: Columns of the log of best assignments, and what the SQL calls them.
+LOGGED = {"to_p": "to_p", "from_p": "from_p", "to_d": "to_d", "from_d": "from_d", "p_id": "p_id", "p_walk": "p_walk", "d_id": "d_id", "d_walk": "d_walk", "n_stops": "n", "dep_before_pickup": "leave", "dep_before_dropoff": "leave_d"}
+
+
 @query(
     "u18_best_assignments",
     X.ctes("edge", recursive=True, more=f"{REQUEST}, {PLACES}, {ROUTES}, {LOCATED}, {FOUND}, {FOOT_WAYS}")
-    + """SELECT request_id, request_time, CASE WHEN f THEN -1 ELSE m.vehicle_id END AS vehicle_id, CASE WHEN f THEN -1 ELSE m.i END AS i, CASE WHEN f THEN -1 ELSE m.j END AS j, f AS not_using_vehicle, 1 AS accepted, CASE WHEN f THEN foot ELSE m.cost END AS cost
- FROM (SELECT *, coalesce(m IS NULL OR foot<m.cost, false) AS f FROM (SELECT request_id, request_time FROM request) LEFT JOIN (SELECT request_id, walk+10*greatest(walk-most,0) AS foot FROM walks) USING (request_id) LEFT JOIN (SELECT request_id, min({'cost': cost, 'vehicle_id': vehicle_id, 'i': i, 'j': j}) AS m FROM found GROUP BY request_id) USING (request_id))""",
+    + "SELECT request_id, request_time, direct, CASE WHEN f OR m IS NULL THEN -1 ELSE m.vehicle_id END AS vehicle_id, CASE WHEN f OR m IS NULL THEN -1 ELSE m.i END AS i, CASE WHEN f OR m IS NULL THEN -1 ELSE m.j END AS j, "
+    + ", ".join(f"CASE WHEN f OR m IS NULL THEN -1 ELSE m.{v} END AS {k}" for k, v in LOGGED.items())
+    + """, f AS not_using_vehicle, CASE WHEN NOT f AND m IS NULL THEN -1 ELSE 1 END AS accepted, CASE WHEN f THEN foot ELSE m.cost END AS cost
+ FROM (SELECT *, foot IS NOT NULL AND (m IS NULL OR foot<m.cost) AS f FROM (SELECT request_id, request_time, CASE WHEN origin=destination THEN 0 ELSE rt.d+y.travel_time END AS direct FROM request JOIN edge x ON x.edge_id=origin JOIN edge y ON y.edge_id=destination JOIN rt ON rt.t=y.tail AND rt.v=x.head)
+  LEFT JOIN (SELECT request_id, walk+10*greatest(walk-most,0) AS foot FROM walks) USING (request_id)
+  LEFT JOIN (SELECT request_id, min({'cost': cost, 'vehicle_id': vehicle_id, 'i': i, 'j': j, 'p_walk': p_walk, 'd_walk': d_walk, 'p_id': p_id, 'd_id': d_id, 'to_p': to_p, 'to_d': to_d, 'from_p': on_p, 'from_d': from_d, 'n': n, 'leave': leave, 'leave_d': CASE WHEN n=1 THEN greatest(dep_j,t0) ELSE dep_j END}) AS m FROM found GROUP BY request_id) USING (request_id))""",
 )
 def u18(spark, d) -> DataFrame:
-    log = D.assignments(requests(spark, d), candidates(spark, d, True), j25(spark, d), K)
-    return log.select("request_id", "request_time", "vehicle_id", "i", "j", "not_using_vehicle", "accepted", "cost")
+    return D.assignments(requests(spark, d), candidates(spark, d, True), on_foot(spark, d), K)
