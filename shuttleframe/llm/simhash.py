@@ -159,7 +159,7 @@ SENT_KEYS = 1_000_000
 #: Share of a text's shingles that are kept as rare ones beyond those that a first common one needs.
 MORE = 0.05
 #: Shingles of the texts of a block when candidate pairs are verified, and pairs of a cell, about.
-BLOCK, PAIRS = 400_000, 20_000
+BLOCK, PAIRS = 100_000, 4_000
 #: Times that groups are joined by one pair before all pairs are compared. The result doesn't depend on it.
 ROUNDS = 3
 #: Texts that a task remembers, so that copies are sketched once; a text seen again after so many others is sketched again.
