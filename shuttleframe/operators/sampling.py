@@ -40,6 +40,15 @@ def nearest_other(found: DataFrame, eligible: Column) -> DataFrame:
     return found.where((c("vertex_id") != c("source")) & eligible).groupBy("source").agg(m).select("source", "m.vertex_id", "m.dist")
 
 
+def avoiding(edges: DataFrame, pairs: DataFrame, eligible: Column) -> DataFrame:
+    """(id, origin, destination) whose destinations differ from their origins: where they are the same vertex, the destination is the
+    nearest other one that is eligible. One search for each such vertex."""
+    same = pairs.where("origin = destination").select(c("destination").alias("source")).distinct()
+    other = nearest_other(from_sources(edges, same), eligible).select(c("source").alias("origin"), c("vertex_id").alias("__other"))
+    rows = pairs.join(other, "origin", "left")
+    return rows.select("id", "origin", F.when(c("origin") == c("destination"), c("__other")).otherwise(c("destination")).alias("destination"))
+
+
 def search_space(found: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target, vertex_id, dist): what a search from source settles until it settles the target, ties by vertex."""
     goal = found.join(targets.select("source", c("target").alias("vertex_id")), ["source", "vertex_id"]).select("source", c("vertex_id").alias("target"), c("dist").alias("upto"))

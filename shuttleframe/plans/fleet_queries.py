@@ -277,3 +277,15 @@ def g07(spark, d) -> DataFrame:
     """Distances from vertex 0 along edges to larger ids alone, which have no cycle."""
     zero = spark.createDataFrame([(0, 0, 0)], "source long, vertex_id long, dist long")
     return G.distances(X.edges(spark, d).where("tail < head"), zero).select("vertex_id", "dist")
+
+
+AVOID = X.ctes("edge", recursive=True, more="""p AS (SELECT c_custkey AS id, c_custkey%n AS o, (c_custkey*3)%n AS d FROM customer CROSS JOIN n),
+ r(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT d, d, CAST(0 AS BIGINT) FROM p WHERE o=d UNION SELECT q.s, q.head, min(q.d) FROM (SELECT r.s, head, r.d+travel_time AS d FROM r JOIN edge ON tail=r.v) q LEFT JOIN recurring.r o ON o.s=q.s AND o.v=q.head WHERE o.d IS NULL OR q.d<o.d GROUP BY q.s, q.head)""")
+
+
+@query("a18_destinations_avoid_origins", AVOID + "SELECT id, o AS origin, CASE WHEN o=d THEN m.v ELSE d END AS destination FROM p LEFT JOIN (SELECT s, min({'d': d, 'v': v}) AS m FROM r WHERE v<>s AND v%4<>1 GROUP BY s) ON s=d AND o=d")
+def a18(spark, d) -> DataFrame:
+    """Pairs whose destination is their origin get the nearest other eligible vertex instead."""
+    n, k = X.vertices(spark, d).count(), X.L("c_custkey")
+    pairs = X.table(spark, d, "customer").select(k.alias("id"), (k % n).alias("origin"), (k * 3 % n).alias("destination"))
+    return A.avoiding(X.edges(spark, d), pairs, c("vertex_id") % 4 != 1)
