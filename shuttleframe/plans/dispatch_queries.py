@@ -204,27 +204,10 @@ def u13(spark, d) -> DataFrame:
     return replayed(spark, d, "quality")
 
 
-@query("u17_replayed_legs")
-def u17_replayed(spark, d) -> DataFrame:
-    return replayed(spark, d, "legs")
-
-
-@query("u18_replayed_assignments")
-def u18_replayed(spark, d) -> DataFrame:
-    """The full log of best assignments."""
-    return replayed(spark, d, "chosen")
-
-
-@query("u12_replayed_stops")
-def u12_replayed(spark, d) -> DataFrame:
-    """Stops as they were made, with who got on and off."""
-    return replayed(spark, d, "stops")
-
-
-@query("a09_replayed_events")
-def a09_replayed(spark, d) -> DataFrame:
-    """Events of vehicles and requests, counted by kind."""
-    return replayed(spark, d, "events").groupBy("type").agg(F.count("*").alias("n"))
+@query("u13_replayed_logs")
+def u13_logs(spark, d) -> DataFrame:
+    """All logs of one replay: arrivals, legs, the full log of best assignments, events, and stops with who got on and off."""
+    return replayed(spark, d, "all")
 
 
 @query("w04_streaming_bins", X.ctes("n", "request") + "SELECT request_time//3000 AS bin, count(*) AS n FROM request GROUP BY 1")
@@ -278,7 +261,12 @@ def a03_full(spark, d) -> DataFrame:
     return S.vehicle_times(legs, X.vehicles(spark, d).count())
 
 
-@query("a06_fleet_size", X.ctes("vehicle") + "SELECT count(*) AS n FROM vehicle")
+EVENT_LOG = "log AS (SELECT start_of_service_time AS t, 'VehicleStartup' AS type FROM vehicle UNION ALL SELECT request_time, 'RequestReceipt' FROM request)"
+
+
+@query("a06_fleet_size", X.ctes("vehicle", "request", more=EVENT_LOG) + "SELECT count(*) FILTER (type='VehicleStartup') AS n FROM log")
 def a06_fleet(spark, d) -> DataFrame:
     """Vehicles of a run by its log of events: those that started up."""
-    return a09_replayed(spark, d).where("type = 'VehicleStartup'").select("n")
+    started = X.vehicles(spark, d).select(c("start_of_service_time").alias("t"), F.lit("VehicleStartup").alias("type"))
+    log = started.unionByName(X.requests(spark, d).select(c("request_time").alias("t"), F.lit("RequestReceipt").alias("type")))
+    return log.agg(F.count(F.when(c("type") == "VehicleStartup", 1)).alias("n"))
