@@ -158,8 +158,8 @@ COMMON_TEXTS, COMMON_SHINGLES, COMMON = 10_000, 5_000, 4
 SENT_KEYS = 1_000_000
 #: Share of a text's shingles that are kept as rare ones beyond those that a first common one needs.
 MORE = 0.05
-#: Shingles of the texts of a block when candidate pairs are verified, and pairs of a cell, about.
-BLOCK, PAIRS = 100_000, 4_000
+#: Shingles of the texts of a block when candidate pairs are verified, pairs of a cell, and texts of a block, about.
+BLOCK, PAIRS, MEMBERS = 100_000, 4_000, 1_000
 #: Times that groups are joined by one pair before all pairs are compared. The result doesn't depend on it.
 ROUNDS = 3
 #: Texts that a task remembers, so that copies are sketched once; a text seen again after so many others is sketched again.
@@ -410,15 +410,15 @@ def _turned(near: DataFrame) -> DataFrame:
 def judged(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     """The pairs (a, b, ra, rb), a < b, that pass ``test`` (hashes in common, n of a and b), with ``sets`` (kt, n, hashes).
 
-    Texts that have pairs with the same smallest text share a label, and so a block, as far as their hashes fit in BLOCK and
-    their pairs in PAIRS. Pairs go to cells of two blocks, and a text once to each cell where it has a pair.
+    Texts that have pairs with the same smallest text share a label, and so a block, as far as they are MEMBERS, their hashes fit in
+    BLOCK and their pairs in PAIRS. Pairs go to cells of two blocks, and a text once to each cell where it has a pair.
     """
     ends = pairs.select(F.col("a").alias("kt"), F.col("a").alias("low")).union(pairs.select("b", "a"))
     sized = ends.groupBy("kt").agg(F.min("low").alias("label"), F.count("*").alias("pairs")).join(sets.select("kt", F.size("hashes").alias("size")), "kt")
     sized = stored(sized, "labels")
-    hashes, met = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-    blocks = max(1, -(-hashes // BLOCK), -(-met // (2 * PAIRS)))
-    cuts = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sqrt(F.sum("pairs") / (2 * PAIRS))))
+    hashes, met, nodes = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-hashes // BLOCK), -(-met // (2 * PAIRS)), -(-nodes // MEMBERS))
+    cuts = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sqrt(F.sum("pairs") / (2 * PAIRS))), F.ceil(F.count("*") / MEMBERS))
     parts = stored(sized.groupBy("label").agg(cuts.alias("parts")), "parts-of-labels")
     salt = F.pmod(F.xxhash64("kt"), F.col("parts"))
     block = stored(sized.join(parts, "label").select("kt", F.pmod(F.xxhash64("label", salt), F.lit(blocks)).alias("block")), "blocks")
