@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from . import cost as C
 from . import schedule as S
-from .graph import SENT_EDGES, distances, nearest_labels, pair_distances, reverse
+from .graph import SENT_EDGES, distances, nearest_labels, pair_distances, relaxed, reverse
 
 c = F.col
 
@@ -89,10 +89,10 @@ def pd_distances(edges: DataFrame, pickups: DataFrame, dropoffs: DataFrame) -> D
 def leg_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
     """(leg, step, edge_id, travel_time): a shortest path from ``from_vertex`` to ``to_vertex``, ties by the smaller edge id.
 
-    Legs to one vertex share a search; the network is sent to the executors, so it has SENT_EDGES edges at most.
+    Travel times are positive. Legs to one vertex share a search; a network that is too large to send is searched by rounds of joins.
     """
     if edges.count() > SENT_EDGES:
-        raise ValueError("the network is too large to be sent to the executors")
+        return _joined_paths(edges, legs)
     p = edges.select("edge_id", "tail", "head", "travel_time").toPandas().sort_values("edge_id")
     sent = edges.sparkSession.sparkContext.broadcast({k: p[k].to_numpy() for k in p.columns})
 
@@ -121,6 +121,23 @@ def leg_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
     return legs.select("leg", "from_vertex", "to_vertex").groupBy("to_vertex").applyInPandas(walk, "leg long, step long, edge_id long, travel_time long")
 
 
+def _joined_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
+    """``leg_paths`` by joins: backwards from the legs' ends as far as their lengths, which the index gives; then along next edges in
+    jumps of 1, 2, 4, ... edges, in as many rounds as the longest path's number of edges has bits."""
+    legs = cut(legs.select("leg", c("from_vertex").alias("v"), c("to_vertex").alias("goal")))
+    far = pair_distances(edges, legs.select(c("v").alias("source"), c("goal").alias("target"))).groupBy("target").agg(F.max("dist").alias("radius"))
+    seeds = far.select(c("target").alias("source"), c("target").alias("vertex_id"), zero().alias("dist"), "radius")
+    near = relaxed(reverse(edges), cut(seeds)).withColumnRenamed("source", "goal")
+    tight = edges.join(near.select("goal", c("vertex_id").alias("tail"), c("dist").alias("dt")), "tail")
+    tight = tight.join(near.select("goal", c("vertex_id").alias("head"), c("dist").alias("dh")), ["goal", "head"]).where(c("dt") == c("dh") + c("travel_time"))
+    step = cut(tight.groupBy("goal", c("tail").alias("v")).agg(F.min(F.struct("edge_id", "travel_time", c("head").alias("to"))).alias("m")).select("goal", "v", "m.*").where("v <> goal"))
+    at, jump, length = cut(legs.withColumn("step", zero())), step.select("goal", "v", "to"), 1
+    while not (ahead := cut(at.join(jump, ["goal", "v"]).select("leg", c("to").alias("v"), "goal", (c("step") + length).alias("step")))).isEmpty():
+        twice = jump.join(jump.select("goal", c("v").alias("to"), c("to").alias("beyond")), ["goal", "to"])
+        at, jump, length = cut(at.unionByName(ahead)), cut(twice.select("goal", "v", c("beyond").alias("to"))), 2 * length
+    return at.join(step, ["goal", "v"]).select("leg", "step", "edge_id", "travel_time")
+
+
 def _grouped(key: np.ndarray):
     """v -> places of v in ``key``, in order."""
     order = np.argsort(key, kind="stable")

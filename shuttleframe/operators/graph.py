@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import crossings, orientation, segments_meet
 from ..storage import cut as _cut
+from .hierarchy import distances_among, distances_between, index_of
 
 c = F.col
 #: Edges up to which a network is sent to every executor (24 bytes each); beyond, searches join the edge table.
@@ -28,8 +29,8 @@ def csr(edges: DataFrame, weight: str = "travel_time") -> tuple[np.ndarray, ...]
     return ids, np.searchsorted(tail[order], np.arange(len(ids) + 1)), head[order], p["w"].to_numpy()[order]
 
 
-def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius: int | None = None, wanted: set[int] | None = None) -> dict[int, int]:
-    """Distances from (vertex, offset) seeds, by vertex id, within the radius, until all ``wanted`` vertices are reached."""
+def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius: int | None = None) -> dict[int, int]:
+    """Distances from (vertex, offset) seeds, by vertex id, within the radius."""
     ids, first, heads, weights = graph
     queue = []
     for v, off in seeds:
@@ -41,17 +42,12 @@ def dijkstra(graph: tuple[np.ndarray, ...], seeds: list[tuple[int, int]], radius
     heapq.heapify(queue)
     done: set[int] = set()
     out: dict[int, int] = {}
-    left = None if wanted is None else set(wanted)
-    while queue and (left is None or left):
+    while queue:
         d, i = heapq.heappop(queue)
         if i in done or (radius is not None and d > radius):
             continue
         done.add(i)
-        v = int(ids[i]) if i >= 0 else -1 - i
-        if left is None or v in left:
-            out[v] = d
-            if left is not None:
-                left.discard(v)
+        out[int(ids[i]) if i >= 0 else -1 - i] = d
         if i < 0:
             continue
         for k in range(first[i], first[i + 1]):
@@ -83,23 +79,8 @@ def distances(edges: DataFrame, seeds: DataFrame, radius: int | None = None, wei
 
 
 def pair_distances(edges: DataFrame, pairs: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(source, target, dist) for pairs (source, target) of vertices; pairs without a path have no row.
-
-    A search from a source ends when its targets are reached, and gives rows for them alone.
-    """
-    graph, pairs = csr(edges, weight), pairs.select("source", "target").distinct()
-    if graph is None:
-        seeds = pairs.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")).distinct()
-        found = distances(edges, seeds, None, weight)
-        return pairs.join(found.withColumnRenamed("vertex_id", "target"), ["source", "target"])
-    sent = edges.sparkSession.sparkContext.broadcast(graph)
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        source = int(rows["source"].iloc[0])
-        found = dijkstra(sent.value, [(source, 0)], None, set(rows["target"].tolist()))
-        return pd.DataFrame({"source": source, "target": list(found), "dist": list(found.values())})
-
-    return pairs.groupBy("source").applyInPandas(search, "source long, target long, dist long")
+    """(source, target, dist) for pairs (source, target) of vertices, by the network's index; pairs without a path have no row."""
+    return distances_between(index_of(edges, weight), pairs)
 
 
 def relaxed(edges: DataFrame, seeds: DataFrame, radius: int | None = None, weight: str = "travel_time") -> DataFrame:
@@ -118,12 +99,6 @@ def relaxed(edges: DataFrame, seeds: DataFrame, radius: int | None = None, weigh
     return best
 
 
-def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(source, target, dist) for every source and every target that is reached."""
-    all_ = distances(edges, sources.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")), None, weight)
-    return all_.join(targets.withColumnRenamed("target", "vertex_id"), "vertex_id").select("source", c("vertex_id").alias("target"), "dist")
-
-
 def nearest_labels(edges: DataFrame, seeds: DataFrame, weight: str = "travel_time") -> DataFrame:
     """(level, vertex_id, dist, label): at every vertex the least (dist, label) over the seeds (level, vertex_id, dist, label) of a level.
 
@@ -170,9 +145,8 @@ def _relaxed_labels(edges: DataFrame, seeds: DataFrame, weight: str) -> DataFram
 
 
 def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(source, target, dist) for every source and every target that is reached."""
-    all_ = distances(edges, sources.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")), None, weight)
-    return all_.join(targets.withColumnRenamed("target", "vertex_id"), "vertex_id").select("source", c("vertex_id").alias("target"), "dist")
+    """(source, target, dist) for every source (source) and target (target) that is reached, by the network's index."""
+    return distances_among(index_of(edges, weight), sources.select("source").distinct(), targets.select("target").distinct())
 
 
 def dijkstra_rank(found: DataFrame, area: DataFrame | None = None) -> DataFrame:
