@@ -14,13 +14,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 from . import cost as C
 from . import schedule as S
 from .graph import SENT_EDGES, distances, nearest_labels, pair_distances, relaxed, reverse
+from .hierarchy import distances_among, index_of
 
 c = F.col
 
@@ -75,8 +76,9 @@ def last_stop_distances(edges: DataFrame, last: DataFrame, places: DataFrame) ->
     """(vehicle_id, x, to_x): the way from a route's last stop (vehicle_id, stop, stop_head) to places (x, most); most bounds the
     way, null doesn't."""
     x = places.groupBy("x").agg(F.when(F.max(c("most").isNull()), None).otherwise(F.max("most")).alias("most")).join(_ends(edges, "x"), "x")
-    back = _balls(reverse(edges), x.select(c("x_tail").alias("source"), c("most").alias("radius"))).toDF("x_tail", "stop_head", "__d")
-    far = back.join(last, "stop_head").join(x, "x_tail").where(c("x") != c("stop")).withColumn("to_x", c("__d") + c("x_tt"))
+    wanted = cut(x.select(c("x_tail").alias("target"), c("most")))
+    ways = distances_among(index_of(edges), last.select(c("stop_head").alias("source")), wanted).toDF("stop_head", "x_tail", "__d")
+    far = ways.join(last, "stop_head").join(x, "x_tail").where((c("x") != c("stop")) & (c("most").isNull() | (c("__d") <= c("most")))).withColumn("to_x", c("__d") + c("x_tt"))
     here = x.join(last, c("x") == c("stop")).withColumn("to_x", zero())
     return far.select("vehicle_id", "x", "to_x").unionByName(here.select("vehicle_id", "x", "to_x"))
 
@@ -86,6 +88,57 @@ def pd_distances(edges: DataFrame, pickups: DataFrame, dropoffs: DataFrame) -> D
     return location_ways(pickups.select("request_id", "p").join(dropoffs.select("request_id", "d"), "request_id"), edges, "p", "d", "dist")
 
 
+def _dearer(time: Column, k: C.Config) -> Column:
+    """How much dearer a trip gets at most by that much more time, which may be negative."""
+    return F.when(time > 0, (k.psg + k.trip) * time).otherwise(k.psg * time)
+
+
+def pair_labels(edges: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config) -> DataFrame:
+    """(request_id, p_loc, d_loc, pd, worse, p_more, most_pd, most_walk): a request's pairs of a pickup and a dropoff.
+
+    ``worse`` pairs cost more after any route's last stop than another pair of the request: a vehicle that reaches this pickup reaches the
+    other one at most the way between them later, so that bounds hold for all vehicles at once. First dropoffs of one pickup
+    are compared, then what is left of all pickups. Not so where the vehicle stops at the pickup already, which saves the
+    stop, or where the other pair would end its service: ``p_more`` is the longest way from the pickup to another of the request, and the
+    request's longest ride and walk bound what the other pair takes.
+    """
+    p = pickups.select("request_id", c("location").alias("p_loc"), c("walk").alias("p_walk"))
+    d = dropoffs.select("request_id", c("location").alias("d_loc"), c("walk").alias("d_walk"))
+    pd = pd_distances(edges, p.withColumnRenamed("p_loc", "p"), d.withColumnRenamed("d_loc", "d")).toDF("request_id", "p_loc", "d_loc", "pd")
+    rows = cut(pd.join(p, ["request_id", "p_loc"]).join(d, ["request_id", "d_loc"]))
+    other = rows.toDF(*[x if x in ("request_id", "p_loc") else f"{x}_o" for x in rows.columns])
+
+    def beaten(pairs: DataFrame, later: Column) -> DataFrame:
+        ride, walk = c("pd_o") - c("pd"), c("d_walk_o") - c("d_walk")
+        more = k.veh * (later + ride) + _dearer(later + ride + walk, k) + k.wait * F.greatest(later, zero()) + k.walk * (c("p_walk_o") + c("d_walk_o") - c("p_walk") - c("d_walk"))
+        return pairs.where(more < 0).select("request_id", "p_loc", "d_loc").distinct()
+
+    first = beaten(rows.join(other, ["request_id", "p_loc"]), zero())
+    left = cut(rows.join(first, ["request_id", "p_loc", "d_loc"], "left_anti"))
+    between = cut(pd_distances(edges, p.withColumnRenamed("p_loc", "p"), p.withColumnRenamed("p_loc", "d")).toDF("request_id", "p_loc", "p_loc_o", "between"))
+    other = left.toDF(*[x if x == "request_id" else f"{x}_o" for x in left.columns])
+    met = left.join(between, ["request_id", "p_loc"]).join(other, ["request_id", "p_loc_o"]).where("p_loc <> p_loc_o")
+    second = beaten(met, F.greatest(c("between"), c("p_walk_o") - c("p_walk")))
+    good = left.join(second, ["request_id", "p_loc", "d_loc"], "left_anti").select("request_id", "p_loc", "d_loc", F.lit(False).alias("worse"))
+    apart = between.groupBy("request_id", "p_loc").agg(F.max("between").alias("p_more"))
+    most = rows.groupBy("request_id").agg(F.max("pd").alias("most_pd"), F.max("p_walk").alias("most_walk"))
+    rows = rows.select("request_id", "p_loc", "d_loc", "pd").join(good, ["request_id", "p_loc", "d_loc"], "left").withColumn("worse", F.coalesce("worse", F.lit(True)))
+    return cut(rows.join(apart, ["request_id", "p_loc"]).join(most, "request_id"))
+
+
+def dropoff_labels(edges: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config) -> DataFrame:
+    """(request_id, d_loc, d_worse, d_more): dropoffs that cost more after any route's last stop than another one of the request that is none
+    of its pickups; and the longest way to another dropoff of the request."""
+    d = dropoffs.select("request_id", c("location").alias("d_loc"), c("walk").alias("d_walk"))
+    between = cut(pd_distances(edges, d.withColumnRenamed("d_loc", "p"), d.withColumnRenamed("d_loc", "d")).toDF("request_id", "d_loc", "other", "between"))
+    apart = between.groupBy("request_id", "d_loc").agg(F.max("between").alias("d_more"))
+    free = d.join(pickups.select("request_id", c("location").alias("d_loc")), ["request_id", "d_loc"], "left_anti").toDF("request_id", "other", "other_walk")
+    met = d.join(between, ["request_id", "d_loc"]).join(free, ["request_id", "other"])
+    walk = c("other_walk") - c("d_walk")
+    worse = met.where(k.veh * c("between") + _dearer(c("between") + walk, k) + k.walk * walk < 0).select("request_id", "d_loc", F.lit(True).alias("d_worse")).distinct()
+    return cut(apart.join(worse, ["request_id", "d_loc"], "left").withColumn("d_worse", F.coalesce("d_worse", F.lit(False))))
+
+
 def leg_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
     """(leg, step, edge_id, travel_time): a shortest path from ``from_vertex`` to ``to_vertex``, ties by the smaller edge id.
 
@@ -204,13 +257,15 @@ def upper_bounds(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, reques
 
 
 def insertions(
-    edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config, upper: DataFrame | None = None
+    edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, k: C.Config, upper: DataFrame | None = None,
+    labelled: bool = False,
 ) -> DataFrame:
     """Every insertion of every request that its stops and legs allow, costed (NULL: breaks a constraint), with its ``kind``.
 
     stops: (vehicle_id, stop_idx, location, arr, dep, max_arr, n_dropoffs, occupancy); vehicles: (vehicle_id, capacity,
     end_of_service_time); requests: (request_id, origin, destination, request_time, num_riders); pickups and dropoffs:
-    (request_id, location, walk, pd_id). With ``upper`` (request_id, upper), insertions that certainly cost more may be missing.
+    (request_id, location, walk, pd_id). With ``upper`` (request_id, upper), insertions that certainly cost more may be missing;
+    if ``labelled``, so may those after the last stop that cost more than another one of their kind, request and vehicle.
     """
     legs = cut(route_legs(edges, stops, vehicles, k))
     inner, last = legs.where(c("at") < c("n") - 1), legs.where(c("at") == c("n") - 1)
@@ -241,8 +296,14 @@ def insertions(
     d = at_legs(dropoffs, "d").where(at_stop | (c("at") == c("n") - 1) | (c("occ_at") + c("riders") <= c("capacity")))
     d = d.select("request_id", "vehicle_id", c("at").alias("j"), c("d").alias("d_loc"), "d_walk", "d_id", c("to_d").alias("stop_to_d"), "from_d", at_stop.alias("at_stop"))
     apart = p.join(d, ["request_id", "vehicle_id"]).where((c("i") < c("j")) & (c("p_loc") != c("d_loc")) | (c("i") == c("j")))
-    direct = pd_distances(edges, pickups.select("request_id", c("location").alias("p")), dropoffs.select("request_id", c("location").alias("d"))).toDF("request_id", "p_loc", "d_loc", "__pd")
-    rows = apart.join(direct, ["request_id", "p_loc", "d_loc"])
+    if labelled:
+        direct = pair_labels(edges, pickups, dropoffs, k)
+        by_vehicle = Window.partitionBy("request_id", "vehicle_id", "j")
+        d = d.join(dropoff_labels(edges, pickups, dropoffs, k), ["request_id", "d_loc"]).withColumn("stops_here", F.max("at_stop").over(by_vehicle))
+        apart = p.join(d, ["request_id", "vehicle_id"]).where((c("i") < c("j")) & (c("p_loc") != c("d_loc")) | (c("i") == c("j")))
+    else:
+        direct = pd_distances(edges, pickups.select("request_id", c("location").alias("p")), dropoffs.select("request_id", c("location").alias("d"))).toDF("request_id", "p_loc", "d_loc", "pd")
+    rows = apart.join(direct, ["request_id", "p_loc", "d_loc"]).withColumnRenamed("pd", "__pd")
     same = c("i") == c("j")
     rows = rows.withColumn("to_d", F.when(~same, c("stop_to_d")).otherwise(c("__pd")))
     rows = rows.withColumn("from_p", F.when(same, zero()).otherwise(c("from_p"))).withColumn("from_d", F.when(~same & c("at_stop"), zero()).otherwise(c("from_d")))
@@ -251,7 +312,17 @@ def insertions(
         F.when(c("i") == last_at, AFTER_LAST).when((c("j") == last_at) & ~c("at_stop"), DROPOFF_AFTER_LAST)
         .when(c("i") == 0, BEFORE_NEXT).when(same, PAIRED).otherwise(ORDINARY)
     )
-    return C.costed(rows.withColumn("kind", kind).drop("stop_to_d", "at_stop", "__pd").join(route_arrays(stops), "vehicle_id"), k)
+    rows = rows.withColumn("kind", kind).join(route_arrays(stops), "vehicle_id")
+    if labelled:
+        # A worse one stays where the better one might end the vehicle's service.
+        leave = F.when(c("n") == 1, F.greatest(C.at("dep", c("i")), c("t0"))).otherwise(C.at("dep", c("i")))
+        ends = F.greatest(C.at("dep", last_at), c("t0"))
+        late = ends + F.greatest(c("to_p") + c("p_more") + k.stop_time, c("t0") + c("most_walk") - leave) + c("most_pd") + k.stop_time > c("end_service")
+        pair = (c("kind") == AFTER_LAST) & c("worse") & (c("p_loc") != C.at("loc", c("i"))) & ~late
+        late = ends + F.greatest(c("to_p") + k.stop_time, c("t0") + c("p_walk") - leave) + c("from_p") + c("to_d") + c("d_more") + k.stop_time > c("end_service")
+        dropoff = (c("kind") == DROPOFF_AFTER_LAST) & c("d_worse") & ~c("stops_here") & ~late
+        rows = rows.where(~pair & ~dropoff).drop("worse", "p_more", "most_pd", "most_walk", "d_worse", "d_more", "stops_here")
+    return C.costed(rows.drop("stop_to_d", "at_stop", "__pd"), k)
 
 
 def relevant_pickups(edges: DataFrame, stops: DataFrame, vehicles: DataFrame, requests: DataFrame, pickups: DataFrame, dropoffs: DataFrame, upper: DataFrame, k: C.Config) -> DataFrame:

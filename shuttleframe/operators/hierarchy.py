@@ -26,11 +26,11 @@ from ..storage import cut
 
 c = F.col
 #: Bisections between a cell and its parts, and the vertices that a leaf should have.
-SPLITS, LEAF = 3, 64
+SPLITS, LEAF = 3, 256
 #: Vertices by whose places cells are split, at most; each leaf has eight of them at least. They decide how even the cells are.
 SAMPLE = 200_000
-#: Labels of a side that meet in one task.
-TOGETHER = 20_000
+#: Labels of a side that meet in one task, labels that one task makes, and rows of them at a time, so that these stay in a cache.
+TOGETHER, MADE, AT_ONCE = 20_000, 2_000, 128
 INF = np.int64(1 << 61)
 
 
@@ -92,7 +92,7 @@ def nested_order(edges: DataFrame, places: DataFrame | None = None) -> Order:
     n = points.count()
     share = min(1.0, SAMPLE / max(1, n))
     taken = points.where(F.pmod(F.xxhash64("vertex_id"), F.lit(1 << 30)) < share * (1 << 30)).select("x", "y").toPandas().to_numpy()
-    wanted = math.ceil(math.log2(max(1, n / LEAF)) / SPLITS)
+    wanted = round(math.log2(max(1, n / LEAF)) / SPLITS)
     levels = max(0, min(wanted, int(math.log2(max(1, len(taken) / 8)) / SPLITS) if share < 1 else wanted))
     side, bound = _bisections(taken, SPLITS * levels)
 
@@ -181,7 +181,7 @@ def labels(index: Index, vertices: DataFrame) -> DataFrame:
     has, and the distances to all these hubs, or from them with ``back``. A vertex that isn't in the network has no cells.
 
     Level by level, the distances to a cell's border, which are the way to all hubs above, meet the parent's matrix. The vertices of
-    a cell are dealt to tasks of some TOGETHER vertices.
+    a cell are dealt to tasks of some MADE vertices.
     """
     asked = cut(vertices.distinct().join(index.order.vertices, "vertex_id", "left").withColumn("level", _level(c("cell"))))
     many = asked.count()
@@ -197,14 +197,17 @@ def labels(index: Index, vertices: DataFrame) -> DataFrame:
         m = _matrix(cell["matrix"].iloc[0], k, n)
         at = dict(zip(cell["kids"].iloc[0].tolist(), cell["at"].iloc[0], strict=True))
         x = np.full((len(rows), n), INF)
-        for i, (v, kid, far) in enumerate(zip(rows["vertex_id"], rows["kid"], rows["x"], strict=True)):
-            if pd.isna(kid):
-                x[i, np.searchsorted(own, v)] = 0
-            else:
-                x[i, np.asarray(at[int(kid)], np.int64)] = np.frombuffer(far, np.int64)
+        below = rows["kid"].fillna(-1).to_numpy(np.int64)
+        home = np.flatnonzero(below < 0)
+        x[home, np.searchsorted(own, rows["vertex_id"].to_numpy()[home])] = 0
+        for kid in np.unique(below[below >= 0]).tolist():
+            these = np.flatnonzero(below == kid)
+            x[these[:, None], np.asarray(at[kid], np.int64)] = _matrix(b"".join(rows["x"].iloc[these]), len(these), -1)
         y = np.full((len(rows), n), INF)
-        for j in range(k):
-            np.minimum(y, x[:, j : j + 1] + m[j], out=y)
+        for first in range(0, len(rows), AT_ONCE):
+            some, sums = y[first : first + AT_ONCE], x[first : first + AT_ONCE]
+            for j in range(k):
+                np.minimum(some, sums[:, j : j + 1] + m[j], out=some)
         border = np.minimum(x[:, k:], y[:, k:])
         here = int(cell["cell"].iloc[0])
         return pd.DataFrame(
@@ -217,7 +220,7 @@ def labels(index: Index, vertices: DataFrame) -> DataFrame:
 
     state = None
     for level in range(index.order.levels, -1, -1):
-        parts = -(-many // (TOGETHER << (SPLITS * level))) or 1
+        parts = -(-many // (MADE << (SPLITS * level))) or 1
         rows = asked.where(c("level") == level).select("vertex_id", "back", "cell", *empty)
         rows = rows if state is None else rows.union(state)
         used = asked.where(c("level") >= level).select(_above(c("cell"), c("level") - level).alias("cell"), c("back").alias("into_it")).distinct()
@@ -233,6 +236,9 @@ def _met(index: Index, sources: DataFrame, targets: DataFrame, pairs: DataFrame
     """(source, target, dist) of all sources (source) and targets (target), or of the pairs alone. Sources and targets are dealt to the rows and the
     columns of a grid, and each of its fields is a task's, so that no source or target with very many pairs is one task's."""
     ends = sources.select(c("source").alias("vertex_id"), F.lit(False).alias("back")).union(targets.select(c("target").alias("vertex_id"), F.lit(True).alias("back"))).distinct()
+    bounds = None
+    if pairs is None and "most" in targets.columns:
+        bounds = targets.groupBy(c("target").alias("vertex_id")).agg(F.when(F.max(c("most").isNull()), None).otherwise(F.max("most")).alias("most"))
     if index.labels is None:
         ends = labels(index, ends)
     else:
@@ -241,6 +247,8 @@ def _met(index: Index, sources: DataFrame, targets: DataFrame, pairs: DataFrame
     sizes = {r["back"]: r["n"] for r in ends.groupBy("back").agg(F.count("*").alias("n")).collect()}
     # Two sides of some partitions' square root at least; more where a side has many labels.
     least = max(1, math.isqrt(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = bounds.withColumn("back", F.lit(True)) if bounds is not None else None
+    ends = ends.withColumn("most", F.lit(None).cast("long")) if bounds is None else ends.join(bounds, ["vertex_id", "back"], "left")
     high, wide = (max(least, -(-sizes.get(x, 0) // TOGETHER)) for x in (False, True))
     row = lambda v: F.pmod(F.xxhash64(v, F.lit(1)), F.lit(high)).cast("long")
     column = lambda v: F.pmod(F.xxhash64(v, F.lit(2)), F.lit(wide)).cast("long")
@@ -265,7 +273,8 @@ def _all_met(ends: pd.DataFrame) -> pd.DataFrame:
         for row, far in zip(i, x, strict=True):
             if len(far):
                 best[row, j] = np.minimum(best[row, j], (y + far).min(1))
-    i, j = np.nonzero(best < INF)
+    most = b["most"].fillna(INF - 1).to_numpy(np.int64)
+    i, j = np.nonzero(best <= np.minimum(most, INF - 1))
     return pd.DataFrame({"source": sources[i], "target": targets[j], "dist": best[i, j]})
 
 
@@ -311,7 +320,8 @@ def distances_between(index: Index, pairs: DataFrame) -> DataFrame:
 
 
 def distances_among(index: Index, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target, dist) of every source and target that are connected."""
+    """(source, target, dist) of every source and target that are connected; a target's column ``most`` bounds its distances,
+    null doesn't."""
     return _met(index, sources, targets, None)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network as N
 from ..operators import graph as G
+from ..operators import hierarchy as H
 from . import fixtures as X
 
 c = F.col
@@ -223,6 +224,20 @@ def g13(spark, d) -> DataFrame:
     return G.many_to_many(e, sources, targets)
 
 
+LENGTHS = MANY.replace("m(s", "ml(s").replace("m.s, head, m.d", "ml.s, head, ml.d").replace("FROM m JOIN", "FROM ml JOIN").replace("tail=m.v", "tail=ml.v").replace("recurring.m ", "recurring.ml ").replace("travel_time", "length")
+
+
+@query("g10_two_metrics", X.ctes("edge", "vehicle", recursive=True, more=f"{MANY}, {LENGTHS}") + "SELECT m.s AS source, m.v AS target, m.d AS dist, ml.d AS metres FROM m JOIN ml ON ml.s=m.s AND ml.v=m.v JOIN (SELECT DISTINCT tail FROM customer JOIN edge ON edge_id=c_custkey) ON tail=m.v")
+def g10(spark, d) -> DataFrame:
+    """Distances in time and in metres, of cells that are contracted for both on one order."""
+    e = X.edges(spark, d)
+    sources = X.vehicles(spark, d).select(c("initial_location").alias("edge_id")).join(e, "edge_id").select(c("head").alias("source")).distinct()
+    targets = X.table(spark, d, "customer").select(X.L("c_custkey").alias("edge_id")).join(e, "edge_id").select(c("tail").alias("target")).distinct()
+    order = H.nested_order(e, X.vertices(spark, d).select("vertex_id", c("lng").alias("x"), c("lat").alias("y")))
+    time, length = (H.distances_among(H.contracted(order, e, w), sources, targets) for w in ("travel_time", "length"))
+    return time.join(length.withColumnRenamed("dist", "metres"), ["source", "target"])
+
+
 @query("g23_dijkstra_rank", X.ctes("edge", recursive=True, more=SP) + "SELECT CAST(s AS BIGINT) AS source, CAST(v AS BIGINT) AS vertex_id, row_number() OVER (PARTITION BY s ORDER BY d, v)-1 AS rnk FROM r")
 def g23(spark, d) -> DataFrame:
     return G.dijkstra_rank(g01(spark, d)).select("source", "vertex_id", c("rank").cast("long").alias("rnk"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans import fixtures as X
 from ..storage import new_path
@@ -18,21 +17,42 @@ c = F.col
 FAR = 4_000_000_000_000
 
 
-def due(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A vehicle's arrivals and departures as the clock reaches them: the state is the queue of what is to come, a timer its head."""
-    queue = list(zip(*state.get, strict=True)) if state.exists else []
-    for rows in batches:
-        for r in rows.itertuples():
-            queue += [(int(r.arr_ms), "arrival"), (int(r.dep_ms), "departure")]
-    queue.sort()
-    now = state.getCurrentWatermarkMs()
-    ready, queue = [x for x in queue if x[0] <= now], [x for x in queue if x[0] > now]
-    if queue:
-        state.update(([t for t, _ in queue], [kind for _, kind in queue]))
-        state.setTimeoutTimestamp(queue[0][0])
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({"vehicle_id": [key[0]] * len(ready), "time_ms": [t for t, _ in ready], "kind": [kind for _, kind in ready]})
+class VehicleClock(StatefulProcessor):
+    """A vehicle's arrivals and departures as the clock reaches them: the state is the list of what is to come, with a timer for each
+    time in it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.coming = handle.getListState("coming", "time_ms long, kind string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, passed = timerValues.getCurrentWatermarkInMs(), []
+        for frame in rows:
+            times = [*frame["arr_ms"].tolist(), *frame["dep_ms"].tolist()]
+            both = sorted(zip(times, ["arrival"] * len(frame) + ["departure"] * len(frame), strict=True))
+            passed += [x for x in both if x[0] <= now]
+            if later := [x for x in both if x[0] > now]:
+                self.coming.appendList(later)
+            for t in {t for t, _ in later}:
+                self.handle.registerTimer(t)
+        yield self._told(key, passed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, rows = expiredTimerInfo.getExpiryTimeInMs(), [(int(r[0]), r[1]) for r in self.coming.get()]
+        if later := [x for x in rows if x[0] > now]:
+            self.coming.put(later)
+        else:
+            self.coming.clear()
+        yield self._told(key, sorted(x for x in rows if x[0] <= now))
+
+    def close(self) -> None:
+        pass
+
+    def _told(self, key: tuple, rows: list[tuple[int, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"vehicle_id": [key[0]] * len(rows), "time_ms": [t for t, _ in rows], "kind": [kind for _, kind in rows]}).astype({"vehicle_id": "int64", "time_ms": "int64", "kind": "object"})
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def vehicle_events(stops: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -41,9 +61,24 @@ def vehicle_events(stops: DataFrame, late: str = "0 seconds") -> DataFrame:
     ts is the event time; a plan that comes after its own time is told at once, if it isn't later than the watermark allows.
     """
     timed = stops.withWatermark("ts", late)
-    return timed.groupBy("vehicle_id").applyInPandasWithState(
-        due, "vehicle_id long, time_ms long, kind string", "times array<long>, kinds array<string>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return timed.groupBy("vehicle_id").transformWithStateInPandas(VehicleClock(), "vehicle_id long, time_ms long, kind string", "append", "eventTime")
+
+
+def told(stops: DataFrame, folder: str) -> None:
+    """Runs a stream of planned stops over what has come since the last run, and adds its events to folder/events as Parquet.
+
+    The state and what has been read stand in folder/state, so that a run goes on where the last one ended or broke off; a batch
+    that is run again writes its files again.
+    """
+    spark = stops.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        run = vehicle_events(stops).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{folder}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def with_lateness(rows: DataFrame, reached: int) -> DataFrame:
@@ -75,20 +110,16 @@ def split_late(stream: DataFrame, folder: str, allowed_ms: int, checkpoint: str)
 
 
 def replayed_stops(spark: SparkSession, d: str) -> DataFrame:
-    """Arrivals and departures of all planned stops, by a stream that ends with the end of time."""
+    """Arrivals and departures of all planned stops, by a stream that is run anew as more comes and ends with the end of time."""
     folder = new_path(spark, "clock")
     plan = X.route_stops(spark, d).select("vehicle_id", (c("arr") * 100).alias("arr_ms"), (c("dep") * 100).alias("dep_ms"))
-    end = spark.createDataFrame([(-1, FAR, FAR)], "vehicle_id long, arr_ms long, dep_ms long")
-    rows = plan.withColumn("ts", F.timestamp_millis(F.lit(1))).coalesce(2)  # the clock begins at 0
-    rows.write.parquet(f"{folder}/in/part=0")
-    # The first of these moves the clock on, and the second gives it a batch in which timers fire.
-    for k in (1, 2):
-        end.withColumn("ts", F.timestamp_millis(F.lit(FAR - 1000))).coalesce(1).write.parquet(f"{folder}/in/part={k}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
-    name = f"events_{uuid.uuid4().hex}"
-    run = vehicle_events(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/state")
-    run.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).where("vehicle_id >= 0")
+    plan = plan.withColumn("ts", F.timestamp_millis(F.lit(1)))  # the clock begins at 0
+    end = spark.createDataFrame([(-1, FAR, FAR)], "vehicle_id long, arr_ms long, dep_ms long").withColumn("ts", F.timestamp_millis(F.lit(FAR - 1000)))
+    # The first end moves the clock on, and the second gives it a batch in which timers fire.
+    for k, rows in enumerate((plan, end, end)):
+        rows.write.parquet(f"{folder}/in/part={k}")
+        told(spark.readStream.schema(plan.schema).parquet(f"{folder}/in/part=*"), folder)
+    return spark.read.schema("vehicle_id long, time_ms long, kind string").parquet(f"{folder}/events").where("vehicle_id >= 0").select("vehicle_id", "time_ms", "kind")
 
 
 def late_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +129,7 @@ def late_requests(spark: SparkSession, d: str) -> DataFrame:
     n = rows.agg(F.max("time_ms")).first()[0] or 0
     batch = F.least(F.floor(c("time_ms") * 3 / (n + 1)) + F.when(c("request_id") % 10 == 3, 1).otherwise(0), F.lit(2))
     for k in range(3):
-        rows.where(batch == k).coalesce(1).write.parquet(f"{folder}/in/part={k}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in/part=*")
-    split_late(stream, folder, 60_000, f"{folder}/state")
+        rows.where(batch == k).write.parquet(f"{folder}/in/part={k}")
+        split_late(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*"), folder, 60_000, f"{folder}/state")
     read = lambda name, late: spark.read.parquet(f"{folder}/{name}").select("request_id", F.lit(late).alias("late"))
     return read("in_time", False).unionByName(read("late", True))
