@@ -12,6 +12,7 @@ from ..functions import projection as PR
 from ..operators import graph as G
 from ..operators import sampling as A
 from ..sources import formats as IO
+from ..sources.pbf import read_pbf, write_pbf
 from ..storage import new_path
 from . import fixtures as X
 from .network_queries import CAP, E_SQL, MANY, SPEED
@@ -94,6 +95,34 @@ def s04(spark, d) -> DataFrame:
     return IO.osm_edges(ways).select("way_id", "tail", "head", "speed_limit", "lanes", "free_flow_speed", "travel_time", "capacity")
 
 
+NAMES = ", ".join(f"'{x}'" for x in N.CATEGORIES)
+
+
+@query(
+    "s04_pbf_ways",
+    X.ctes("edge", "vertex")
+    + f"""SELECT edge_id AS way_id, tail AS from_node, head AS to_node, ([{NAMES}])[category+1] AS highway, CASE WHEN edge_id%3=0 THEN 'Straße '||(edge_id%50) END AS name, a.lat, a.lng, -b.lat AS to_lat, b.lng AS to_lng
+ FROM edge JOIN vertex a ON a.vertex_id=tail JOIN vertex b ON b.vertex_id=head""",
+)
+def s04_pbf(spark, d) -> DataFrame:
+    """Ways and their ends' places from PBF files that the network has been written to."""
+    path, e, v = new_path(spark, "osm"), X.edges(spark, d), X.vertices(spark, d)
+    names = F.array(*[F.lit(x) for x in N.CATEGORIES])
+    named = F.when(c("edge_id") % 3 == 0, F.create_map(F.lit("name"), F.concat(F.lit("Straße "), (c("edge_id") % 50).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    tags = F.map_concat(F.create_map(F.lit("highway"), names[c("category")]), named)
+    write_pbf(e.select(c("edge_id").alias("way_id"), F.array("tail", "head").alias("refs"), tags.alias("tags")), path, "ways")
+    # Nodes come in two lots; the second one lies south of the equator, and each vertex has a node there, too.
+    nodes = v.select(c("vertex_id").alias("node_id"), "lat", "lng", F.create_map(F.lit("highway"), F.lit("crossing")).alias("tags"))
+    south = v.select((-1 - c("vertex_id")).alias("node_id"), (-c("lat")).alias("lat"), "lng", F.create_map().cast("map<string,string>").alias("tags"))
+    write_pbf(nodes, path, "nodes")
+    write_pbf(south, path, "nodes")
+    places = read_pbf(spark, path, "nodes")
+    ends = read_pbf(spark, path, "ways").select("way_id", c("refs")[0].alias("from_node"), F.element_at("refs", -1).alias("to_node"), c("tags")["highway"].alias("highway"), c("tags")["name"].alias("name"))
+    at = places.where("tags['highway'] = 'crossing'").select(c("node_id").alias("from_node"), "lat", "lng")
+    beyond = places.where("node_id < 0").select((-1 - c("node_id")).alias("to_node"), c("lat").alias("to_lat"), c("lng").alias("to_lng"))
+    return ends.join(at, "from_node").join(beyond, "to_node")
+
+
 @query("s08_matsim_network", E_SQL + "SELECT 'l'||edge_id AS link, 'n'||tail AS tail, 'n'||head AS head, CAST(length AS DOUBLE) AS length, CAST(floor(3.6::DOUBLE*length/((5+category)*3.6::DOUBLE)) AS BIGINT)*10+10 AS travel_time FROM edge WHERE edge_id%3<>0")
 def s08(spark, d) -> DataFrame:
     """A network file of this format, written and read: links open to cars."""
