@@ -29,7 +29,7 @@ def test_round_trip_in_many_partitions(spark, tmp_path, monkeypatch):
     for kind, rows in (("ways", ways), ("nodes", nodes)):
         got = pbf.read_pbf(spark, str(tmp_path), kind)
         assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(rows, key=repr)
-    assert len(pbf.PbfReader(str(tmp_path), "ways").partitions()) >= 12
+    assert len(pbf.PbfReader(str(tmp_path), "ways").partitions()) >= 8
 
 
 def test_plain_blobs_offsets_and_single_nodes(tmp_path):
