@@ -6,12 +6,14 @@ starts and ends in. Weights come from labelled pages: those whose article is mar
 content and which outside, each tag told apart by whether an article stands around it and whether its block is mostly
 links. A kind of tag has bounds in words, so that no list, link or table of an article outweighs its prose.
 
-Elements that never hold article text (scripts, forms, menus and the like, or so named) don't take part in the scan and are
-left out of the region; blocks of the region are its text.
+Elements that never hold article text (scripts, menus and the like, or so named) don't take part in the scan and are left out of
+the region, and so do forms and parts with a second name, unless they hold nearly all of the page's words; blocks of the region are
+its text.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 from bisect import bisect_right
@@ -61,9 +63,19 @@ BESIDE = frozenset(
     " unit user wrap wrapper zone".split()
 )
 
-# A tag ends before the next "<", within quotes, too, so that every attempt to read one is bounded by the text up to there.
+#: Words that begin the name of a state ("no-sidebar", "has-menu"), not of a part.
+STATES = frozenset("no not has is with without".split())
+#: Parts that are never taken for the article, however long they are.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Words that a form, or a part whose name has another side to it, must have to be kept as the page's main text, and how many times
+#: what stands outside all parts.
+MAIN_WORDS, MAIN_TIMES = 40, 4
+
+# Quotes count after "=" only; a quoted value may hold "<" or ">" but not both, so that a quote that is never closed ends with
+# its tag. A tag has 4096 runs and values at most, which bounds every attempt to read one.
 TAG = regex.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<[!?/][^<>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
+    r"(?P<attrs>(?:[^<>\"'=]++|=\s*(?:\"(?:[^\"<]*|[^\">]*)\"|'(?:[^'<]*|[^'>]*)')|[\"'=]){0,4096}+)>|<[!?/][^<>]*>",
     regex.S,
 )
 ATTR = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
@@ -143,12 +155,15 @@ def pairs(seq: list[Node]) -> dict[int, int]:
     """
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    within: list[int] = []  # places of the open blocks in the stack
     unclosed: list[int] = []
     deep: Counter[str] = Counter()
 
     def pop(last: int, closed: bool) -> None:
         name, i = stack.pop()
         deep[name] -= 1
+        if name in BLOCKS:
+            within.pop()
         if closed or name in ENDED:
             out[i] = last
         else:
@@ -156,11 +171,11 @@ def pairs(seq: list[Node]) -> dict[int, int]:
 
     for i, (kind, name, _) in enumerate(seq):
         if kind == "open" and name not in VOID:
-            inline = [k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] in BLOCKS][:1]
-            while name in BLOCKS and inline and name in ENDED.get(stack[inline[0]][0], ()):
-                while len(stack) > inline[0]:
+            while name in BLOCKS and within and name in ENDED.get(stack[within[-1]][0], ()):
+                for _ in range(len(stack) - within[-1]):
                     pop(i - 1, False)
-                inline = [len(stack) - 1] if stack else []
+            if name in BLOCKS:
+                within.append(len(stack))
             stack.append((name, i))
             deep[name] += 1
         elif kind == "close" and deep[name]:
@@ -179,40 +194,88 @@ def pairs(seq: list[Node]) -> dict[int, int]:
     return out
 
 
-def named(attrs: str) -> bool:
-    """Whether a class, id or role names a part besides the article: all its words do, or stand beside one that does."""
-    for found in ATTR.findall(attrs) if attrs else ():
-        for token in "".join(found).split():
+@cache
+def _part(word: str) -> bool:
+    """Whether a word names a part, alone or put together with another such word ("commentlist")."""
+    return word in PARTS or any(word[:k] in PARTS and (word[k:] in BESIDE or word[k:] in PARTS) for k in range(2, len(word) - 1))
+
+
+def named(attrs: str) -> set[str]:
+    """Words of a class, id or role that name a part besides the article: all words of a name do, or stand beside one that does.
+    With "" if another name of the element doesn't, so that it may be a part of another kind."""
+    found, others = set(), False
+    for values in ATTR.findall(attrs) if attrs else ():
+        for token in "".join(values).split():
             words = [w.lower() for w in SUBWORDS.findall(token)]
-            if any(w in PARTS for w in words) and all(w in PARTS or w in BESIDE or w.isdigit() for w in words):
-                return True
-    return False
+            parts = {w for w in words if _part(w)}
+            if words and words[0] not in STATES and parts and all(w in parts or w in BESIDE or w.isdigit() for w in words):
+                found |= parts
+            else:
+                others = True
+    return found | {""} if found and others else found
+
+
+def main_parts(seq: list[Node], ends: dict[int, int], left: dict[int, bool]) -> set[int]:
+    """Of the elements that would be left out (whether one may be kept, by its node) those that hold the page's main text.
+
+    They are asked from the longest on, by words outside links: one is kept if it has MAIN_WORDS and MAIN_TIMES as many as stand
+    outside all such elements so far; its other words are outside then, and the elements in it are asked, too.
+    """
+    upto, linked = [0], 0
+    for kind, name, _ in seq:
+        if kind != "text" and name == "a":
+            linked = max(0, linked + (1 if kind == "open" else -1))
+        upto.append(upto[-1] + (len(name.split()) if kind == "text" and not linked else 0))
+    size = {i: upto[ends.get(i, i) + 1] - upto[i] for i in left}
+    inner: dict[int, list[int]] = {-1: []}
+    around: list[int] = []
+    for i in sorted(left):
+        while around and ends.get(around[-1], around[-1]) < i:
+            around.pop()
+        inner.setdefault(around[-1] if around else -1, []).append(i)
+        around.append(i)
+    own = lambda i, whole: whole - sum(size[k] for k in inner.get(i, ()))
+    outside, kept = own(-1, upto[-1]), set()
+    queue = [(-size[i], i) for i in inner[-1] if left[i]]
+    heapq.heapify(queue)
+    while queue:
+        n, i = heapq.heappop(queue)
+        if -n >= MAIN_WORDS and -n > MAIN_TIMES * outside:
+            kept.add(i)
+            outside += own(i, -n)
+            for k in inner.get(i, ()):
+                if left[k]:
+                    heapq.heappush(queue, (-size[k], k))
+    return kept
 
 
 def live(seq: list[Node], ends: dict[int, int]) -> list[bool]:
     """Which nodes stand outside elements that never hold article text. What holds an article, a main part or a top heading isn't
-    left out for its name."""
+    left out for its name, nor is a form, or what has another name as well, if it holds the page's main text."""
     out = [True] * len(seq)
     tops = [i for i, (kind, name, _) in enumerate(seq) if kind == "open" and (name in ARTICLE or name == "h1")]
-    in_article, until = 0, -1
+    left: dict[int, bool] = {}
     for i, (kind, name, attrs) in enumerate(seq):
+        if kind != "open" or name in ("body", "html", "main"):
+            continue
+        if name in NEVER or name in OUTSIDE:
+            left[i] = name == "form"
+        elif parts := named(attrs):
+            after = bisect_right(tops, i)
+            if not (after < len(tops) and tops[after] <= ends.get(i, i)):
+                left[i] = "" in parts and not any(p in COMMENTS or any(p.startswith(x) for x in COMMENTS) for p in parts)
+    kept = main_parts(seq, ends, left) if any(left.values()) else set()
+    in_article, until = 0, -1
+    for i, (kind, name, _) in enumerate(seq):
         if i <= until:
             out[i] = False
             continue
         if name in ARTICLE and kind != "text":
             in_article += 1 if kind == "open" else -1
-        if kind != "open" or name in ("body", "html", "main"):
-            continue
-        last = ends.get(i, i)
-        if name in NEVER or (name in OUTSIDE and in_article <= 0):
-            gone = True
-        else:
-            after = bisect_right(tops, i)
-            gone = named(attrs) and not (after < len(tops) and tops[after] <= last)
-        if gone:
+        if i in left and i not in kept and not (name in OUTSIDE and in_article > 0 and not named(seq[i][2])):
             if name in ARTICLE:
                 in_article -= 1
-            until, out[i] = last, False
+            until, out[i] = ends.get(i, i), False
     return out
 
 

@@ -681,3 +681,38 @@ def test_pipeline(spark, docs, rows, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "stage1")).collect()
     assert len({r["text"] for r in kept}) == len(kept)
     assert [r["doc_id"] for r in kept if r["text"] == rows[11][1]] in ([11], [])
+
+
+ARTICLE = "".join(f"<p>Sentence number {i} of the article has some ten words in it, no less.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='post share'>{}</div></body>",
+    "<div class='story promo'>{}</div><div class='sidebar'>{side}</div><div class='cookie-notice'>{side}</div>",
+    "<div id=page class='page no-sidebar'>{}<div class=sidebar>{side}</div></div>",
+    "<body><form id=f action='/x'><div class=content>{}</div><nav>{side}</nav></form></body>",
+    "<body><div class='box menu'>{side}</div>{}<ol class=commentlist><li><p>{comment}</p></li></ol></body>",
+    "<body>{}<div class='post comments'><p>{comment}</p></div></body>",
+    "<p class='ad'>Buy it" + "<b>" * 12 + "<div>{}</div>",
+    "<form class=search>{side}</form><div>{}</div><form action=x><label>{side}</label></form>",
+])
+def test_html_parts_are_judged_by_what_they_hold(page):
+    from shuttleframe.llm import html
+
+    side, comment = "Subscribe to our letter today. " * 4, "I don't think so, said the reader. " * 60
+    got = html.extract(page.replace("{side}", side).replace("{comment}", comment).replace("{}", ARTICLE), html.Weights())
+    assert got.count("Sentence number") == 12 and "Subscribe" not in got and "reader" not in got
+
+
+def test_html_tags_with_odd_quotes():
+    from shuttleframe.llm import html
+
+    def tags(page):
+        return [x[:2] for x in html.nodes(page)]
+
+    assert tags('<a title="a < b" href="x">link</a>') == [("open", "a"), ("text", "link"), ("close", "a")]
+    assert tags("<p title=it's>one</p><p title='a > b'>two") == [("open", "p"), ("text", "one"), ("close", "p"), ("open", "p"), ("text", "two")]
+    assert tags('<a href="x>text</a> and <i>"more"</i>')[:3] == [("open", "a"), ("text", "text"), ("close", "a")]
+    assert tags("a < b, c <3 d") == [("text", "a < b, c <3 d")]
+    hard = '<a x="<a" ' + 'x="<a" ' * 20_000
+    assert html.nodes(hard) and "".join(x[1] for x in html.nodes(hard) if x[0] == "text")
