@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,9 +12,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import crossings, orientation, segments_meet
+from ..functions.network import crossings, great_circle, orientation, segments_meet
 from ..storage import cut as _cut
-from .hierarchy import distances_among, distances_between, index_of
+from .hierarchy import bisections, distances_among, distances_between, index_of
 
 c = F.col
 #: Edges up to which a network is sent to every executor (24 bytes each); beyond, searches join the edge table.
@@ -158,6 +160,32 @@ def _relaxed_labels(edges: DataFrame, seeds: DataFrame, weight: str) -> DataFram
     return best.select("level", "vertex_id", "m.*")
 
 
+def one_to_one(edges: DataFrame, source: int, target: int, weight: str = "travel_time") -> DataFrame:
+    """(source, target, dist) of one pair by rounds of joins from both ends, for networks of any size; no row without a path.
+
+    Each round relaxes the edges of the smaller front. A shorter path than the best one known would go through what neither
+    side has relaxed yet, so the search ends when the two fronts' least distances add up to the best one, and vertices that can't lie on a
+    shorter one aren't followed.
+    """
+    spark = edges.sparkSession
+    arcs = _cut(edges.select("tail", "head", c(weight).cast("long").alias("w")).where("w is not null"))
+    ways = [arcs.toDF("vertex_id", "to", "w"), arcs.toDF("to", "vertex_id", "w")]
+    best = [spark.createDataFrame([(v, 0)], "vertex_id long, dist long") for v in (source, target)]
+    front, size, least = list(best), [1, 1], [0, 0]
+    most = 0 if source == target else None
+    while min(size) > 0 and (most is None or sum(least) < most):
+        k = int(size[1] < size[0])
+        step = front[k].join(ways[k], "vertex_id").groupBy(c("to").alias("vertex_id")).agg(F.min(c("dist") + c("w")).alias("new"))
+        moved = _cut(step.join(best[k], "vertex_id", "left").where("dist is null or new < dist").select("vertex_id", c("new").alias("dist")))
+        met = moved.join(best[1 - k].withColumnRenamed("dist", "rest"), "vertex_id").agg(F.min(c("dist") + c("rest"))).first()[0]
+        most = met if most is None or (met is not None and met < most) else most
+        best[k] = _cut(best[k].unionByName(moved).groupBy("vertex_id").agg(F.min("dist").alias("dist")))
+        front[k] = moved if most is None else moved.where(c("dist") + least[1 - k] < most)
+        size[k], low = front[k].agg(F.count("*"), F.min("dist")).first()
+        least[k] = low if low is not None else least[k]
+    return spark.createDataFrame([] if most is None else [(source, target, most)], "source long, target long, dist long")
+
+
 def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: str = "travel_time") -> DataFrame:
     """(source, target, dist) for every source (source) and target (target) that is reached, by the network's index."""
     return distances_among(index_of(edges, weight), sources.select("source").distinct(), targets.select("target").distinct())
@@ -362,35 +390,67 @@ def pair_networks(car: DataFrame, psg: DataFrame, car_vertices: DataFrame, psg_v
     return met.select(F.when(same, c("car_edge")).otherwise(bad).alias("car_edge"), "psg_edge")
 
 
-def nearest(points: DataFrame, vertices: DataFrame, cell: int) -> DataFrame:
-    """(id, vertex_id, d2): the vertex with the least squared distance in micro-degrees, ties by id.
+#: Vertices by whose places a tree of leaves is made, at most, and vertices that a leaf should have.
+TREE_SAMPLE, TREE_LEAF = 200_000, 128
+
+
+def nearest(points: DataFrame, vertices: DataFrame, within: float | None = None) -> DataFrame:
+    """(id, vertex_id, d2): the vertex with the least squared distance in micro-degrees, ties by id; with ``within``, only vertices not
+    farther by great circle, in metres.
 
-    Vertices go to grid cells; a point looks into its cell and the eight around it. Cells grow fourfold for the points whose
-    best isn't sure to be within them, up to cells as wide as everything, which hold the answer for any point; so every
-    point has a row, if there is a vertex.
+    Vertices go to the leaves of a tree that halves a sample of them again and again. A point meets the vertices of the leaf
+    whose box is nearest, and then those of other leaves whose boxes may hold a nearer one; so a point far from everything meets
+    few leaves, too. The tree has as many leaves as the sample allows, and their boxes are what tasks know of all vertices.
     """
-    spread = lambda rows: rows.agg(F.max("lat"), F.min("lat"), F.max("lng"), F.min("lng")).first()
-    a, b = spread(points), spread(vertices)
-    if a[0] is None or b[0] is None:
-        return points.select("id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("d2")).limit(0)
-    widest = max(max(a[0], b[0]) - min(a[1], b[1]), max(a[2], b[2]) - min(a[3], b[3])) + 1
-    open_, done = points, None
-    while True:
-        grid = vertices.select("vertex_id", c("lat").alias("v_lat"), c("lng").alias("v_lng"), F.floor(c("lat") / cell).alias("gy"), F.floor(c("lng") / cell).alias("gx"))
-        side = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        probes = open_.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side))
-        probes = probes.withColumn("gy", F.floor(c("lat") / cell) + c("dy")).withColumn("gx", F.floor(c("lng") / cell) + c("dx"))
-        d2 = (c("lat") - c("v_lat")) * (c("lat") - c("v_lat")) + (c("lng") - c("v_lng")) * (c("lng") - c("v_lng"))
-        best = probes.join(grid, ["gy", "gx"]).groupBy("id", "lat", "lng").agg(F.min(F.struct(d2.alias("d2"), "vertex_id")).alias("m"))
-        last = cell >= widest
-        sure = _cut((best if last else best.where(c("m.d2") <= cell * cell)).select("id", "m.vertex_id", "m.d2"))
-        done = sure if done is None else done.unionByName(sure)
-        if last:
-            return done
-        open_ = _cut(open_.join(sure, "id", "left_anti"))
-        if open_.isEmpty():
-            return done
-        cell *= 4
+    n = vertices.count()
+    share = min(1.0, TREE_SAMPLE / max(1, n))
+    sample = vertices.where(F.pmod(F.xxhash64("vertex_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lat", "lng").toPandas().to_numpy(np.float64)
+    depth = max(0, math.ceil(math.log2(max(1, min(n / TREE_LEAF, len(sample) / 8)))))
+    side, bound = bisections(sample, depth)
+
+    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            node, xy = np.ones(len(f), np.int64), f[["lat", "lng"]].to_numpy()
+            for _ in range(depth):
+                node = 2 * node + (xy[np.arange(len(f)), side[node]] >= bound[node])
+            yield f.assign(leaf=node)
+
+    placed = _cut(vertices.select("vertex_id", c("lat").cast("long"), c("lng").cast("long")).mapInPandas(leaves, "vertex_id long, lat long, lng long, leaf long"))
+    boxes = placed.groupBy("leaf").agg(F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng")).orderBy("leaf").toPandas().to_numpy(np.int64)
+
+    def squared(f: pd.DataFrame) -> np.ndarray:
+        """From each point to each box, 0 within it."""
+        out = np.zeros((len(f), len(boxes)), np.int64)
+        for n, low in (("lat", 1), ("lng", 3)):
+            v = f[n].to_numpy(np.int64)[:, None]
+            out += np.maximum(np.maximum(boxes[:, low] - v, v - boxes[:, low + 1]), 0) ** 2
+        return out
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f) if len(boxes) else 0, 256):
+                part = f.iloc[at : at + 256]
+                yield part.assign(leaf=boxes[squared(part).argmin(1), 0])
+
+    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 256):
+                part = f.iloc[at : at + 256]
+                i, j = np.nonzero((squared(part) <= part["d2"].to_numpy()[:, None]) & (boxes[:, 0] != part["leaf"].to_numpy()[:, None]))
+                yield part[["id", "lat", "lng"]].iloc[i].assign(leaf=boxes[j, 0])
+
+    there = placed.toDF("vertex_id", "v_lat", "v_lng", "leaf")
+    d2 = (c("lat") - c("v_lat")) * (c("lat") - c("v_lat")) + (c("lng") - c("v_lng")) * (c("lng") - c("v_lng"))
+    best = F.min(F.struct(d2.alias("d2"), "vertex_id", "v_lat", "v_lng")).alias("m")
+    asked = points.select(c("id").cast("long"), c("lat").cast("long"), c("lng").cast("long")).distinct()
+    found = asked.mapInPandas(first, "id long, lat long, lng long, leaf long").join(there, "leaf").groupBy("id", "lat", "lng", "leaf").agg(best)
+    found = _cut(found.select("id", "lat", "lng", "leaf", "m.*"))
+    more = found.select("id", "lat", "lng", "leaf", "d2").mapInPandas(others, "id long, lat long, lng long, leaf long").join(there, "leaf").groupBy("id", "lat", "lng").agg(best)
+    every = found.select("id", "lat", "lng", F.struct("d2", "vertex_id", "v_lat", "v_lng").alias("m")).unionByName(more)
+    out = every.groupBy("id", "lat", "lng").agg(F.min("m").alias("m"))
+    if within is not None:
+        out = out.where(great_circle(c("lat"), c("lng"), c("m.v_lat"), c("m.v_lng")) <= within)
+    return out.select("id", "m.vertex_id", "m.d2")
 
 
 #: Bands that faces are cut into by height.

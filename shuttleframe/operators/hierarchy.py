@@ -62,7 +62,7 @@ def _above(cell: Column, levels: Column | int) -> Column:
     return F.shiftright(cell, SPLITS * levels) if isinstance(levels, int) else F.floor(cell / F.pow(F.lit(2.0), SPLITS * levels)).cast("long")
 
 
-def _bisections(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def bisections(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Dimension and bound of each node of a tree that halves the points along the wider side, nodes numbered from 1 on."""
     side, bound = np.zeros(1 << depth, np.int8), np.zeros(1 << depth)
     parts = {1: sample}
@@ -94,7 +94,7 @@ def nested_order(edges: DataFrame, places: DataFrame | None = None) -> Order:
     taken = points.where(F.pmod(F.xxhash64("vertex_id"), F.lit(1 << 30)) < share * (1 << 30)).select("x", "y").toPandas().to_numpy()
     wanted = round(math.log2(max(1, n / LEAF)) / SPLITS)
     levels = max(0, min(wanted, int(math.log2(max(1, len(taken) / 8)) / SPLITS) if share < 1 else wanted))
-    side, bound = _bisections(taken, SPLITS * levels)
+    side, bound = bisections(taken, SPLITS * levels)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -232,6 +232,28 @@ def labels(index: Index, vertices: DataFrame) -> DataFrame:
     return cut(state.select("vertex_id", "back", "cells", "sizes", "far").union(none))
 
 
+def hub_rows(index: Index, vertices: DataFrame) -> DataFrame:
+    """(vertex_id, back, hub, dist): the hubs of vertices (vertex_id, back, most) within ``most``, a row for each; null doesn't bound.
+
+    Two vertices' distance is the least sum over the hubs that one has forwards and the other one backwards.
+    """
+    asked = vertices.groupBy("vertex_id", "back").agg(F.when(F.max(c("most").isNull()), None).otherwise(F.max("most")).alias("most"))
+    ends = asked.select("vertex_id", "back")
+    held = labels(index, ends) if index.labels is None else ends.join(index.labels, ["vertex_id", "back"])
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for v, back, cells, sizes, far in zip(f["vertex_id"], f["back"], f["cells"], f["sizes"], f["far"], strict=True):
+                parts = np.split(np.frombuffer(far, np.int64), np.cumsum(sizes)[:-1]) if len(cells) else []
+                out += [(v, back, int(cell), far.tolist()) for cell, far in zip(cells, parts, strict=True)]
+            yield pd.DataFrame(out, columns=["vertex_id", "back", "cell", "far"])
+
+    parts = held.mapInPandas(split, "vertex_id long, back boolean, cell long, far array<long>").join(index.cells.select("cell", "own"), "cell")
+    rows = parts.select("vertex_id", "back", F.explode(F.arrays_zip(c("own").alias("hub"), c("far").alias("dist"))).alias("h")).select("vertex_id", "back", "h.hub", "h.dist")
+    return rows.where(c("dist") < F.lit(int(INF))).join(asked, ["vertex_id", "back"]).where("most is null or dist <= most").drop("most")
+
+
 def _met(index: Index, sources: DataFrame, targets: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """(source, target, dist) of all sources (source) and targets (target), or of the pairs alone. Sources and targets are dealt to the rows and the
     columns of a grid, and each of its fields is a task's, so that no source or target with very many pairs is one task's."""

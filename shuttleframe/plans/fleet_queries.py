@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import network as N
+from ..operators import buckets as B
 from ..operators import cost as C
 from ..operators import dispatch as D
 from ..operators import graph as G
+from ..operators import hierarchy as H
 from ..operators import locations as P
 from ..operators import sampling as A
 from ..operators import schedule as S
+from ..storage import cut
 from . import fixtures as X
 from . import insertion_queries as I
 from .location_queries import RADIUS
@@ -63,14 +66,16 @@ def j07(spark, d) -> DataFrame:
     return P.dropoffs_at_stops(o, I.stops(spark, d))
 
 
-@query(
-    "j08_elliptic_join",
+ELLIPTIC = (
     I.ALL
     + f"""SELECT DISTINCT vehicle_id, stop_idx AS at, x.edge_id AS x, CASE WHEN st.location=x.edge_id THEN 0 ELSE a.d+x.travel_time END AS to_x, b.d+y.travel_time AS from_x
  FROM st JOIN (SELECT DISTINCT location FROM pk) l ON true JOIN edge x ON x.edge_id=l.location JOIN rt a ON a.t=x.tail AND a.v=st.head JOIN edge y ON y.edge_id=st.nl JOIN rt b ON b.t=y.tail AND b.v=x.head
  JOIN (SELECT vehicle_id, stop_idx, lead(dep) OVER (PARTITION BY vehicle_id ORDER BY stop_idx) AS ndep FROM rs) z USING (vehicle_id, stop_idx)
- WHERE st.nl<>x.edge_id AND CASE WHEN st.location=x.edge_id THEN 0 ELSE a.d+x.travel_time END+b.d+y.travel_time<=greatest(st.nmax, z.ndep)-st.dep-{T}""",
+ WHERE st.nl<>x.edge_id AND CASE WHEN st.location=x.edge_id THEN 0 ELSE a.d+x.travel_time END+b.d+y.travel_time<=greatest(st.nmax, z.ndep)-st.dep-{T}"""
 )
+
+
+@query("j08_elliptic_join", ELLIPTIC)
 def j08(spark, d) -> DataFrame:
     """Every pickup location with the legs whose leeway allows the way to it and on, and both ways."""
     e, _, p, _ = places(spark, d)
@@ -78,6 +83,19 @@ def j08(spark, d) -> DataFrame:
     return D.feasible_distances(e, legs, p.select(c("location").alias("x")))
 
 
+@query("u11_elliptic_by_buckets", ELLIPTIC)
+def u11(spark, d) -> DataFrame:
+    """The same by buckets that held other legs of two thirds of the fleet, and were changed in two batches."""
+    e, _, p, _ = places(spark, d)
+    legs = cut(D.route_legs(e, I.stops(spark, d), I.fleet(spark, d), I.K).where("next is not null"))
+    third = lambda k: legs.where(c("vehicle_id") % 3 == k)
+    old = third(1).withColumn("leeway", F.floor(c("leeway") / 2)).withColumn("stop_head", c("next_tail"))
+    table = B.Buckets.of(H.index_of(e), third(2).unionByName(old).unionByName(third(0).withColumn("vehicle_id", -1 - c("vehicle_id"))))
+    table.change(old, third(1))
+    table.change(third(0).withColumn("vehicle_id", -1 - c("vehicle_id")), third(0))
+    return B.feasible_by_buckets(table, e, legs, p.select(c("location").alias("x")))
+
+
 @query(
     "j09_feasible_distances",
     SQL["j08_elliptic_join"].replace("SELECT DISTINCT vehicle_id, stop_idx AS at, x.edge_id AS x,", "SELECT vehicle_id, \"at\", count(*) AS n, CAST(min(to_x) AS BIGINT) AS least_to, CAST(min(from_x) AS BIGINT) AS least_from FROM (SELECT DISTINCT vehicle_id, stop_idx AS at, x.edge_id AS x,") + ") GROUP BY 1, 2",

@@ -212,7 +212,7 @@ def a18(spark, d) -> DataFrame:
     lat, lng = 52_400_000 + k * 7919 % 45_000, 13_100_000 + k * 104_729 % 60_000
     cells = X.table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("("), lat, F.lit("|"), lng, F.lit(")")).alias("cell"))
     p = cells.select("id", N.pair(c("cell")).alias("p")).select("id", c("p.a").cast("long").alias("lat"), c("p.b").cast("long").alias("lng"))
-    near = G.nearest(p, X.vertices(spark, d), 2000).where("d2 <= 360000")
+    near = G.nearest(p, X.vertices(spark, d)).where("d2 <= 360000")
     own = X.edges(spark, d).where(N.open_to_cars(c("category")) & c("psg_edge_id").isNotNull()).groupBy(c("tail").alias("vertex_id")).agg(F.min("edge_id").alias("location"))
     return near.join(own, "vertex_id").select("id", "location")
 

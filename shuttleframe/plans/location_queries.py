@@ -69,7 +69,16 @@ def j07(spark, d) -> DataFrame:
     return P.at_stops(j03(spark, d), X.route_stops(spark, d))
 
 
-@query("g02_one_to_one", X.ctes("edge", recursive=True, more=SP) + "SELECT CAST(5 AS BIGINT) AS source, CAST(150 AS BIGINT) AS target, d AS dist FROM r WHERE s=5 AND v=150")
+ONE = X.ctes("edge", recursive=True, more=SP) + "SELECT CAST(5 AS BIGINT) AS source, CAST(150 AS BIGINT) AS target, d AS dist FROM r WHERE s=5 AND v=150"
+
+
+@query("g06_bidirectional", ONE)
+def g06(spark, d) -> DataFrame:
+    """From both ends, by joins."""
+    return G.one_to_one(X.edges(spark, d), 5, 150)
+
+
+@query("g02_one_to_one", ONE)
 def g02(spark, d) -> DataFrame:
     one = lambda v, name: spark.createDataFrame([(v,)], f"{name} long")
     return G.many_to_many(X.edges(spark, d), one(5, "source"), one(150, "target"))

@@ -321,7 +321,7 @@ POINTS = "p AS (SELECT c_custkey AS id, 52400000+(c_custkey*7919)%45000 AS lat,
 def g25(spark, d) -> DataFrame:
     k = X.L("c_custkey")
     p = X.table(spark, d, "customer").select(k.alias("id"), (52400000 + k * 7919 % 45000).alias("lat"), (13100000 + k * 104729 % 60000).alias("lng"))
-    return G.nearest(p, X.vertices(spark, d), 2000)
+    return G.nearest(p, X.vertices(spark, d))
 
 
 @query("g27_edge_at_vertex", E_SQL + "SELECT tail AS vertex_id, arg_min(edge_id, (length, edge_id)) AS edge_id FROM edge WHERE category<=13 GROUP BY tail")

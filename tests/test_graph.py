@@ -85,9 +85,23 @@ def test_paths_are_shortest(spark, monkeypatch, sent):
         assert at == b and total == d[a][b]
 
 
-def test_every_point_has_a_nearest_vertex(spark):
-    vertices = [(i, 10 * (i % 7), 13 * (i // 7)) for i in range(40)]
-    points = [(1, 0, 0), (2, 33, 41), (3, 10**9, -(10**9)), (4, -5000, 77)]
-    got = graph.nearest(spark.createDataFrame(points, "id long, lat long, lng long"), spark.createDataFrame(vertices, "vertex_id long, lat long, lng long"), 3)
+def test_both_ends_meet_at_the_shortest(spark):
+    edges, rows = network(spark, seed=11)
+    d = brute(rows)
+    for a, b in ((1, 2), (5, 40), (7, 7), (3, 11), (30, 8)):
+        assert [tuple(r) for r in graph.one_to_one(edges, a, b).collect()] == ([(a, b, d[a][b])] if d[a][b] < float("inf") else [])
+
+
+@pytest.mark.parametrize("leaf", [3, 1000])
+def test_every_point_has_a_nearest_vertex(spark, monkeypatch, leaf):
+    """Points amid the vertices, between them at ties, and far from all, on a tree of many leaves and of one."""
+    monkeypatch.setattr(graph, "TREE_LEAF", leaf)
+    vertices = [(i, 10 * (i % 7), 13 * (i // 7)) for i in range(60)] + [(100, 4000, -9000), (101, 4000, -9000)]
+    points = [(1, 0, 0), (2, 33, 41), (3, 10**9, -(10**9)), (4, -5000, 77), (5, 3900, -9100), (6, 5, 6), (6, 5, 6)] + [(10 + i, i * 7 % 80, i * 11 % 140) for i in range(40)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = made(points, "id long, lat long, lng long"), made(vertices, "vertex_id long, lat long, lng long")
     best = lambda p: min(((p[1] - y) ** 2 + (p[2] - x) ** 2, v) for v, y, x in vertices)
-    assert {r["id"]: (r["d2"], r["vertex_id"]) for r in got.collect()} == {p[0]: best(p) for p in points}
+    got = graph.nearest(*tables).collect()
+    assert {r["id"]: (r["d2"], r["vertex_id"]) for r in got} == {p[0]: best(p) for p in points} and len(got) == len({p[0] for p in points})
+    assert {r["id"] for r in graph.nearest(*tables, within=20.0).collect()} == {p[0] for p in points} - {3, 4}
+    assert graph.nearest(tables[0], tables[1].limit(0)).count() == graph.nearest(tables[0].limit(0), tables[1]).count() == 0

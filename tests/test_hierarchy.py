@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shuttleframe.operators import dispatch, graph, hierarchy
+from shuttleframe.operators import buckets, dispatch, graph, hierarchy
 
 from .test_graph import brute, network
 
@@ -75,3 +75,26 @@ def test_paths_of_legs_by_joins(spark, monkeypatch):
     sent = sorted(map(tuple, dispatch.leg_paths(edges, legs).collect()))
     monkeypatch.setattr(dispatch, "SENT_EDGES", 0)
     assert sorted(map(tuple, dispatch.leg_paths(edges, legs).collect())) == sent and len(sent) > 50
+
+
+def test_buckets_after_changes_equal_new_ones(spark, monkeypatch):
+    """Batches that move, take and add legs leave what a rebuild gives, and rewrite only the parts that they touch."""
+    monkeypatch.setattr(hierarchy, "LEAF", 4)
+    edges, _ = network(spark, seed=6)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    r = random.Random(4)
+    schema = "vehicle_id long, at long, stop_head long, next_tail long, leeway long"
+    leg = lambda v, k: (v, k, r.randrange(60), r.randrange(60), r.randrange(25))
+    now = {(v, k): leg(v, k) for v in range(12) for k in range(2)}
+    made = lambda legs: spark.createDataFrame(sorted(legs), schema)
+    table = buckets.Buckets.of(index, made(now.values()))
+    for _ in range(3):
+        gone = [now.pop(x) for x in r.sample(sorted(now), 6)]
+        new = {x: leg(*x) for x in [*((g[0], g[1]) for g in gone[:4]), (100 + r.randrange(99), 0)]}
+        table.change(made(gone), made(new.values()))
+        now |= new
+        want = sorted(map(tuple, buckets.entries(index, made(now.values())).collect()))
+        got = table.rows(spark)
+        assert sorted(map(tuple, got.select("hub", "onward", "vehicle_id", "at", "dist").collect())) == want and want
+    table.change(made(now.values()), made([(1, 0, 999, 999, 5)]))
+    assert table.rows(spark).isEmpty()
