@@ -264,8 +264,10 @@ def _met(index: Index, sources: DataFrame, targets: DataFrame, pairs: DataFrame
     if index.labels is None:
         ends = labels(index, ends)
     else:
-        none = {"cells": F.array().cast("array<long>"), "sizes": F.array().cast("array<int>"), "far": F.lit(b"")}
-        ends = cut(ends.join(index.labels, ["vertex_id", "back"], "left").withColumns({x: F.coalesce(x, v) for x, v in none.items()}))
+        # Few of the labels are asked for; a vertex that isn't in the network has none, but a distance to itself.
+        ends = cut(ends)
+        none = [F.array().cast("array<long>").alias("cells"), F.array().cast("array<int>").alias("sizes"), F.lit(b"").alias("far")]
+        ends = cut(ends.join(index.labels, ["vertex_id", "back"]).union(ends.join(index.order.vertices, "vertex_id", "left_anti").select("vertex_id", "back", *none)))
     sizes = {r["back"]: r["n"] for r in ends.groupBy("back").agg(F.count("*").alias("n")).collect()}
     # Two sides of some partitions' square root at least; more where a side has many labels.
     least = max(1, math.isqrt(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -10,7 +10,7 @@ from .test_graph import brute, network
 
 
 @pytest.mark.parametrize("places", [False, True])
-@pytest.mark.parametrize("leaf", [3, 1000])
+@pytest.mark.parametrize("leaf", [1, 1000])
 def test_distances_equal_brute_force(spark, monkeypatch, leaf, places):
     monkeypatch.setattr(hierarchy, "LEAF", leaf)
     monkeypatch.setattr(hierarchy, "TOGETHER", 7)
@@ -19,7 +19,7 @@ def test_distances_equal_brute_force(spark, monkeypatch, leaf, places):
     r = random.Random(5)
     at = spark.createDataFrame([(v, r.randrange(9), r.randrange(9)) for v in range(50)], "vertex_id long, x long, y long") if places else None
     order = hierarchy.nested_order(edges, at)
-    assert (order.levels > 1) == (leaf == 3)
+    assert (order.levels > 1) == (leaf == 1)
     index = hierarchy.contracted(order, edges)
     pairs = [(a, b) for a in range(0, 60, 7) for b in range(0, 60, 3)] + [(0, 0), (0, 3), (0, 3), (999, 1), (1, 999), (999, 999)]
     far = lambda a, b: 0 if a == b else d[a][b] if max(a, b) < 60 else float("inf")
@@ -32,7 +32,7 @@ def test_distances_equal_brute_force(spark, monkeypatch, leaf, places):
 
 
 def test_another_weight_on_the_same_order(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "LEAF", 4)
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
     edges, rows = network(spark, seed=8)
     edges = edges.selectExpr("*", "if(edge_id % 9 = 0, null, edge_id * 7 % 11) length")
     order = hierarchy.nested_order(edges)
@@ -45,7 +45,7 @@ def test_another_weight_on_the_same_order(spark, monkeypatch):
 
 def test_hubs_part_the_cells(spark, monkeypatch):
     """No edge joins two cells neither of which is above the other."""
-    monkeypatch.setattr(hierarchy, "LEAF", 3)
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
     edges, rows = network(spark)
     home = {r["vertex_id"]: r["cell"] for r in hierarchy.nested_order(edges).vertices.collect()}
     for _, t, h, _ in rows:
@@ -79,7 +79,7 @@ def test_paths_of_legs_by_joins(spark, monkeypatch):
 
 def test_buckets_after_changes_equal_new_ones(spark, monkeypatch):
     """Batches that move, take and add legs leave what a rebuild gives, and rewrite only the parts that they touch."""
-    monkeypatch.setattr(hierarchy, "LEAF", 4)
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
     edges, _ = network(spark, seed=6)
     index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
     r = random.Random(4)
