@@ -154,7 +154,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model()
     names = sorted(odds)
     index = {f: i for i, f in enumerate(names)}
-    # Chains cut to windows around weighted tokens: a tag needs a feature, and between windows no token is toxic.
+    # A tag needs a feature: tokens without one are plain in every chain.
     own = {t: [index[f] for f in features(t) if f in index] for t in same}
     found = [[(i, own[t]) for i, t in enumerate(words) if own[t]] for words in tokens]
     tags = [[int(bool(y) and max(odds[names[j]] for j in ids) >= FIRST_ODDS) for _, ids in marked] for marked, y in zip(found, labels, strict=True)]
@@ -174,66 +174,143 @@ def _again(model: Model, names: list[str], n: int, marked: list[tuple[int, list[
     return (p >= min(0.5, p.max())).astype(int).tolist()
 
 
-def _train(chains: list, names: list[str]) -> Model:
-    """Gradient ascent on the log-likelihood of the tags, over all chains at once, cut to windows of eight tokens."""
-    span, width = 8, 6
-    blocks, tags = [], []
+@dataclass
+class Joined:
+    """Whole chains one after another: their tokens with features, the first and the last one, and the runs of plain tokens between.
+
+    ``kind`` numbers the way to each of these tokens from the one before: 0 from another chain, else ``gaps[kind - 1]`` plain
+    tokens. Features are pairs (``at``, ``feature``); ``seen`` counts the transitions of the tags, where plain tokens are 0.
+    """
+
+    kind: np.ndarray
+    gaps: np.ndarray
+    at: np.ndarray
+    feature: np.ndarray
+    tags: np.ndarray
+    seen: np.ndarray
+
+
+def joined(chains: list[tuple[int, list[tuple[int, list[int]]], list[int]]]) -> Joined:
+    """``chains``: tokens, (place, features) of those with features, and their tags."""
+    gap, at, feature, tags, seen = [], [], [], [], np.zeros((2, 2))
     for n, marked, tag in chains:
         by = {i: (ids, y) for (i, ids), y in zip(marked, tag, strict=True)}
-        starts = sorted({max(0, min(n - 1, i - i % span)) for i in by}) or [0]
-        for s in starts:
-            length = min(span, n - s)
-            row, y = np.full((span, width), -1, np.int32), np.full(span, -1, np.int8)
-            y[:length] = 0
-            for k in range(length):
-                if s + k in by:
-                    ids, t = by[s + k]
-                    row[k, : min(width, len(ids))] = ids[:width]
-                    y[k] = t
-            blocks.append(row)
+        before = None
+        for i in sorted({0, n - 1} | by.keys()):
+            ids, y = by.get(i, ((), 0))
+            at.extend([len(tags)] * len(ids))
+            feature.extend(ids)
+            if before is None:
+                gap.append(-1)
+            else:
+                plain = i - before - 1
+                gap.append(plain)
+                if plain:
+                    seen[tags[-1], 0] += 1
+                    seen[0, 0] += plain - 1
+                    seen[0, y] += 1
+                else:
+                    seen[tags[-1], y] += 1
             tags.append(y)
-    x, y = np.stack(blocks), np.stack(tags)
-    there = y >= 0
-    w, trans, bias = np.zeros(len(names) + 1), np.zeros((2, 2)), -3.0
-    moment = [np.zeros_like(w), np.zeros_like(trans), 0.0]
-    square = [np.zeros_like(w), np.zeros_like(trans), 0.0]
-    n, steps = len(x), x.shape[1]
-    tagged = np.where(there, y, 0)
+            before = i
+    every, kind = np.unique(np.array([-1, *gap], np.int64), return_inverse=True)
+    return Joined(kind[1:], every[1:], np.array(at, np.int64), np.array(feature, np.int64), np.array(tags, float), seen)
+
+
+def _links(trans: np.ndarray, bias: float, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of plain tokens the matrix of their steps and the last one, up to a factor, and its logarithm's derivatives
+    by the four transitions and the bias."""
+    hop, plain = np.exp(trans), np.diag([1.0, math.exp(bias)])
+    d_hop = np.zeros((5, 2, 2))
+    for k in range(4):
+        d_hop[k, k // 2, k % 2] = hop[k // 2, k % 2]
+    base, d_base = hop @ plain, d_hop @ plain
+    d_base[4] = hop @ np.diag([0.0, math.exp(bias)])
+    top = np.abs(np.linalg.eigvals(base)).max()
+    base, d_base = base / top, d_base / top
+    power, d_power = np.tile(np.eye(2), (len(gaps), 1, 1)), np.zeros((len(gaps), 5, 2, 2))
+    rest = gaps.copy()
+    while rest.any():
+        odd = rest % 2 == 1
+        d_power[odd] = d_power[odd] @ base + power[odd][:, None] @ d_base
+        power[odd] = power[odd] @ base
+        base, d_base = base @ base, d_base @ base + base @ d_base
+        rest //= 2
+    link = power @ hop
+    return link, (d_power @ hop + power[:, None] @ d_hop) / link[:, None]
+
+
+def _through(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``start`` times the first 1, 2, ... of the 2x2 matrices (4 rows, one column each), each product scaled to the sum 1.
+
+    Blocks are multiplied side by side, and the same is done with their products, so a chain of any length takes few steps.
+    """
+    n, size = steps.shape[1], 64
+    if n <= size:
+        out, (p, q) = np.empty((2, n)), start
+        for i, (a, b, c, d) in enumerate(steps.T.tolist()):
+            p, q = p * a + q * c, p * b + q * d
+            p, q = p / (p + q), q / (p + q)
+            out[0, i], out[1, i] = p, q
+        return out
+    blocks = -(-n // size)
+    x = np.zeros((4, blocks * size))
+    x[0], x[3] = 1.0, 1.0
+    x[:, :n] = steps
+    x = np.ascontiguousarray(x.reshape(4, blocks, size).transpose(2, 0, 1))
+    product = x[0]
+    for a, b, c, d in x[1:]:
+        e, f, g, h = product
+        product = np.stack([e * a + f * c, e * b + f * d, g * a + h * c, g * b + h * d])
+        product /= product.sum(0)
+    state = np.empty((2, blocks))
+    state[:, 0] = start
+    state[:, 1:] = _through(product[:, :-1], start)
+    out = np.empty((size, 2, blocks))
+    for k, (a, b, c, d) in enumerate(x):
+        state = np.stack([state[0] * a + state[1] * c, state[0] * b + state[1] * d])
+        state /= state.sum(0)
+        out[k] = state
+    return out.transpose(1, 2, 0).reshape(2, -1)[:, :n]
+
+
+def gradient(x: Joined, w: np.ndarray, trans: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Derivatives of the tags' log-likelihood, over whole chains, by weights, transitions and bias."""
+    n = len(x.tags)
+    potential = np.exp(np.clip(bias + np.bincount(x.at, w[x.feature], n), -30, 30))
+    link, d_link = _links(trans, bias, x.gaps)
+    ways = np.concatenate([np.ones((1, 4)), link.reshape(-1, 4)])[x.kind].T
+    steps = ways.copy()
+    steps[1] *= potential
+    steps[3] *= potential
+    forward = _through(steps, np.array([0.5, 0.5]))
+    backward = np.full((2, n), 0.5)
+    backward[:, :-1] = _through(steps[[0, 2, 1, 3]][:, :0:-1], np.array([0.5, 0.5]))[:, ::-1]
+    both = forward * backward
+    toxic = both[1] / both.sum(0)
+    pairs = forward[[0, 0, 1, 1], :-1] * steps[:, 1:] * backward[[0, 1, 0, 1], 1:]
+    pairs /= pairs.sum(0)
+    sums = np.stack([np.bincount(x.kind[1:], p, len(x.gaps) + 1)[1:] for p in pairs], 1).reshape(-1, 1, 2, 2)
+    inside = (sums * d_link).sum((0, 2, 3))
+    miss = x.tags - toxic
+    return np.bincount(x.feature, miss[x.at], len(w)), x.seen - inside[:4].reshape(2, 2), float(miss.sum() - inside[4])
+
+
+def _train(chains: list, names: list[str]) -> Model:
+    """Gradient ascent on the log-likelihood of the tags, over all tokens of all chains at once."""
+    x = joined(chains)
+    values: list = [np.zeros(len(names)), np.zeros((2, 2)), -3.0]
+    moment, square = [0.0 * v for v in values], [0.0 * v for v in values]
+    n = len(x.tags)
     for epoch in range(1, EPOCHS + 1):
-        w[-1] = 0.0
-        u = bias + w[x].sum(2)
-        unary = np.where(there, np.exp(np.clip(u, -30, 30)), 0.0)
-        stay = np.where(there, 1.0, 1.0)
-        hop = np.exp(trans)
-        alpha, beta = np.empty((n, steps, 2)), np.ones((n, steps, 2))
-        alpha[:, 0] = np.stack([stay[:, 0], unary[:, 0]], 1)
-        alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
-        for k in range(1, steps):
-            a = alpha[:, k - 1] @ hop * np.stack([stay[:, k], unary[:, k]], 1)
-            alpha[:, k] = np.where(there[:, k, None], a / a.sum(1, keepdims=True), alpha[:, k - 1])
-        pair = np.zeros((2, 2))
-        for k in range(steps - 1, 0, -1):
-            at = np.stack([stay[:, k], unary[:, k]], 1) * beta[:, k]
-            joint = alpha[:, k - 1, :, None] * hop[None] * at[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pair += joint[there[:, k]].sum(0)
-            b = at @ hop.T
-            beta[:, k - 1] = np.where(there[:, k, None], b / b.sum(1, keepdims=True), beta[:, k - 1])
-        gamma = alpha * beta
-        p = np.where(there, gamma[..., 1] / gamma.sum(2), 0.0)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (tagged[:, :-1][there[:, 1:]], tagged[:, 1:][there[:, 1:]]), 1)
-        miss = np.where(there, tagged - p, 0.0)
-        grad_w = np.zeros_like(w)
-        np.add.at(grad_w, x, np.broadcast_to(miss[..., None], x.shape))
-        grads = [grad_w / n - 1e-5 * w, (seen - pair) / n - 1e-4 * trans, miss.sum() / n]
-        new = []
-        for i, (value, g) in enumerate(zip((w, trans, bias), grads, strict=True)):
+        by_weight, by_hop, by_bias = gradient(x, *values)
+        grads = [by_weight / n - 1e-5 * values[0], by_hop / n - 1e-4 * values[1], by_bias / n]
+        for i, g in enumerate(grads):
             moment[i] = 0.9 * moment[i] + 0.1 * g
             square[i] = 0.99 * square[i] + 0.01 * g * g
-            new.append(value + 0.15 * moment[i] / (1 - 0.9**epoch) / (np.sqrt(square[i] / (1 - 0.99**epoch)) + 1e-8))
-        w, trans, bias = new[0], new[1], float(new[2])
-    return Model({f: float(v) for f, v in zip(names, w, strict=False)}, trans, bias)
+            values[i] = values[i] + 0.15 * moment[i] / (1 - 0.9**epoch) / (np.sqrt(square[i] / (1 - 0.99**epoch)) + 1e-8)
+    w, trans, bias = values
+    return Model({f: float(v) for f, v in zip(names, w, strict=True)}, trans, float(bias))
 
 
 def tag(model: Model, tokens: list[str], memory: dict[str, float | None]) -> tuple[np.ndarray, np.ndarray]:

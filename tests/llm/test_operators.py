@@ -490,6 +490,100 @@ def test_crf_marginals_equal_enumeration():
         np.exp(sum(m.bias * a for a in y) + sum(m.transitions[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=4))))
 
 
+def _by_enumeration(chains, w, trans, bias):
+    """The tags' log-likelihood, by all taggings of every chain."""
+    from itertools import product
+
+    total = 0.0
+    for n, marked, tags in chains:
+        u = np.full(n, bias)
+        for i, ids in marked:
+            u[i] += w[ids].sum()
+        own = np.zeros(n, int)
+        own[[i for i, _ in marked]] = tags
+        weigh = lambda y: sum(u[i] * y[i] for i in range(n)) + sum(trans[a, b] for a, b in zip(y, y[1:]))
+        total += weigh(own) - np.log(sum(np.exp(weigh(y)) for y in product((0, 1), repeat=n)))
+    return total
+
+
+def _by_differences(likelihood, w, trans, bias, step=1e-5):
+    flat = np.concatenate([w, trans.ravel(), [bias]])
+    cut = lambda v: (v[: len(w)], v[len(w) : -1].reshape(2, 2), v[-1])
+    unit = np.eye(len(flat)) * step
+    return np.array([(likelihood(*cut(flat + e)) - likelihood(*cut(flat - e))) / (2 * step) for e in unit])
+
+
+def test_crf_gradient_equals_enumeration():
+    from shuttleframe.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    # Neighbours across any border of eight, both ends marked and not, one token, no marked token at all.
+    chains = [(9, [(7, [0, 2]), (8, [1])], [1, 1]), (7, [(1, [0]), (2, [2]), (5, [1, 2])], [1, 0, 1]), (1, [(0, [1])], [1]), (1, [], []), (6, [], []), (3, [(0, [0]), (1, [0]), (2, [0])], [0, 1, 0])]
+    for _ in range(3):
+        w, trans, bias = rng.normal(size=3), rng.normal(size=(2, 2)), float(rng.normal())
+        got = toxicity.gradient(toxicity.joined(chains), w, trans, bias)
+        want = _by_differences(lambda *v: _by_enumeration(chains, *v), w, trans, bias)
+        assert np.allclose(np.concatenate([got[0], got[1].ravel(), [got[2]]]), want, atol=1e-6)
+
+
+def test_crf_gradient_of_long_chains():
+    """Chains far over a block of ``_through``, with short and long runs of plain tokens, against the log partition of ``marginals``."""
+    from shuttleframe.llm import toxicity
+
+    rng = np.random.default_rng(6)
+    chains = []
+    for n in (40_000, 9_000, 3):
+        places = np.sort(rng.choice(n, n // 3, replace=False))
+        places = places[(places < n // 4) | (places > n // 2)]
+        chains.append((n, [(int(i), [int(i) % 4, 4]) for i in places], rng.integers(0, 2, len(places)).tolist()))
+
+    def likelihood(w, trans, bias):
+        total = 0.0
+        model = toxicity.Model(transitions=trans, bias=bias)
+        for n, marked, tags in chains:
+            at = np.array([i for i, _ in marked], np.int64)
+            u = np.array([bias + w[ids].sum() for _, ids in marked])
+            own = np.zeros(n, int)
+            own[at] = tags
+            total += (u * np.array(tags)).sum() + trans[own[:-1], own[1:]].sum() - toxicity.marginals(model, n, at, u)[1]
+        return total
+
+    w, trans, bias = rng.normal(size=5), rng.normal(size=(2, 2)), -0.7
+    got = toxicity.gradient(toxicity.joined(chains), w, trans, bias)
+    want = _by_differences(likelihood, w, trans, bias, 1e-4)
+    assert np.allclose(np.concatenate([got[0], got[1].ravel(), [got[2]]]), want, rtol=1e-5, atol=1e-2)
+
+
+def test_crf_fit_does_not_depend_on_places():
+    """Two toxic neighbours teach the same wherever they stand, but for what nearer ends change in the steps of the fit."""
+    from shuttleframe.llm import toxicity
+
+    fits = [toxicity._train([(40, [(k, [0]), (k + 1, [0])], [1, 1])] * 30 + [(40, [], [])] * 30, ["w=x"]) for k in (6, 7, 8, 20)]
+    for m in fits:
+        assert np.allclose(m.transitions, fits[0].transitions, atol=0.05) and m.transitions[1, 1] > m.transitions[0, 1]
+
+
+def test_toxicity_score_equals_enumeration(spark):
+    from itertools import product
+
+    from shuttleframe.llm import toxicity
+
+    m = toxicity.Model({"w=idiot": 3.0, "p4=stup": 1.5, "s4=rons": 2.0}, np.array([[0.2, -0.4], [-0.1, 0.9]]), -1.5, (1.2, 0.3, -1.0))
+    said = ["you idiot", "a stupid idiot, and all the morons there", "stupid", "plain words of no weight", "", None, "Idiot IDIOT idiot"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), m, ["doc_id"]).collect()}
+    for i, text in enumerate(said):
+        tokens = re.findall(r"[a-z]+", (text or "").lower())
+        found = [[m.weights[f] for f in toxicity.features(t) if f in m.weights] for t in tokens]
+        n, z, p = len(tokens), 0.0, np.zeros(len(tokens))
+        for y in product((0, 1), repeat=n):
+            weight = np.exp(sum((m.bias + sum(found[k])) * y[k] for k in range(n)) + sum(m.transitions[a, b] for a, b in zip(y, y[1:])))
+            z += weight
+            p += weight * np.array(y)
+        expected = sum(p[k] / z for k in range(n) if found[k])
+        a, b = np.log1p(expected), np.log1p(1000 * expected / (n + 20))
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(1.2 * a + 0.3 * b - 1.0))))
+
+
 def test_toxicity_awkward_rows(spark, docs, rows, empty):
     from shuttleframe.llm import toxicity
 
