@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .graph import dijkstra_rank, distances, numbered
 
 c = F.col
@@ -23,6 +26,34 @@ def from_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(edges, one.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")))
 
 
+#: How often a bound on searches is doubled before they go without one.
+DOUBLED = 6
+
+
+def until(edges: DataFrame, sources: DataFrame, done: Callable[[DataFrame], DataFrame], edges_far: int) -> DataFrame:
+    """(source, vertex_id, dist) from every different ``source``, as far as it takes: all vertices within a bound that ``done`` is content with.
+
+    ``done`` takes such rows and gives the sources (source) that need no more. The first bound is the mean travel time of ``edges_far``
+    edges; sources that aren't done search on within twice the bound, and at last without any, so what no bound finds is found, too.
+    """
+    mean = edges.agg(F.avg("travel_time")).first()[0] or 0
+    left, out = cut(sources.select("source").distinct()), None
+    for bound in [*(max(1, int(mean * edges_far)) << k for k in range(DOUBLED + 1)), None]:
+        found = cut(distances(edges, left.select("source", c("source").alias("vertex_id"), F.lit(0).cast("long").alias("dist")), bound))
+        ready = cut(done(found).select("source").distinct()) if bound is not None else left
+        kept = found.join(ready, "source", "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+        left = cut(left.join(ready, "source", "left_anti"))
+        if left.isEmpty():
+            break
+    return out
+
+
+def more_than(rank: Column | int) -> Callable[[DataFrame], DataFrame]:
+    """For ``until``: sources with more than ``rank`` vertices, a number or a column that is the same in all rows of a source."""
+    return lambda found: found.withColumn("rank", F.lit(rank)).groupBy("source").agg(F.count("*").alias("n"), F.max("rank").alias("rank")).where("n > rank")
+
+
 def at_rank(found: DataFrame, rank: int) -> DataFrame:
     """(source, vertex_id, dist) of the vertex that a search settles as number ``rank`` (the source is number 0)."""
     return dijkstra_rank(found).where(c("rank") == rank).select("source", "vertex_id", "dist")
@@ -42,9 +73,9 @@ def nearest_other(found: DataFrame, eligible: Column) -> DataFrame:
 
 def avoiding(edges: DataFrame, pairs: DataFrame, eligible: Column) -> DataFrame:
     """(id, origin, destination) whose destinations differ from their origins: where they are the same vertex, the destination is the
-    nearest other one that is eligible. One search for each such vertex."""
+    nearest other one that is eligible. One search for each such vertex, which ends there."""
     same = pairs.where("origin = destination").select(c("destination").alias("source")).distinct()
-    other = nearest_other(from_sources(edges, same), eligible).select(c("source").alias("origin"), c("vertex_id").alias("__other"))
+    other = nearest_other(until(edges, same, lambda found: nearest_other(found, eligible), 2), eligible).select(c("source").alias("origin"), c("vertex_id").alias("__other"))
     rows = pairs.join(other, "origin", "left")
     return rows.select("id", "origin", F.when(c("origin") == c("destination"), c("__other")).otherwise(c("destination")).alias("destination"))
 

@@ -134,9 +134,13 @@ SOURCES = """src AS (SELECT DISTINCT (s_suppkey*53+7)%n AS s FROM supplier CROSS
 FROM_SOURCES = X.ctes("edge", recursive=True, more=SOURCES)
 
 
-def found(spark, d) -> DataFrame:
+def sources(spark, d) -> DataFrame:
     n = X.vertices(spark, d).count()
-    return A.from_sources(X.edges(spark, d), X.table(spark, d, "supplier").select(((X.L("s_suppkey") * 53 + 7) % n).alias("source")))
+    return X.table(spark, d, "supplier").select(((X.L("s_suppkey") * 53 + 7) % n).alias("source"))
+
+
+def found(spark, d) -> DataFrame:
+    return A.from_sources(X.edges(spark, d), sources(spark, d))
 
 
 @query("g03_simultaneous_searches", FROM_SOURCES + "SELECT s AS source, count(*) AS reached, max(d) AS farthest, CAST(sum(d) AS BIGINT) AS total FROM r GROUP BY s")
@@ -152,17 +156,18 @@ def g24(spark, d) -> DataFrame:
 
 @query("g26_nearest_other_vertex", FROM_SOURCES + "SELECT s AS source, m.v AS vertex_id, m.d AS dist FROM (SELECT s, min({'d': d, 'v': v}) AS m FROM r WHERE v<>s AND v%3=0 GROUP BY s)")
 def g26(spark, d) -> DataFrame:
-    return A.nearest_other(found(spark, d), c("vertex_id") % 3 == 0)
+    third = c("vertex_id") % 3 == 0
+    return A.nearest_other(A.until(X.edges(spark, d), sources(spark, d), lambda rows: A.nearest_other(rows, third), 2), third)
 
 
 @query("a16_pairs_by_rank", FROM_SOURCES + "SELECT s AS source, v AS vertex_id, d AS dist FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v)-1 AS k FROM r) WHERE k=64")
 def a16_rank(spark, d) -> DataFrame:
-    return A.at_rank(found(spark, d), 64)
+    return A.at_rank(A.until(X.edges(spark, d), sources(spark, d), A.more_than(64), 5), 64)
 
 
 @query("a16_pairs_by_distance", FROM_SOURCES + "SELECT s AS source, m.v AS vertex_id, m.d AS dist FROM (SELECT s, min({'d': d, 'v': v}) AS m FROM r WHERE d>=1500 GROUP BY s)")
 def a16_distance(spark, d) -> DataFrame:
-    return A.at_distance(found(spark, d), 1500)
+    return A.at_distance(A.until(X.edges(spark, d), sources(spark, d), lambda rows: A.at_distance(rows, 1500), 8), 1500)
 
 
 @query("a16_uniform_pairs", X.ctes("edge", more="pool AS (SELECT edge_id, row_number() OVER (ORDER BY edge_id)-1 AS k, count(*) OVER () AS m FROM edge WHERE category<=13)") + "SELECT c_custkey AS id, a.edge_id AS origin, b.edge_id AS destination FROM customer JOIN pool a ON a.k=(c_custkey*7919+13)%a.m JOIN pool b ON b.k=(c_custkey*104729+31)%b.m")
