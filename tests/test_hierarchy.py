@@ -98,3 +98,14 @@ def test_buckets_after_changes_equal_new_ones(spark, monkeypatch):
         assert sorted(map(tuple, got.select("hub", "onward", "vehicle_id", "at", "dist").collect())) == want and want
     table.change(made(now.values()), made([(1, 0, 999, 999, 5)]))
     assert table.rows(spark).isEmpty()
+
+
+def test_large_networks_keep_no_labels(spark, monkeypatch):
+    """Labels of all vertices take far more room than the network; beyond KEPT vertices only those asked for are made."""
+    monkeypatch.setattr(hierarchy, "KEPT", 20)
+    edges, rows = network(spark, seed=29)
+    d = brute(rows)
+    assert hierarchy.index_of(edges).labels is None
+    pairs = [(a, b) for a in range(0, 60, 11) for b in range(0, 60, 7)]
+    found = graph.pair_distances(edges, spark.createDataFrame(pairs, "source long, target long")).collect()
+    assert {(r["source"], r["target"]): r["dist"] for r in found} == {(a, b): d[a][b] for a, b in pairs if d[a][b] < float("inf")}
