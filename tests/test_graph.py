@@ -105,3 +105,12 @@ def test_every_point_has_a_nearest_vertex(spark, monkeypatch, leaf):
     assert {r["id"]: (r["d2"], r["vertex_id"]) for r in got} == {p[0]: best(p) for p in points} and len(got) == len({p[0] for p in points})
     assert {r["id"] for r in graph.nearest(*tables, within=20.0).collect()} == {p[0] for p in points} - {3, 4}
     assert graph.nearest(tables[0], tables[1].limit(0)).count() == graph.nearest(tables[0].limit(0), tables[1]).count() == 0
+
+
+def test_points_go_down_a_deep_tree(spark, monkeypatch):
+    """With leaves of one vertex, some of them empty."""
+    monkeypatch.setattr(graph, "TREE_LEAF", 1)
+    points = spark.createDataFrame([(i, i * 37 % 900, i * 53 % 900) for i in range(50)], "id long, lat long, lng long")
+    vertices = [(i, i * 71 % 997, i * 29 % 991) for i in range(400)]
+    got = {r["id"]: (r["d2"], r["vertex_id"]) for r in graph.nearest(points, spark.createDataFrame(vertices, "vertex_id long, lat long, lng long")).collect()}
+    assert got == {i: min(((i * 37 % 900 - y) ** 2 + (i * 53 % 900 - x) ** 2, v) for v, y, x in vertices) for i in range(50)}
