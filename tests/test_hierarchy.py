@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shuttleframe.operators import buckets, dispatch, graph, hierarchy
+from shuttleframe.plans import fixtures
 
 from .test_graph import brute, network
 
@@ -109,3 +111,48 @@ def test_large_networks_keep_no_labels(spark, monkeypatch):
     pairs = [(a, b) for a in range(0, 60, 11) for b in range(0, 60, 7)]
     found = graph.pair_distances(edges, spark.createDataFrame(pairs, "source long, target long")).collect()
     assert {(r["source"], r["target"]): r["dist"] for r in found} == {(a, b): d[a][b] for a, b in pairs if d[a][b] < float("inf")}
+
+
+def test_the_derived_network_is_as_large_as_it_is(spark):
+    """Spark must not take the edges for a small table: what it does is sent whole by way of the driver."""
+    edges = fixtures.edges(spark, "/root/testdata/sf0.01")
+    parts = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_size")
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(edges) > 4 * size(parts)
+    assert edges is fixtures.edges(spark, "/root/testdata/sf0.01")
+
+
+def test_labels_are_made_once_for_each_vertex(spark, monkeypatch):
+    """An index without all labels makes those that weren't asked for before, and others are as before."""
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
+    edges, rows = network(spark, seed=31)
+    d = brute(rows)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    for pairs in ([(1, 2), (3, 999)], [(1, 2), (1, 4)], [(2, 1), (5, 5)], [(1, 4)]):
+        found = hierarchy.distances_between(index, spark.createDataFrame(pairs, "source long, target long")).collect()
+        assert {(r["source"], r["target"]): r["dist"] for r in found} == {(a, b): d[a][b] for a, b in pairs if b < 60 and d[a][b] < float("inf")}
+    made = [(r["vertex_id"], r["back"]) for t in index.made for r in t.collect()]
+    assert sorted(made) == sorted({(1, False), (2, True), (3, False), (999, True), (4, True), (2, False), (1, True), (5, False), (5, True)})
+
+
+def test_pairs_dealt_by_a_number(spark, monkeypatch):
+    """Pairs with one number meet in one task; a label goes where its pairs do, and nowhere else. Distances may need 64 bits."""
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
+    edges, rows = network(spark, seed=32)
+    edges = edges.withColumn("travel_time", F.col("travel_time") * (1 << 30))
+    d = brute(rows)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    pairs = [(a, b, a % 3) for a in range(0, 60, 5) for b in range(0, 60, 9)] + [(0, 9, 7)]
+    found = hierarchy.distances_between(index, spark.createDataFrame(pairs, "source long, target long, part long")).collect()
+    assert sorted((r["source"], r["target"], r["dist"]) for r in found) == sorted({(a, b, d[a][b] << 30) for a, b, _ in pairs if d[a][b] < float("inf")})
+
+
+def test_a_field_gives_its_distances_some_sources_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "AT_ONCE", 3)
+    edges, rows = network(spark, seed=33)
+    d = brute(rows)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    held = hierarchy.labels(index, spark.createDataFrame([(v, b) for v in range(10) for b in (False, True)], "vertex_id long, back boolean"))
+    parts = list(hierarchy._all_met(iter([held.withColumn("most", F.lit(None).cast("double")).toPandas()])))
+    assert max(p["source"].nunique() for p in parts) == 3
+    assert {(s, t): x for p in parts for s, t, x in p.itertuples(index=False)} == {(a, b): d[a][b] for a in range(10) for b in range(10) if d[a][b] < float("inf")}
