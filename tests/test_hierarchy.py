@@ -156,3 +156,46 @@ def test_a_field_gives_its_distances_some_sources_at_a_time(spark, monkeypatch):
     parts = list(hierarchy._all_met(iter([held.withColumn("most", F.lit(None).cast("double")).toPandas()])))
     assert max(p["source"].nunique() for p in parts) == 3
     assert {(s, t): x for p in parts for s, t, x in p.itertuples(index=False)} == {(a, b): d[a][b] for a in range(10) for b in range(10) if d[a][b] < float("inf")}
+
+
+@pytest.mark.parametrize("shift", [0, 29])
+def test_two_weights_meet_in_one_task(spark, monkeypatch, shift):
+    """Both distances of all pairs in one row, of those that both weights connect, in 32 bits and in 64; and no join of results."""
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
+    monkeypatch.setattr(hierarchy, "TOGETHER", 3)
+    edges, rows = network(spark, seed=8)
+    edges = edges.selectExpr("*", f"if(edge_id % 9 = 0, null, shiftleft(edge_id * 7 % 11, {shift})) length")
+    order = hierarchy.nested_order(edges)
+    both = [hierarchy.contracted(order, edges, w) for w in ("travel_time", "length")]
+    a, b = brute(rows), brute([(k, t, h, (k * 7 % 11) << shift) for k, t, h, _ in rows if k % 9])
+    all_ = spark.range(60).union(spark.createDataFrame([(999,)], "id long"))
+    found = hierarchy.distances_by(both, all_.withColumnRenamed("id", "source"), all_.withColumnRenamed("id", "target"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(s, t, a[s][t], b[s][t]) for s in range(60) for t in range(60) if max(a[s][t], b[s][t]) < float("inf")] + [(999, 999, 0, 0)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_totals_from_sources(spark, monkeypatch):
+    """What leaves a task is a row for each source, which may be outside the network."""
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
+    edges, rows = network(spark, seed=34)
+    d = brute(rows)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    held = hierarchy.labels(index, spark.createDataFrame([(v, b) for v in range(20) for b in (False, True)], "vertex_id long, back boolean"))
+    assert sum(map(len, hierarchy._totals(iter([held.toPandas()])))) == 20
+    far = lambda v: [0] if v == 999 else [x for x in d[v] if x < float("inf")]
+    asked = [0, 7, 7, 31, 59, 999]
+    got = hierarchy.totals_from(index, spark.createDataFrame([(v,) for v in asked], "source long")).collect()
+    assert sorted(map(tuple, got)) == [(v, len(far(v)), max(far(v)), sum(far(v))) for v in sorted(set(asked))]
+
+
+def test_settled_before_targets(spark, monkeypatch):
+    """Ties go by vertex; a target that isn't reached gives no rows, the source itself gives one at least."""
+    monkeypatch.setattr(hierarchy, "LEAF", 1)
+    edges, rows = network(spark, seed=35)
+    d = brute(rows)
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    pairs = [(s, (s * 7 + 3) % 60) for s in range(0, 60, 4)] + [(1, 1), (5, 999), (999, 999)]
+    got = hierarchy.settled_before(index, spark.createDataFrame(pairs, "source long, target long")).collect()
+    want = [(s, t, v, d[s][v]) for s, t in pairs if max(s, t) < 60 and d[s][t] < float("inf") for v in range(60) if (d[s][v], v) <= (d[s][t], t)]
+    assert sorted(map(tuple, got)) == sorted([*want, (999, 999, 999, 0)])
