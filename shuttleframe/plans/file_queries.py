@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +122,21 @@ def s04_pbf(spark, d) -> DataFrame:
     return ends.join(at, "from_node").join(beyond, "to_node")
 
 
+#: Lines that one task writes to a file, about.
+FILE_LINES = 200_000
+
+
+def enclosed(before: str, after: str):
+    """Puts a line before and one after the lines of each task."""
+
+    def lines(frames):
+        yield pd.DataFrame({"value": [before]})
+        yield from frames
+        yield pd.DataFrame({"value": [after]})
+
+    return lines
+
+
 @query("s08_matsim_network", E_SQL + "SELECT 'l'||edge_id AS link, 'n'||tail AS tail, 'n'||head AS head, CAST(length AS DOUBLE) AS length, CAST(floor(3.6::DOUBLE*length/((5+category)*3.6::DOUBLE)) AS BIGINT)*10+10 AS travel_time FROM edge WHERE edge_id%3<>0")
 def s08(spark, d) -> DataFrame:
     """A network file of this format, written and read: links open to cars."""
@@ -131,9 +145,10 @@ def s08(spark, d) -> DataFrame:
     nodes = v.select(F.format_string('<node id="n%d" x="%d.4" y="%d.2"/>', "vertex_id", 4_500_000 + c("lng") - 13_000_000, c("lat") - 46_600_000).alias("value"))
     modes = F.when(c("edge_id") % 3 == 0, "bike").when(c("edge_id") % 3 == 1, "car").otherwise("bike, car")
     links = e.select(F.format_string('<link id="l%d" from="n%d" to="n%d" length="%d.0" freespeed="%d.0" capacity="600.0" permlanes="1.0" modes="%s"/>', "edge_id", "tail", "head", "length", 5 + c("category"), modes).alias("value"))
-    text = lambda t: spark.createDataFrame([(t,)], "value string").coalesce(1)
-    parts = (text("<network><nodes>"), nodes.coalesce(1), text("</nodes><links>"), links.coalesce(1), text("</links></network>"))
-    reduce(DataFrame.unionByName, parts).coalesce(1).write.text(path)  # one document, in order
+    # Every file is a document of its own, with some of the nodes or links, as a reader's task takes whole files.
+    for lines, name in ((nodes, "nodes"), (links, "links")):
+        pieces = lines.repartition(max(1, -(-lines.count() // FILE_LINES)))
+        pieces.mapInPandas(enclosed(f"<network><{name}>", f"</{name}></network>"), "value string").write.mode("append").text(path)
     return IO.read_matsim(spark, path)[1]
 
 
