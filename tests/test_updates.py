@@ -90,3 +90,11 @@ def test_topological_without_edges_and_with_a_cycle(spark):
     for ring in ([(1, 2, 1), (2, 3, 1), (3, 2, 1), (3, 4, 1)], [(1, 1, 1)]):
         with pytest.raises(ValueError, match="cycle"):
             graph.topological(spark.createDataFrame(ring, EDGES), none)
+
+
+def test_topological_writes_each_vertex_once_a_level(spark, monkeypatch):
+    """Neither the edges nor what is ready are written a second time."""
+    monkeypatch.setattr(graph, "_cut", None)
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 1), (1, 3, 9)], EDGES)
+    got = graph.topological(edges, spark.createDataFrame([(1, 0)], "vertex_id long, dist long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (2, 1, 5), (3, 2, 6)]
