@@ -199,3 +199,12 @@ def test_settled_before_targets(spark, monkeypatch):
     got = hierarchy.settled_before(index, spark.createDataFrame(pairs, "source long, target long")).collect()
     want = [(s, t, v, d[s][v]) for s, t in pairs if max(s, t) < 60 and d[s][t] < float("inf") for v in range(60) if (d[s][v], v) <= (d[s][t], t)]
     assert sorted(map(tuple, got)) == sorted([*want, (999, 999, 999, 0)])
+
+
+def test_search_space_of_vehicles_needs_no_search(spark, monkeypatch):
+    """What is settled before vertex 0 comes from labels: no executor searches the whole network from a vehicle."""
+    from shuttleframe import catalog
+    from shuttleframe.operators import graph
+
+    monkeypatch.setattr(graph, "csr", lambda *_: (_ for _ in ()).throw(AssertionError("searched")))
+    assert catalog.queries()["s18_search_space"](spark, "/root/testdata/sf0.001").count() > 0
