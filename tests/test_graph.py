@@ -114,3 +114,18 @@ def test_points_go_down_a_deep_tree(spark, monkeypatch):
     vertices = [(i, i * 71 % 997, i * 29 % 991) for i in range(400)]
     got = {r["id"]: (r["d2"], r["vertex_id"]) for r in graph.nearest(points, spark.createDataFrame(vertices, "vertex_id long, lat long, lng long")).collect()}
     assert got == {i: min(((i * 37 % 900 - y) ** 2 + (i * 53 % 900 - x) ** 2, v) for v, y, x in vertices) for i in range(50)}
+
+
+def test_labels_take_rounds_by_blocks_not_by_edges(spark, monkeypatch):
+    """A line of 70 edges in five blocks takes some rounds, not seventy; the same labels as of a search."""
+    rows = [(k, k, k + 1, 3 + k % 4) for k in range(70)] + [(100 + k, k + 1, k, 2 + k % 5) for k in range(70)]
+    edges = spark.createDataFrame(rows, "edge_id long, tail long, head long, travel_time long")
+    seeds = spark.createDataFrame([(1, 0, 5, 8), (1, 0, 5, 7), (1, 60, 40, 9), (2, 30, 0, 4), (2, 33, 9, 3), (2, 500, 1, 6)], "level long, vertex_id long, dist long, label long")
+    want = sorted(map(tuple, graph.nearest_labels(edges, seeds).where("vertex_id < 500").collect()))
+    tables, cut = [], graph._cut
+    monkeypatch.setattr(graph, "SENT_EDGES", 0)
+    monkeypatch.setattr(graph, "LABELLED", 16, raising=False)
+    monkeypatch.setattr(graph, "_cut", lambda df: tables.append(1) or cut(df))
+    got = sorted(map(tuple, graph.nearest_labels(edges, seeds).where("vertex_id < 500").collect()))
+    assert got == want and len(want) == 142
+    assert len(tables) < 20
