@@ -208,3 +208,16 @@ def test_search_space_of_vehicles_needs_no_search(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "csr", lambda *_: (_ for _ in ()).throw(AssertionError("searched")))
     assert catalog.queries()["s18_search_space"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pairs_meet_once_with_the_hubs_they_share(spark):
+    """All sources and targets meet in one field each, where labels have no cells but those that are above both."""
+    edges = spark.createDataFrame([(k, (k + d) % 1200, 1 + k % 7) for k in range(1200) for d in (1, 40)], "tail long, head long, travel_time long")
+    index = hierarchy.contracted(hierarchy.nested_order(edges), edges)
+    ends = spark.createDataFrame([(v, False) for v in range(0, 1200, 100)] + [(v, True) for v in range(0, 1200, 60)], "vertex_id long, back boolean")
+    known = hierarchy.labels(index, ends).cache()
+    a, b = hierarchy._fields(known, index.order.levels, {False: 12, True: 20}, 8)
+    field = ["cell", "part", "i", "j"]
+    met = a.toDF(*[x if x in field else f"a_{x}" for x in a.columns]).join(b.toDF(*[x if x in field else f"b_{x}" for x in b.columns]), field)
+    assert met.count() == 240 == met.select("a_vertex_id", "b_vertex_id").distinct().count()
+    assert index.order.levels > 0 and met.where("a_cells <> b_cells").count() == 0 and met.where("size(a_cells) = 1").count() > 100
